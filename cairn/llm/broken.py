@@ -7,11 +7,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm.files import LANGUAGES, known_code, whole_files
 
 
-@F.pandas_udf("struct<line int, nature string>")
+_ERROR = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("nature", T.StringType())])
+
+
+@F.pandas_udf(_ERROR)
 def _first_error(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     from cairn.llm.syntax import checker_of
 
