@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import broken
+from cairn.llm import broken, credentials
 from cairn.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,9 @@ def queries() -> dict[str, Query]:
         "p1_found": _on(broken.broken_files, "chunks", "source_files"),
         "p1_files": _on(broken.parsed_files, "chunks", "source_files"),
         "p1_rates": _on(broken.broken_rates, "chunks", "source_files"),
+        "p4_found": lambda s, d: _on(credentials.credentials, "chunks", "symbols")(s, d).select("source_table", "row_id", "line_no").distinct(),
+        "p4_credentials": _on(credentials.credentials, "chunks", "symbols"),
+        "p4_redacted": _on(credentials.redacted_texts, "chunks", "symbols"),
     }
 
 
