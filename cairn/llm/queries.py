@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import broken, credentials
+from cairn.llm import broken, credentials, sentences
 from cairn.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,8 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: _on(credentials.credentials, "chunks", "symbols")(s, d).select("source_table", "row_id", "line_no").distinct(),
         "p4_credentials": _on(credentials.credentials, "chunks", "symbols"),
         "p4_redacted": _on(credentials.redacted_texts, "chunks", "symbols"),
+        "p9_found": _on(sentences.document_sentences, "documents"),
+        "p9_counts": _on(sentences.sentence_counts, "documents"),
     }
 
 
