@@ -96,6 +96,7 @@ def describes(comment: str | None, name: str | None, signature: str | None) -> b
     text = prose(bare_text(comment))
     if text.lower().strip(" .!:[]<>()*-\n") in _STAND_INS:
         return False
-    if name:
-        text = re.sub(rf"^\W*{re.escape(name)}\b(?:\(\))?", "", text)
+    start = text.lstrip(" `'\"*_") if name else text
+    if name and start.startswith(name):  # a doc comment that begins with its function's name
+        text = start[len(name) :]
     return added_words(text, name or "", signature or "") >= LEAST
