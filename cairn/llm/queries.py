@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import broken, credentials, pairs, sentences
+from cairn.llm import authorship, broken, credentials, pairs, sentences
 from cairn.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,9 @@ def queries() -> dict[str, Query]:
         "p1_found": _on(broken.broken_files, "chunks", "source_files"),
         "p1_files": _on(broken.parsed_files, "chunks", "source_files"),
         "p1_rates": _on(broken.broken_rates, "chunks", "source_files"),
+        "p2_found": _on(authorship.not_hand_written, "chunks", "source_files", "codebases"),
+        "p2_files": _on(authorship.judged_files, "chunks", "source_files", "codebases"),
+        "p2_hand_written": _on(authorship.hand_written, "chunks", "source_files", "codebases"),
         "p3_found": lambda s, d: _on(pairs.described, "symbols")(s, d).select("symbol_id"),
         "p3_pairs": _on(pairs.pairs, "symbols"),
         "p4_found": lambda s, d: _on(credentials.credentials, "chunks", "symbols")(s, d).select("source_table", "row_id", "line_no").distinct(),
