@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 
 from cairn.sources.tables import delivered_once, extension
 
-#: Tokens that cover a text wholly: comments, strings, brackets, line ends with the indent after them, runs of other code.
+#: Tokens that cover a text wholly: comments, strings, brackets, and runs of other code or white space between them.
 _STRINGS = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|' + r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
-_C = r"//[^\n]*|/\*[\s\S]*?\*/|" + _STRINGS + r"|`[^`]*`|[{}()\[\]]|\n\s*|[^\"'`/{}()\[\]\n]+|[\s\S]"
-_RUST = r'//[^\n]*|/\*[\s\S]*?\*/|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|' + r"'(?:[^'\\\n]|\\[^\n']{1,10}|\\')'|[{}()\[\]]|\n\s*|[^\"'/{}()\[\]\n]+|[\s\S]"
-_PYTHON = r'#[^\n]*|[rRuU]?(?:"""[\s\S]*?"""|' + r"'''[\s\S]*?'''|" + _STRINGS + r")|[{}()\[\]]|\n\s*|[^\"'#{}()\[\]\n]+?(?=[rRuU]?[\"'#{}()\[\]\n]|$)|[\s\S]"
+_C = r"//[^\n]*|/\*[\s\S]*?\*/|" + _STRINGS + r"|`[^`]*`|[{}()\[\]]|\s+|[^\s\"'`/{}()\[\]][^\"'`/{}()\[\]]*|[\s\S]"
+_RUST = r'//[^\n]*|/\*[\s\S]*?\*/|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|' + r"'(?:[^'\\\n]|\\[^\n']{1,10}|\\')'|[{}()\[\]]|\s+|[^\s\"'/{}()\[\]][^\"'/{}()\[\]]*|[\s\S]"
+_PYTHON = r'#[^\n]*|[rRuU]?(?:"""[\s\S]*?"""|' + r"'''[\s\S]*?'''|" + _STRINGS + r")|[{}()\[\]]|\s+|[^\s\"'#{}()\[\]][^\"'#{}()\[\]]*?(?=[rRuU]?[\"'#{}()\[\]]|$)|[\s\S]"
 
 
 def functions(symbols: DataFrame) -> DataFrame:
@@ -33,14 +33,12 @@ def lexed(rows: DataFrame) -> DataFrame:
     tokens = F.when(F.col("ext") == ".py", cut(_PYTHON)).when(F.col("ext") == ".rs", cut(_RUST)).otherwise(cut(_C))
     exploded = rows.select("symbol_id", "ext", F.posexplode(tokens).alias("pos", "token"))
     first, python = F.substring("token", 1, 1), F.col("ext") == ".py"
-    quote = F.col("token").rlike("^[rRuU]?[\"'`]") & (F.length("token") > 1)
     kind = (
-        F.when(first == "\n", F.lit("line"))
+        F.when(F.trim(F.translate("token", "\n\r\t\f", "    ")) == "", F.lit("blank"))
         .when((python & (first == "#")) | (~python & F.substring("token", 1, 2).isin("//", "/*")), F.lit("comment"))
-        .when(quote, F.lit("string"))
         .when(F.col("token").isin("{", "(", "["), F.lit("open"))
         .when(F.col("token").isin("}", ")", "]"), F.lit("close"))
-        .when(F.trim("token") == "", F.lit("blank"))
+        .when((F.length("token") > 1) & (first.isin('"', "'", "`") | F.col("token").rlike("^[rRuU][\"']")), F.lit("string"))
         .otherwise(F.lit("code"))
     )
     return exploded.withColumn("kind", kind).select(
@@ -49,40 +47,42 @@ def lexed(rows: DataFrame) -> DataFrame:
         "kind",
         F.length("token").alias("size"),
         F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0).alias("delta"),
-        F.when(F.col("kind").isin("comment", "string"), F.col("token"))
-        .when((F.col("kind") == "code") & F.col("token").rlike(r":\s*$"), F.lit(":"))
-        .when((F.col("kind") == "line") & F.col("token").rlike(r"\n\s*\n"), F.lit("\n\n"))
-        .when(F.col("token") == "{", F.lit("{"))
+        F.when(F.col("kind").isin("comment", "string") | (F.col("token") == "{"), F.col("token"))
+        .when((F.col("kind") == "code") & python & F.col("token").rlike(r":\s*\n"), F.when(F.col("token").rlike(r"^(?:->[^:\n]*)?:\s*$"), F.lit("header:")).otherwise(F.lit(":")))
         .alias("text"),
+        ((F.col("kind") == "blank") & F.col("token").rlike(r"\n\s*\n")).alias("gap"),
     )
 
 
 def delimited(tokens: DataFrame) -> DataFrame:
-    """Per function: its leading comment, its doc string, and where its code begins and ends in the body.
+    """Per function: its leading comments, its doc string, and where its code begins and ends in the body.
 
-    Windows over the tokens of one body: a running sum of brackets gives the depth; a comment right after a
-    comment, but for one line end, is of the same island; lag finds the comment island that the code follows
-    and the string that follows the header's colon at depth 0. A body whose brackets never close again ends
-    with its last token.
+    Windows over the tokens of one body: a running sum of brackets gives the depth; comments with nothing but
+    line ends between them are of one island, an empty line or code begins another; the islands before the
+    first code are attached to it; lag finds the string right after the colon that closes the header at depth
+    0. A body whose brackets never close again ends with its last token.
     """
     w = Window.partitionBy("symbol_id").orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     solid = F.col("kind").isin("code", "open", "close", "string")
-    marked = (
-        tokens.filter("kind <> 'blank' or size > 0")
-        .withColumn("depth", F.sum("delta").over(w))
-        .withColumn("upto", F.sum("size").over(w))
-        .withColumn("coded", F.coalesce(F.max(F.when(solid, 1)).over(before), F.lit(0)))
-        .withColumn("opened", F.coalesce(F.max(F.when(F.col("text") == "{", 1)).over(w), F.lit(0)))
-        .withColumn("colons", F.sum(F.when((F.col("text") == ":") & (F.col("depth") == 0), 1).otherwise(0)).over(w))
-        .withColumn("after", F.last(F.when(~F.col("kind").isin("line", "blank", "comment"), F.struct("kind", "text", "depth")), ignorenulls=True).over(before))
-        .withColumn("gap", F.lag(F.when(F.col("kind") == "line", F.coalesce("text", F.lit("\n")))).over(w))
-        .withColumn("island", F.sum(F.when((F.col("kind") != "comment") & ~F.col("kind").isin("line", "blank") | (F.col("text") == "\n\n"), 1).otherwise(0)).over(w))
+    counted = tokens.select(
+        "symbol_id",
+        "pos",
+        "kind",
+        "size",
+        "text",
+        F.sum("delta").over(upto).alias("depth"),
+        F.sum("size").over(upto).alias("upto"),
+        F.sum(solid.cast("int")).over(upto).alias("coded"),
+        F.sum((F.col("text") == "{").cast("int")).over(upto).alias("opened"),
+        F.sum((solid | F.col("gap")).cast("int")).over(upto).alias("island"),
+        F.sum(F.col("text").isin(":", "header:").cast("int")).over(upto).alias("colons"),
+        F.lag("text").over(w).alias("after"),
     )
-    doc = (F.col("kind") == "string") & (F.col("after.text") == ":") & (F.col("after.depth") == 0) & (F.col("colons") == 1)
+    doc = (F.col("kind") == "string") & (F.col("after") == "header:") & (F.col("depth") == 0) & (F.col("colons") == 1)
     lead = (F.col("kind") == "comment") & (F.col("coded") == 0)
-    body_end = (F.col("kind") == "close") & (F.col("depth") == 0) & (F.col("opened") == 1)
-    return marked.groupBy("symbol_id").agg(
+    body_end = (F.col("kind") == "close") & (F.col("depth") == 0) & (F.col("opened") > 0)
+    return counted.groupBy("symbol_id").agg(
         F.sort_array(F.collect_list(F.when(lead, F.struct("island", "pos", "text")))).alias("leading"),
         F.min_by("text", F.when(doc, F.col("pos"))).alias("doc_string"),
         F.min(F.when(solid, F.col("upto") - F.col("size"))).alias("code_start"),
