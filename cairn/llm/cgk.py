@@ -77,35 +77,41 @@ class Embedding:
         return out
 
 
-def leaks(doc: np.ndarray, item: np.ndarray, run: int, differing: int) -> bool:
+def leaks(doc: np.ndarray, item: np.ndarray, low: int, high: int, run: int, differing: int) -> bool:
     """Whether some `run` consecutive words of `item` occur in `doc` with at most `differing` edits.
 
-    Exact: Sellers' dynamic programme for each place of the run in `item`; equal-length alignments, by far the
-    most frequent, are looked at first.
+    Looked for where the place in `doc` is that in `item` plus `low` to `high`, give or take the edits. Exact
+    there: alignments of equal length are counted; where enough words of a run lie near one diagonal, Sellers'
+    dynamic programme decides.
     """
     n, m = len(doc), len(item)
-    if m < run:
-        return False
-    same = doc[:, None] == item[None, :]
     least = run - differing
-    for shift in range(-(m - 1), n):
-        line = np.diagonal(same, -shift) if shift >= 0 else np.diagonal(same, -shift)
-        if len(line) >= run and line.sum() >= least:
-            total = np.cumsum(np.concatenate([[0], line]))
-            if (total[run:] - total[:-run]).max() >= least:
-                return True
-    if same.any(axis=0).sum() < least:
+    if m < run or n < least:
         return False
-    hit = same.any(axis=0).astype(np.int64)
-    total = np.cumsum(np.concatenate([[0], hit]))
-    for a in np.flatnonzero(total[run:] - total[:-run] >= least):
-        cost = np.zeros(n + 1, dtype=np.int64)  # a match may begin anywhere
-        place = np.arange(n + 1)
-        for i in range(run):
-            step = np.empty(n + 1, dtype=np.int64)
-            step[0] = i + 1
-            step[1:] = np.minimum(cost[1:] + 1, cost[:-1] + ~same[:, a + i])
-            cost = np.minimum.accumulate(step - place) + place
-        if cost.min() <= differing:
-            return True
+    shifts = np.arange(low - 2 * differing, high + 2 * differing + 1)
+    place = np.arange(m)[None, :] + shifts[:, None]
+    same = (doc[np.clip(place, 0, n - 1)] == item[None, :]) & (place >= 0) & (place < n)
+    total = np.zeros((len(shifts), m + 1), dtype=np.int32)
+    np.cumsum(same, axis=1, out=total[:, 1:])
+    if (total[:, run:] - total[:, :-run]).max() >= least:
+        return True
+    near = same.any(axis=0).astype(np.int32)
+    total = np.concatenate([[0], np.cumsum(near)])
+    if (total[run:] - total[:-run]).max() < least:
+        return False
+    width = 2 * differing + 1
+    for k in range(len(shifts) - width + 1):
+        total = np.concatenate([[0], np.cumsum(same[k : k + width].any(axis=0))])
+        for a in np.flatnonzero(total[run:] - total[:-run] >= least):
+            first = max(0, a + shifts[k] - run)
+            part = doc[first : max(first, a + shifts[k] + 2 * run + width)]
+            cost = np.zeros(len(part) + 1, dtype=np.int64)  # a match may begin anywhere
+            steps = np.arange(len(part) + 1)
+            for i in range(run):
+                step = np.empty(len(part) + 1, dtype=np.int64)
+                step[0] = i + 1
+                step[1:] = np.minimum(cost[1:] + 1, cost[:-1] + (part != item[a + i]))
+                cost = np.minimum.accumulate(step - steps) + steps
+            if cost.min() <= differing:
+                return True
     return False
