@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import authorship, broken, contamination, credentials, pairs, sentences
+from cairn.llm import authorship, broken, contamination, credentials, mixture, pairs, sentences
 from cairn.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,8 @@ def queries() -> dict[str, Query]:
         "p4_redacted": _on(credentials.redacted_texts, "chunks", "symbols"),
         "p7_found": _on(contamination.leaked_items, "documents", "eval_items"),
         "p7_report": _on(contamination.leak_report, "documents", "eval_items"),
+        "p8_mix": _on(mixture.mixed_documents, "documents", "mix_targets"),
+        "p8_shares": _on(mixture.mixture_shares, "documents", "mix_targets"),
         "p9_found": _on(sentences.document_sentences, "documents"),
         "p9_counts": _on(sentences.sentence_counts, "documents"),
     }
