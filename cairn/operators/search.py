@@ -79,8 +79,9 @@ def compile_query(query: str) -> tuple[list[Phrase], Column]:
         return F.col(f"f{len(phrases) - 1}") > 0
 
     def row() -> Column:
+        grouped = peek() == "("
         found = primary()
-        while peek() in ("phrase", "("):
+        while peek() == "phrase" and not grouped:
             found = found & primary()
         return found
 
