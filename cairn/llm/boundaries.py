@@ -47,6 +47,8 @@ _QUOTE_LEAD = re.compile(r"(?:[ \t]*>)+[ \t]*")
 _WORD_BEFORE = re.compile(r"[^\s()\[\]{}\"“”„«»]*$")
 _NEXT = re.compile(r"[\s>]*[\"“”„«»‹›「『(（\[¿¡'‘*_]*")
 _FILE_LIKE = re.compile(r"[a-z][\w-]*(?:_\w+|\.\w{1,5}(?!\w)|\.\w+\()")
+_SHORT = re.compile(r"[^\W\d_]{1,2}\.")
+_SHORT_BEFORE = re.compile(r"(?<!\w)[^\W\d_]\.\s*$")
 _THAI = re.compile("[฀-๿]")
 _SPACES = " \t\n\r\f\v 　​﻿   "
 
@@ -174,6 +176,8 @@ def _goes_on(text: str, at: int, end: int, limit: int, run: str) -> bool:
     word = _WORD_BEFORE.search(text, max(0, at - 40), at).group().lower().lstrip("¿¡'‘`*_-—")
     if run == ".":
         bare = word.rsplit("/", 1)[-1]
+        if len(bare) == 1 and "a" <= text[at - 1] <= "z":  # one plain small letter: only beside another, or before a number
+            return follow.isdigit() or bool(_SHORT.match(text, place)) or bool(_SHORT_BEFORE.search(text, max(0, at - 8), at - 1))
         if bare in _NEVER_END or bare.rsplit(".", 1)[-1] in _NEVER_END and "." in bare and len(bare.rsplit(".", 1)[-1]) <= 2:
             return True
         if bare in _BEFORE_NUMBER and (follow.isdigit() or follow in "¹²³"):

@@ -151,7 +151,7 @@ tmember : ( '-' | '+' )? 'readonly'? ( key '?'? ( ':' type )? | ( 'get' | 'set'
 mapped : id ':' type | id 'in' type ( 'as' type )?
 enum : ( ( id | 's' | word ) ( '=' assign )? ( ',' ( id | 's' | word ) ( '=' assign )? )* ','? )?
 id : 'type' | 'interface' | 'declare' | 'abstract' | 'namespace' | 'module' | 'global' | 'enum' | 'is' | 'asserts' | 'keyof' | 'readonly' | 'unique' | 'infer' | 'public' | 'private'
-  | 'protected' | 'override' | 'satisfies' | 'implements' | 'accessor'
+  | 'protected' | 'override' | 'satisfies' | 'implements' | 'accessor' | 'this'
 deco : '@' call
 annotation : ':' rettype
 """
@@ -196,7 +196,7 @@ _JS_LISTS = {
     ("C", "class"): (("member",), ("member",)),
     ("", "file"): (("unit", "import", "export"), ("unit", "import", "export")),
 }
-_TS_LISTS = _JS_LISTS | {("C", "typebody"): (("tmembers",), ("tmembers",))}
+_TS_LISTS = _JS_LISTS | {("C", "typebody"): (("tmembers",), ("tmembers",)), ("C", "block"): (("unit", "import", "export"), ("unit", "import", "export"))}
 
 RUST = """
 %BOP = + / % == != <= >= ^ << && &

@@ -23,7 +23,12 @@ _SLASHES = r"//[^\n]*"
 _BLOCK = r"/\*[\s\S]*?\*/"
 _TEMPLATE_CODE = r"(?:[^{}`]|\{(?:[^{}]|\{[^{}]*\})*\}|`[^`]*`)*"
 _TEMPLATE = rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{{_TEMPLATE_CODE}\}})*`"
-_REGEX = r"(?:(?<=[=(,:\[!&|?{};~^+*%<>\n-])|(?<=[=(,:\[!&|?{};~^+*%<>-] )|(?<=return )|(?<=typeof )|(?<=case )|(?<=\n {2})|(?<=\n {4})|(?<=\t))/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*"
+_LINE_STARTS = "|".join([*(rf"(?<=\n {{{k}}})" for k in range(1, 41)), *(rf"(?<=\n\t{{{k}}})" for k in range(1, 11))])
+_REGEX = (
+    r"(?=/(?![*/]))(?:(?<=[=(,:\[!&|?{};~^+*%<>\n-])|(?<=[=(,:\[!&|?{};~^+*%<>-] )|(?<=return )|(?<=typeof )|(?<=case )|"
+    + _LINE_STARTS
+    + r")/(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*"
+)
 
 _SKIP = {
     "go": rf"[ \t\r﻿]+|{_SLASHES}",
@@ -164,7 +169,11 @@ class Checker:
             return [u for u in flat.split(g.words[";"]) if u]
         flat = self._glue.sub("", content).replace("\n", g.words[";"])
         flat = self._else.sub(_SEP, self._boundary.sub(g.words[";"], flat))
-        return [u.replace(_SEP, g.words[";"]) for u in flat.split(g.words[";"]) if u]
+        units = [u.replace(_SEP, g.words[";"]) for u in flat.split(g.words[";"]) if u]
+        for i in range(len(units) - 1, 0, -1):  # do x; while (y)
+            if units[i][0] == g.words["while"] and g.words["do"] in units[i - 1] and g.words["while"] not in units[i - 1]:
+                units[i - 1 : i + 1] = [units[i - 1] + g.words[";"] + units[i]]
+        return units
 
     def _is_list(self, content: str, kind: str, name: str) -> bool:
         first, rest = self.lists[(kind, name)]
@@ -219,6 +228,8 @@ class Checker:
             return False
         if self.language == "py":
             return self._python(flat) is None
+        if self.language == "go" and not self._units(flat):
+            return False
         return self._is_list(flat, "", "file")
 
     _BODY = {"def", "class", "if", "elif", "else", "for", "while", "try", "except", "finally", "with", "match", "case"}
