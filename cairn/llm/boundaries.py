@@ -47,7 +47,7 @@ _QUOTE_LEAD = re.compile(r"(?:[ \t]*>)+[ \t]*")
 _WORD_BEFORE = re.compile(r"[^\s()\[\]{}\"“”„«»]*$")
 _NEXT = re.compile(r"[\s>]*[\"“”„«»‹›「『(（\[¿¡'‘*_]*")
 _FILE_LIKE = re.compile(r"[a-z][\w-]*(?:_\w+|\.\w{1,5}(?!\w)|\.\w+\()")
-_SHORT = re.compile(r"[^\W\d_]{1,2}\.")
+_SHORT = re.compile(r"(?:[^\W\d_]|ej|ex)\.")
 _SHORT_BEFORE = re.compile(r"(?<!\w)[^\W\d_]\.\s*$")
 _THAI = re.compile("[฀-๿]")
 _SPACES = " \t\n\r\f\v 　​﻿   "
@@ -157,8 +157,11 @@ def _spans(text: str, marks: list[re.Match]) -> dict[int, int]:
     return outer
 
 
-def _goes_on(text: str, at: int, end: int, limit: int, run: str) -> bool:
-    """Whether the sentence goes on after the terminators `run` at `at`, with closing marks up to `end`."""
+def _goes_on(text: str, at: int, end: int, limit: int, run: str, flat: bool = False) -> bool:
+    """Whether the sentence goes on after the terminators `run` at `at`, with closing marks up to `end`.
+
+    In a `flat` block, without any capital, a small letter says nothing.
+    """
     if run[-1] in _WIDE_STOPS:
         return False
     before = text[at - 1] if at else " "
@@ -178,6 +181,8 @@ def _goes_on(text: str, at: int, end: int, limit: int, run: str) -> bool:
         bare = word.rsplit("/", 1)[-1]
         if len(bare) == 1 and "a" <= text[at - 1] <= "z":  # one plain small letter: only beside another, or before a number
             return follow.isdigit() or bool(_SHORT.match(text, place)) or bool(_SHORT_BEFORE.search(text, max(0, at - 8), at - 1))
+        if bare == "ms" and text[at - 2 : at] == "ms":  # milliseconds
+            return follow.islower() and not flat
         if bare in _NEVER_END or bare.rsplit(".", 1)[-1] in _NEVER_END and "." in bare and len(bare.rsplit(".", 1)[-1]) <= 2:
             return True
         if bare in _BEFORE_NUMBER and (follow.isdigit() or follow in "¹²³"):
@@ -192,7 +197,7 @@ def _goes_on(text: str, at: int, end: int, limit: int, run: str) -> bool:
             if following in _MONTHS or (previous and previous[0].lower() in _ORDINAL_BEFORE):
                 return True
     if follow.islower():
-        return not (_uncased(before) or bool(_FILE_LIKE.match(text, place)) and run == ".")
+        return not (flat and run[-1] != "…" or _uncased(before) or bool(_FILE_LIKE.match(text, place)) and run == ".")
     return follow in ",;:-–—"
 
 
@@ -207,6 +212,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
             _emit(text, start, end, out)
             continue
         thai = bool(_THAI.search(text, start, end))
+        flat = text[start:end].islower()
         marks = list((_MARK_THAI if thai else _MARK).finditer(text, start, end))
         spans = _spans(text, marks)
         at, reach = start, start
@@ -235,7 +241,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
             stop = m.end()
             while stop < end and text[stop] in _CLOSERS and stop not in spans:
                 stop += 1
-            if stop <= at or _goes_on(text, place, stop, end, mark):
+            if stop <= at or _goes_on(text, place, stop, end, mark, flat):
                 continue
             _emit(text, at, stop, out)
             at = reach = stop
