@@ -10,6 +10,8 @@ import xxhash
 
 _WORD = re.compile(r"[^\W_]+")
 _ESCAPES = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrtbfv](?![a-z]{0,2}\\)|%([0-9a-fA-F]{2})(?=[0-9a-zA-Z%_+.-])|</?[a-zA-Z][^<>\n]{0,80}>|[­​-‍⁠﻿]")
+#: One word in so many may differ.
+EACH = 8
 _SOFT = "­​‌‍⁠﻿"
 
 
@@ -78,7 +80,10 @@ class Embedding:
 
 
 def leaks(doc: np.ndarray, item: np.ndarray, low: int, high: int, run: int, differing: int) -> bool:
-    """Whether some `run` consecutive words of `item` occur in `doc` with at most `differing` edits.
+    """Whether `run` or more consecutive words of `item` occur in `doc`, one in EACH of them changed at most.
+
+    Aligned word by word, a run may be of any length; with words left out or put in, it is `run` words with at
+    most `differing` edits.
 
     Looked for where the place in `doc` is that in `item` plus `low` to `high`, give or take the edits. Exact
     there: alignments of equal length are counted; where enough words of a run lie near one diagonal, Sellers'
@@ -93,7 +98,8 @@ def leaks(doc: np.ndarray, item: np.ndarray, low: int, high: int, run: int, diff
     same = (doc[np.clip(place, 0, n - 1)] == item[None, :]) & (place >= 0) & (place < n)
     total = np.zeros((len(shifts), m + 1), dtype=np.int32)
     np.cumsum(same, axis=1, out=total[:, 1:])
-    if (total[:, run:] - total[:, :-run]).max() >= least:
+    balance = EACH * total - (EACH - 1) * np.arange(m + 1)  # a match counts 1, a change EACH - 1 less than nothing
+    if (balance[:, run:] >= np.minimum.accumulate(balance, axis=1)[:, : m + 1 - run]).any():
         return True
     near = same.any(axis=0).astype(np.int32)
     total = np.concatenate([[0], np.cumsum(near)])
