@@ -213,6 +213,7 @@ def oracle_sql() -> dict[str, str]:
     states = f"(SELECT * FROM {_current('indexed_files')} WHERE index_status <> 'complete')"
     sql["degraded_hits"] = f"SELECT h.id, h.codebase_id, h.file_path, index_status || ': ' || coalesce(status_reason, '') AS reason FROM ({searches['search_single']}) h JOIN {states} f ON h.codebase_id = f.codebase_id AND h.file_path = f.file_path"
     sql["locate_issue"] = _located(searches["search_and"])
+    sql["p6_found"] = cells_sql()
     return sql | searches
 
 
@@ -245,3 +246,42 @@ _ORPHANS = """SELECT DISTINCT source_table, row_id, reason, period FROM (
         SELECT 'symbol' AS kind, codebase_id, name AS ref FROM symbols UNION SELECT 'symbol', codebase_id, qualified_name FROM symbols UNION SELECT 'file', codebase_id, file_path FROM source_files
     ) k ON e.to_kind = k.kind AND coalesce(target_codebase_id, e.codebase_id) = k.codebase_id AND e.to_ref = k.ref
     ), LATERAL (SELECT date_trunc('month', to_timestamp(s) AT TIME ZONE 'UTC')::DATE AS period) WHERE bad"""
+
+
+def cells_sql() -> str:
+    """p6_found: the cells of the wide table that hold a value."""
+    from cairn.operators.wide import FALSE, NO_VALUE, TRUE
+
+    bare = "regexp_replace(value, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g')"
+    marks = (",", "_", " ", "''")
+    grouped = " OR ".join(f"regexp_full_match(v, '[+-]?\\d{{1,3}}({m}\\d{{3}})+(\\.\\d*)?([eE][+-]?\\d+)?')" for m in marks)
+    number = f"CASE WHEN {grouped} THEN regexp_replace(v, '[,_ '']', '', 'g') ELSE v END"
+    tail = "([T ]\\d{1,2}:\\d{2}(:\\d{2}([.,]\\d+)?)?\\s*(Z|UTC|GMT|[+-]\\d{2}:?\\d{2})?)?"
+
+    def dated(pattern: str, *forms: str, end: str = tail) -> str:
+        tests = " OR ".join(f"try_strptime(regexp_extract(v, '^({pattern})', 1), '{f}') IS NOT NULL" for f in forms)
+        return f"(regexp_full_match(v, '({pattern}){end}') AND ({tests}))"
+
+    month = "'^(\\d{1,2}[ -][A-Za-z]{3,9}[ -]\\d{4}|[A-Za-z]{3,9} \\d{1,2} \\d{4})$'"
+    dates = " OR ".join(
+        [
+            dated("\\d{4}-\\d{1,2}-\\d{1,2}", "%Y-%m-%d"),
+            dated("\\d{4}/\\d{1,2}/\\d{1,2}", "%Y/%m/%d"),
+            dated("\\d{4}\\.\\d{1,2}\\.\\d{1,2}", "%Y.%m.%d"),
+            dated("\\d{8}", "%Y%m%d", end=""),
+            dated("\\d{1,2}/\\d{1,2}/\\d{4}", "%d/%m/%Y", "%m/%d/%Y"),
+            dated("\\d{1,2}\\.\\d{1,2}\\.\\d{4}", "%d.%m.%Y"),
+            dated("\\d{1,2}-\\d{1,2}-\\d{4}", "%d-%m-%Y"),
+            f"(regexp_matches(replace(replace(v, '.', ''), ',', ''), {month}) AND coalesce(try_strptime(replace(replace(replace(v, '.', ''), ',', ''), '-', ' '), ['%d %b %Y', '%d %B %Y', '%b %d %Y', '%B %d %Y'])) IS NOT NULL)",
+            "regexp_full_match(v, '\\d{9,10}|\\d{12,13}')",
+        ]
+    )
+    reads = f"""CASE t WHEN 'boolean' THEN lower(v) IN ({", ".join(f"'{x}'" for x in (*TRUE, *FALSE))})
+        WHEN 'integer' THEN regexp_full_match(n, '[+-]?\\d+(\\.0*)?') AND try_cast(regexp_replace(n, '\\.0*$', '') AS BIGINT) IS NOT NULL
+        WHEN 'double' THEN regexp_full_match(n, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') AND isfinite(try_cast(n AS DOUBLE))
+        WHEN 'date' THEN {dates} ELSE true END"""
+    absent = ", ".join(f"'{x}'" for x in NO_VALUE)
+    plain = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+    return f"""SELECT DISTINCT codebase_id, attribute FROM (SELECT *, {number} AS n FROM (
+        SELECT m.codebase_id, a.attribute, a.value_type AS t, {bare} AS v FROM codebase_meta m JOIN meta_attributes a ON {plain.format("m.key")} = {plain.format("a.attribute")}
+        WHERE m.codebase_id IS NOT NULL AND m.value IS NOT NULL)) WHERE lower(v) NOT IN ({absent}) AND coalesce({reads}, false)"""
