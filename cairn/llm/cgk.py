@@ -79,13 +79,13 @@ class Embedding:
         return out
 
 
-def leaks(doc: np.ndarray, item: np.ndarray, low: int, high: int, run: int, differing: int) -> bool:
+def leaks(doc: np.ndarray, item: np.ndarray, shifts, run: int, differing: int) -> bool:
     """Whether `run` or more consecutive words of `item` occur in `doc`, one in EACH of them changed at most.
 
     Aligned word by word, a run may be of any length; with words left out or put in, it is `run` words with at
     most `differing` edits.
 
-    Looked for where the place in `doc` is that in `item` plus `low` to `high`, give or take the edits. Exact
+    Looked for where the place in `doc` is that in `item` plus one of `shifts`, give or take the edits. Exact
     there: alignments of equal length are counted; where enough words of a run lie near one diagonal, Sellers'
     dynamic programme decides.
     """
@@ -93,7 +93,7 @@ def leaks(doc: np.ndarray, item: np.ndarray, low: int, high: int, run: int, diff
     least = run - differing
     if m < run or n < least:
         return False
-    shifts = np.arange(low - 2 * differing, high + 2 * differing + 1)
+    shifts = np.unique(np.asarray(list(shifts))[:, None] + np.arange(-2 * differing, 2 * differing + 1))
     place = np.arange(m)[None, :] + shifts[:, None]
     same = (doc[np.clip(place, 0, n - 1)] == item[None, :]) & (place >= 0) & (place < n)
     total = np.zeros((len(shifts), m + 1), dtype=np.int32)
@@ -107,6 +107,8 @@ def leaks(doc: np.ndarray, item: np.ndarray, low: int, high: int, run: int, diff
         return False
     width = 2 * differing + 1
     for k in range(len(shifts) - width + 1):
+        if shifts[k + width - 1] - shifts[k] >= width:
+            continue
         total = np.concatenate([[0], np.cumsum(same[k : k + width].any(axis=0))])
         for a in np.flatnonzero(total[run:] - total[:-run] >= least):
             first = max(0, a + shifts[k] - run)

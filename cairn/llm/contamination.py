@@ -135,14 +135,14 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
             out = []
             for doc, text, found in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
                 words = np.array([ids[w] for w in normal_words(text)], dtype=np.int64)
-                done: set[int] = set()
+                used = np.unique(words)
+                shifts: dict[int, list[int]] = {}
                 for place in found:
-                    item = place["item_id"]
-                    if item in done:
-                        continue
-                    low = 4 * place["shift"]
-                    if leaks(words, items[item], low, low + 3, RUN, DIFFERING):
-                        done.add(item)
+                    shifts.setdefault(place["item_id"], []).extend(range(4 * place["shift"], 4 * place["shift"] + 4))
+                for item, near in shifts.items():
+                    own = items[item]
+                    total = np.concatenate([[0], np.cumsum(_among(own, used))])
+                    if len(own) >= RUN and (total[RUN:] - total[:-RUN]).max() >= RUN - DIFFERING - 1 and leaks(words, own, near, RUN, DIFFERING):
                         out.append((doc, item))
             yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
 

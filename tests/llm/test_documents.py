@@ -71,7 +71,7 @@ def test_exact_check_against_brute_force():
             rng.choice([lambda p, k: p.pop(k), lambda p, k: p.insert(k, 99), lambda p, k: p.__setitem__(k, 98)])(part, k)
         doc = [rng.randrange(100, 200) for _ in range(12)] + part + [rng.randrange(100, 200) for _ in range(12)]
         want = any(brute(doc, item[i : i + 20], 2) for i in range(11))
-        assert leaks(np.array(doc), np.array(item), 12 - a - 1, 12 - a + 1, 20, 2) is want
+        assert leaks(np.array(doc), np.array(item), range(11 - a, 14 - a), 20, 2) is want
 
 
 def test_recall_of_keys():
@@ -103,7 +103,7 @@ def test_leaks_against_brute_force(spark, data):
     for r in docs.filter("text is not null").select("doc_id", "text").collect():  # two edits in 20 words leave six in a row
         w = np.array([ids[x] for x in normal_words(r.text)], dtype=np.int64)
         for k in range(len(w) - 5):
-            want |= {(r.doc_id, item) for item, q in grams.get(tuple(w[k : k + 6]), ()) if (r.doc_id, item) not in want and leaks(w, own[item], k - q, k - q, 20, 2)}
+            want |= {(r.doc_id, item) for item, q in grams.get(tuple(w[k : k + 6]), ()) if (r.doc_id, item) not in want and leaks(w, own[item], [k - q], 20, 2)}
     assert want and got == want
 
 
