@@ -35,6 +35,11 @@ def _first(*columns: Column) -> Column:
 
 
 def _date(value: Column) -> Column:
+    """A date in any of the common notations; bound once by a lambda, which keeps the generated code small."""
+    return F.transform(F.array(value), _any_date)[0]
+
+
+def _any_date(value: Column) -> Column:
     def at(pattern: str, form: str) -> Column:
         found = F.regexp_extract(value, pattern, 1)
         return F.when(value.rlike(pattern), F.try_to_timestamp(found, F.lit(form)).cast("date"))
