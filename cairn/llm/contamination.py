@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 
 #: Words of an item that must occur in a row, and how many of them may differ (one in eight).
 RUN, DIFFERING = 20, 2
-#: Windows: their size in words, the step between those of a document (items are cut at every word), and how
-#: many of a document window's words the items must use at all; two edits leave 14 of 16.
-WINDOW, STEP, KNOWN = 16, 3, 14
-#: CGK walks, samples from each and places in a sample: recall 0.99 on runs of 20 words with two edits.
-REPEATS, BANDS, SAMPLE = 4, 6, 11
+#: Windows: their size in words, the step between them, and how many words in a row of a document's window some
+#: item must have too: a run with two edits keeps 18 words in at most three rows, so six of them in one.
+WINDOW, STEP, GRAM = 14, 1, 5
+#: CGK walks, samples from each and places in a sample. Recall on runs of 20 words with two edits: see README.
+REPEATS, BANDS, SAMPLE = 4, 6, 9
 #: Stock instructions: leading words of an item covered by rows of STOCK_GRAM words that STOCK_ITEMS items share.
 STOCK_GRAM, STOCK_ITEMS = 8, 5
 #: The stated query set: items are held by every task, so their number is checked.
@@ -62,6 +62,16 @@ def _windows(words: np.ndarray, step: int) -> np.ndarray:
     return starts if starts[-1] == last else np.append(starts, last)
 
 
+def _grams(words: np.ndarray) -> np.ndarray:
+    """A hash of each GRAM words in a row."""
+    held = words.astype(np.uint64)
+    out = np.zeros(max(0, len(held) - GRAM + 1), dtype=np.uint64)
+    for i in range(GRAM if len(out) else 0):
+        out = (out ^ held[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which `values` are in the sorted array `ordered`."""
     if not len(ordered):
@@ -79,7 +89,7 @@ def candidate_pairs(documents: DataFrame, items: dict[int, np.ndarray]) -> DataF
     keyed = [(embedding.keys(w, starts), item, starts) for item, w in items.items() if len(starts := _windows(w, 1))]
     none = np.empty(0, dtype=np.int64)
     all_keys = np.unique(np.concatenate([k.ravel() for k, _, _ in keyed] or [none]))
-    vocabulary = np.unique(np.concatenate([*items.values(), none]))
+    grams = np.unique(np.concatenate([*map(_grams, items.values()), none.astype(np.uint64)]))
     table = pd.DataFrame(
         {
             "key": np.concatenate([k.ravel() for k, _, _ in keyed] or [none]),
@@ -100,8 +110,8 @@ def candidate_pairs(documents: DataFrame, items: dict[int, np.ndarray]) -> DataF
             words = np.concatenate([*texts, none])
             starts = np.concatenate([*(p + b for p, b in zip(places, begins, strict=False)), none])
             owner = np.repeat(np.arange(len(texts)), [len(p) for p in places])
-            total = np.cumsum(np.concatenate([[0], _among(words, vocabulary)]))
-            kept = np.flatnonzero(total[starts + WINDOW] - total[starts] >= KNOWN)
+            total = np.cumsum(np.concatenate([[0], _among(_grams(words), grams)]))
+            kept = np.flatnonzero(total[starts + WINDOW - GRAM + 1] > total[starts])
             starts, owner = starts[kept], owner[kept]
             for block in range(0, len(starts), 50_000):
                 part = slice(block, block + 50_000)

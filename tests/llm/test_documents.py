@@ -90,6 +90,30 @@ def test_recall_of_keys():
     assert hits >= 190
 
 
+def edited(run, kind, places, new):
+    run = list(run)
+    for k in sorted(places, reverse=True):
+        run[k : k + (kind != "insert")] = [] if kind == "delete" else [next(new)]
+    return run
+
+
+def test_recall_of_candidates(spark):
+    """With the filter of windows on, edits of each kind and at the worst places leave candidates."""
+    rng = random.Random(3)
+    new = iter(f"w{i}" for i in range(1_000_000))
+    ids = __import__("cairn.llm.cgk", fromlist=["x"]).WordIds()
+    docs, items = [], {}
+    for i in range(480):
+        words = [next(new) for _ in range(60)]
+        kind, places = (("replace", None), ("insert", None), ("delete", None), ("replace", (6, 13)), ("insert", (7, 13)), ("delete", (9, 10)))[i % 6]
+        around = [[next(new) for _ in range(15 + i % 4)] for _ in range(2)]
+        docs.append((i, " ".join([*around[0], *edited(words[20:40], kind, places or rng.sample(range(20), 2), new), *around[1]])))
+        items[i] = np.array([ids[w] for w in words], dtype=np.int64)
+    pairs = contamination.candidate_pairs(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    found = {r.doc_id for r in pairs.filter("doc_id = item_id").select("doc_id").distinct().collect()}
+    assert len(found) >= 478
+
+
 def test_leaks_against_brute_force(spark, data):
     docs, items = table(spark, data, "documents"), table(spark, data, "eval_items")
     got = {(r.doc_id, r.item_id) for r in contamination.leaked_items(docs, items).collect()}
