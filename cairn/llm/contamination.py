@@ -8,10 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Words of an item that must occur in a row, and how many of them may differ (one in eight).
 RUN, DIFFERING = 20, 2
+#: Most changes that every RUN words of a longer run can have: four in the middle of 32 to 39 words; from 40 on two
+#: such stretches lie apart, and one has fewer.
+CLUSTERED = 4
 #: Windows: their size in words, the step between them, and how many words in a row of a document's window some
 #: item must have too: a run with two edits keeps 18 words in at most three rows, so six of them in one.
 WINDOW, STEP, GRAM = 14, 1, 5
@@ -22,9 +24,6 @@ STOCK_GRAM, STOCK_ITEMS = 8, 5
 #: The stated query set: items are held by every task, so their number is checked.
 MAX_ITEMS = 20_000
 
-_KEYS = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("pos", T.IntegerType())])
-
-
 def _embedding():
     from cairn.llm.cgk import Embedding
 
@@ -79,50 +78,66 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def candidate_pairs(documents: DataFrame, items: dict[int, np.ndarray]) -> DataFrame:
-    """(doc_id, item_id, shift, keys): shifts at which windows of a document and of an item share keys.
+def confirmed(words: np.ndarray, used: np.ndarray, own: np.ndarray, near) -> bool:
+    """Whether the item `own` leaks into the document's `words` (`used`: these, sorted) at one of the shifts `near`.
 
-    Rows are pre-aggregated per document, item and shift between their places.
+    First what any leak leaves is looked for: with one word in eight changed, however the changes are clustered
+    and however long the run, some RUN words of the item have RUN - CLUSTERED in the document.
     """
-    spark = documents.sparkSession
-    embedding = _embedding()
-    keyed = [(embedding.keys(w, starts), item, starts) for item, w in items.items() if len(starts := _windows(w, 1))]
-    none = np.empty(0, dtype=np.int64)
-    all_keys = np.unique(np.concatenate([k.ravel() for k, _, _ in keyed] or [none]))
-    grams = np.unique(np.concatenate([*map(_grams, items.values()), none.astype(np.uint64)]))
-    table = pd.DataFrame(
-        {
-            "key": np.concatenate([k.ravel() for k, _, _ in keyed] or [none]),
-            "item_id": np.concatenate([np.full(k.size, item) for k, item, _ in keyed] or [none]),
-            "item_pos": np.concatenate([np.repeat(s, REPEATS * BANDS) for _, _, s in keyed] or [none]).astype(np.int32),
-        }
-    )
-    item_keys = spark.createDataFrame(table, "key long, item_id long, item_pos int").distinct()
-
-    def document_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from cairn.llm.cgk import WordIds, normal_words
-
-        ids, walks = WordIds(), _embedding()
-        for batch in batches:
-            texts = [np.array([ids[w] for w in normal_words(text)], dtype=np.int64) for text in batch["text"]]
-            places = [_windows(words, STEP) for words in texts]
-            begins = np.cumsum([0, *map(len, texts)])
-            words = np.concatenate([*texts, none])
-            starts = np.concatenate([*(p + b for p, b in zip(places, begins, strict=False)), none])
-            owner = np.repeat(np.arange(len(texts)), [len(p) for p in places])
-            total = np.cumsum(np.concatenate([[0], _among(_grams(words), grams)]))
-            kept = np.flatnonzero(total[starts + WINDOW - GRAM + 1] > total[starts])
-            starts, owner = starts[kept], owner[kept]
-            for block in range(0, len(starts), 50_000):
-                part = slice(block, block + 50_000)
-                keys = walks.keys(words, starts[part])
-                row, col = np.nonzero(_among(keys, all_keys))
-                doc = owner[part][row]
-                yield pd.DataFrame({"key": keys[row, col], "id": batch["doc_id"].to_numpy()[doc], "pos": (starts[part][row] - begins[doc]).astype(np.int32)})
-
-    found = documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(document_keys, _KEYS)
-    shift = F.floor((F.col("pos") - F.col("item_pos")) / 4).cast("int")
-    return found.join(item_keys, "key").groupBy(F.col("id").alias("doc_id"), "item_id", shift.alias("shift")).agg(F.count("*").alias("keys"))
+    from cairn.llm.cgk import leaks
+
+    total = np.concatenate([[0], np.cumsum(_among(own, used))])
+    return bool((total[RUN:] - total[:-RUN]).max() >= RUN - CLUSTERED) and leaks(words, own, near, RUN, DIFFERING)
+
+
+class ItemKeys:
+    """Keys of the windows of all items, sorted, with the item and place of each; held by every task."""
+
+    def __init__(self, items: dict[int, np.ndarray]):
+        self.walks = _embedding()
+        self.items = {item: w for item, w in items.items() if len(w) >= RUN}
+        keyed = [(self.walks.keys(w, starts), item, starts) for item, w in self.items.items() if len(starts := _windows(w, 1))]
+        none = np.empty(0, dtype=np.int64)
+        keys = np.concatenate([none, *(k.ravel() for k, _, _ in keyed)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.first = np.unique(keys[order], return_index=True)
+        self.after = np.append(self.first[1:], len(keys))
+        self.ids = [item for _, item, _ in keyed]
+        self.item = np.concatenate([none, *(np.full(k.size, i) for i, (k, _, _) in enumerate(keyed))])[order]
+        self.pos = np.concatenate([none, *(np.repeat(s, REPEATS * BANDS) for _, _, s in keyed)])[order]
+        self.grams = np.unique(np.concatenate([none.astype(np.uint64), *map(_grams, self.items.values())]))
+
+    def places(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(number of the text, item, shifts) where windows of a text's words and of the item share keys."""
+        cuts = [_windows(words, STEP) for words in texts]
+        begins = np.cumsum([0, *map(len, texts)])
+        none = np.empty(0, dtype=np.int64)
+        words = np.concatenate([none, *texts])
+        starts = np.concatenate([none, *(c + b for c, b in zip(cuts, begins, strict=False))])
+        owner = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
+        if not len(starts) or not len(self.keys):
+            return
+        total = np.cumsum(np.concatenate([[0], _among(_grams(words), self.grams)]))
+        kept = np.flatnonzero(total[starts + WINDOW - GRAM + 1] > total[starts])
+        starts, owner = starts[kept], owner[kept]
+        found = [none]
+        for block in range(0, len(starts), 50_000):
+            part = slice(block, block + 50_000)
+            keys = self.walks.keys(words, starts[part])
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            row, col = np.nonzero(self.keys[at] == keys)
+            at, doc = at[row, col], owner[part][row]
+            many = self.after[at] - self.first[at]
+            held = np.repeat(self.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            shift = np.repeat(starts[part][row] - begins[doc], many) - self.pos[held]
+            # text, item and shift in 18, 15 and 30 bits
+            found.append(np.unique((np.repeat(doc, many) << 45) | (self.item[held] << 30) | (shift + (1 << 29))))
+        codes = np.unique(np.concatenate(found))
+        if not len(codes):
+            return
+        pairs, begin = np.unique(codes >> 30, return_index=True)
+        for pair, shifts in zip(pairs.tolist(), np.split((codes & ((1 << 30) - 1)) - (1 << 29), begin[1:]), strict=True):
+            yield pair >> 15, self.ids[pair & 0x7FFF], shifts
 
 
 def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
@@ -130,33 +145,28 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
     Words are runs of letters or digits in lower case; markup, entities, escapes and line prefixes don't
     count. Candidates come from keys sampled from CGK walks of windows; each is verified by exact edit distance
-    on the words around it. NULL texts leak nothing; a document that is repeated is reported once; without
-    items, or with items of under RUN words of their own, nothing is reported.
+    on the words around it. Items are few and held by every task, so a text is read once and never shuffled.
+    NULL texts leak nothing; a document that is repeated is reported once; without items, or with items of
+    under RUN words of their own, nothing is reported.
     """
-    items = _item_words(eval_items)
-    places = candidate_pairs(documents, items).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("places"))
-    held = documents.select("doc_id", "text").join(places, "doc_id")
+    index = documents.sparkSession.sparkContext.broadcast(ItemKeys(_item_words(eval_items)))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from cairn.llm.cgk import WordIds, leaks, normal_words
+        from cairn.llm.cgk import WordIds, normal_words
 
-        ids = WordIds()
+        ids, held = WordIds(), index.value
         for batch in batches:
             out = []
-            for doc, text, found in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
-                words = np.array([ids[w] for w in normal_words(text)], dtype=np.int64)
-                used = np.unique(words)
-                shifts: dict[int, list[int]] = {}
-                for place in found:
-                    shifts.setdefault(place["item_id"], []).extend(range(4 * place["shift"], 4 * place["shift"] + 4))
-                for item, near in shifts.items():
-                    own = items[item]
-                    total = np.concatenate([[0], np.cumsum(_among(own, used))])
-                    if len(own) >= RUN and (total[RUN:] - total[:-RUN]).max() >= RUN - DIFFERING - 1 and leaks(words, own, near, RUN, DIFFERING):
-                        out.append((doc, item))
+            texts = [np.array([ids[w] for w in normal_words(text)], dtype=np.int64) for text in batch["text"]]
+            docs, at, used = batch["doc_id"].to_numpy(), -1, None
+            for text, item, near in held.places(texts):
+                if text != at:
+                    at, used = text, np.unique(texts[text])
+                if confirmed(texts[text], used, held.items[item], near):
+                    out.append((docs[text], item))
             yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
 
-    return held.mapInPandas(verify, "doc_id long, item_id long").distinct()
+    return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(verify, "doc_id long, item_id long").distinct()
 
 
 def leak_report(documents: DataFrame, eval_items: DataFrame) -> DataFrame:

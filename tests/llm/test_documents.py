@@ -97,21 +97,30 @@ def edited(run, kind, places, new):
     return run
 
 
-def test_recall_of_candidates(spark):
+def test_recall_of_candidates():
     """With the filter of windows on, edits of each kind and at the worst places leave candidates."""
-    rng = random.Random(3)
-    new = iter(f"w{i}" for i in range(1_000_000))
-    ids = __import__("cairn.llm.cgk", fromlist=["x"]).WordIds()
-    docs, items = [], {}
+    rng, new, ids = random.Random(3), iter(range(1_000_000)), random.Random(4)
+    hash_of = lambda words: np.array([known.setdefault(w, ids.getrandbits(62)) for w in words], dtype=np.int64)
+    known, docs, items = {}, [], {}
     for i in range(480):
         words = [next(new) for _ in range(60)]
         kind, places = (("replace", None), ("insert", None), ("delete", None), ("replace", (6, 13)), ("insert", (7, 13)), ("delete", (9, 10)))[i % 6]
         around = [[next(new) for _ in range(15 + i % 4)] for _ in range(2)]
-        docs.append((i, " ".join([*around[0], *edited(words[20:40], kind, places or rng.sample(range(20), 2), new), *around[1]])))
-        items[i] = np.array([ids[w] for w in words], dtype=np.int64)
-    pairs = contamination.candidate_pairs(spark.createDataFrame(docs, "doc_id long, text string"), items)
-    found = {r.doc_id for r in pairs.filter("doc_id = item_id").select("doc_id").distinct().collect()}
-    assert len(found) >= 478
+        docs.append(hash_of([*around[0], *edited(words[20:40], kind, places or rng.sample(range(20), 2), new), *around[1]]))
+        items[i] = hash_of(words)
+    index = contamination.ItemKeys(items)
+    assert sum(text == item for text, item, _ in index.places(docs)) >= 478
+
+
+def test_leaks_with_clustered_changes(spark):
+    """28 words of 32 with the four changes side by side, so that no 20 words in a row keep more than 16."""
+    docs, items = [], []
+    for i in range(20):
+        words = [f"w{i}x{k}" for k in range(32)]
+        items.append((i, "t", "en", " ".join(words)))
+        docs.append((i, " ".join([f"a{k}" for k in range(30)] + words[:14] + [f"b{k}" for k in range(4)] + words[18:] + [f"c{k}" for k in range(30)])))
+    found = contamination.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, task string, lang string, text string"))
+    assert sorted(map(tuple, found.collect())) == [(i, i) for i in range(20)]
 
 
 def test_leaks_against_brute_force(spark, data):
