@@ -97,23 +97,33 @@ def allocate(leaves: dict[tuple, tuple[float, float]], total: float) -> dict[tup
 def leaf_budgets(sized: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[dict[tuple, float], dict[tuple, int]]:
     """Budget and size in tokens of each leaf (domain, lang, source).
 
-    Without `total` the mixture is as large as it can be while every source that has documents reaches its
-    share; a source's target is divided among its languages as its tokens are.
+    A source's target is divided among its languages as its tokens are; that of a source without documents, as
+    those of its domain are, so its leaves hold nothing and their amounts go to their siblings first. Without
+    `total` the mixture is as large as it can be with no leaf that has documents short.
     """
     rows = sized.groupBy("domain", "lang", "source").agg(F.sum("tokens").alias("tokens"), F.max("max_repeats").alias("max_repeats")).limit(MAX_LEAVES + 1).collect()
     if len(rows) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
     wanted = targets.select(plain_source(F.col("source")).alias("source"), "target_share").dropDuplicates(["source"]).limit(MAX_LEAVES).collect()
     share = {r["source"]: max(0.0, r["target_share"] or 0.0) for r in wanted}
-    size, room = {}, {}
+    size: dict[str, int] = {}
     for r in rows:
         size[r["source"]] = size.get(r["source"], 0) + r["tokens"]
-        room[r["source"]] = room.get(r["source"], 0) + r["tokens"] * max(0, r["max_repeats"] or 0)
-    there = sum(s for source, s in share.items() if room.get(source))
-    if total is None:
-        total = min((room[s] * there / share[s] for s in room if share.get(s)), default=0.0)
     leaves = {(r["domain"], r["lang"], r["source"]): (share.get(r["source"], 0.0) * r["tokens"] / size[r["source"]], float(r["tokens"] * max(0, r["max_repeats"] or 0))) for r in rows}
-    return allocate(leaves, total), {(r["domain"], r["lang"], r["source"]): r["tokens"] for r in rows}
+    languages: dict[str, dict[str, int]] = {}
+    for r in rows:
+        held = languages.setdefault(r["domain"], {})
+        held[r["lang"]] = held.get(r["lang"], 0) + r["tokens"]
+    for source in [s for s in share if s is not None and s not in size]:
+        domain = "talk" if source in TALK else "documentation"
+        held = languages.get(domain, {"und": 1})
+        leaves |= {(domain, lang, source): (share[source] * n / sum(held.values()), 0.0) for lang, n in held.items()}
+    if total is None:
+        parts = allocate({p: (weight, float("inf") if room else 0.0) for p, (weight, room) in leaves.items()}, 1.0)
+        total = min((leaves[p][1] / part for p, part in parts.items() if part > 0), default=0.0)
+    sizes = {(r["domain"], r["lang"], r["source"]): r["tokens"] for r in rows}
+    budgets = allocate(leaves, total)
+    return {p: budgets[p] for p in sizes}, sizes
 
 
 def mixed_documents(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -167,3 +167,10 @@ def test_mixture(spark):
     assert max(used.values()) <= 4 and all(used.get(i, 0) <= 1 for i in range(90))
     assert mixture.mixture_shares(docs.limit(0), targets).agg({"tokens": "sum"}).first()[0] == 0
     assert mixture.mixture_shares(docs, targets.limit(0)).count() == 0
+
+
+def test_share_of_an_empty_source_goes_to_siblings(spark):
+    sized = spark.createDataFrame([(1, "talk", "en", "chat_export", 2, 100), (2, "documentation", "en", "wiki", 2, 100)], "doc_id long, domain string, lang string, source string, max_repeats int, tokens long")
+    targets = spark.createDataFrame([("chat_export", 0.2, 2), ("wiki", 0.5, 2), ("forum", 0.3, 2)], "source string, target_share double, max_repeats int")
+    budgets, _ = mixture.leaf_budgets(sized, targets)
+    assert abs(budgets[("talk", "en", "chat_export")] - 200) < 1e-6 and abs(budgets[("documentation", "en", "wiki")] - 200) < 1e-6
