@@ -79,47 +79,53 @@ class Embedding:
         return out
 
 
-def leaks(doc: np.ndarray, item: np.ndarray, shifts, run: int, differing: int) -> bool:
+def leaks(doc: np.ndarray, item: np.ndarray, low: int, high: int, run: int, most: int) -> bool:
     """Whether `run` or more consecutive words of `item` occur in `doc`, one in EACH of them changed at most.
 
-    Aligned word by word, a run may be of any length; with words left out or put in, it is `run` words with at
-    most `differing` edits.
-
-    Looked for where the place in `doc` is that in `item` plus one of `shifts`, give or take the edits. Exact
-    there: alignments of equal length are counted; where enough words of a run lie near one diagonal, Sellers'
-    dynamic programme decides.
+    A change is a word replaced, left out or put in. A run of 2 * run words or more falls into two halves, one of
+    which has no greater share of changes, so runs of less, with `most` changes then, tell all. Looked for where
+    the place in `doc` is that in `item` plus `low` to `high`; exact there: runs without words left out or put in
+    are counted, for others Sellers' dynamic programme decides from each place where a run can begin.
     """
     n, m = len(doc), len(item)
-    least = run - differing
-    if m < run or n < least:
+    if m < run or n < run - most:
         return False
-    shifts = np.unique(np.asarray(list(shifts))[:, None] + np.arange(-2 * differing, 2 * differing + 1))
-    place = np.arange(m)[None, :] + shifts[:, None]
+    place = np.arange(m)[None, :] + np.arange(low, high + 1)[:, None]
     same = (doc[np.clip(place, 0, n - 1)] == item[None, :]) & (place >= 0) & (place < n)
-    total = np.zeros((len(shifts), m + 1), dtype=np.int32)
-    np.cumsum(same, axis=1, out=total[:, 1:])
-    balance = EACH * total - (EACH - 1) * np.arange(m + 1)  # a match counts 1, a change EACH - 1 less than nothing
+    balance = np.zeros((len(same), m + 1), dtype=np.int32)  # a match counts 1, a change EACH - 1 less than nothing
+    np.cumsum(EACH * same - (EACH - 1), axis=1, out=balance[:, 1:])
     if (balance[:, run:] >= np.minimum.accumulate(balance, axis=1)[:, : m + 1 - run]).any():
         return True
-    near = same.any(axis=0).astype(np.int32)
-    total = np.concatenate([[0], np.cumsum(near)])
-    if (total[run:] - total[:-run]).max() < least:
-        return False
-    width = 2 * differing + 1
-    for k in range(len(shifts) - width + 1):
-        if shifts[k + width - 1] - shifts[k] >= width:
-            continue
-        total = np.concatenate([[0], np.cumsum(same[k : k + width].any(axis=0))])
-        for a in np.flatnonzero(total[run:] - total[:-run] >= least):
-            first = max(0, a + shifts[k] - run)
-            part = doc[first : max(first, a + shifts[k] + 2 * run + width)]
-            cost = np.zeros(len(part) + 1, dtype=np.int64)  # a match may begin anywhere
-            steps = np.arange(len(part) + 1)
-            for i in range(run):
-                step = np.empty(len(part) + 1, dtype=np.int64)
-                step[0] = i + 1
-                step[1:] = np.minimum(cost[1:] + 1, cost[:-1] + (part != item[a + i]))
-                cost = np.minimum.accumulate(step - steps) + steps
-            if cost.min() <= differing:
-                return True
+    # the words of a run lie on diagonals no further apart than its changes; where enough of them do, it may begin
+    upto = np.zeros((len(same) + 1, m), dtype=np.int16)
+    np.cumsum(same, axis=0, out=upto[1:])
+    reach = min(most, len(same) - 1)
+    balance = np.zeros((len(same) - reach, m + 1), dtype=np.int32)
+    np.cumsum(EACH * (upto[reach + 1 :] > upto[: -reach - 1]) - (EACH - 1), axis=1, out=balance[:, 1:])
+    best = np.maximum.accumulate(balance[:, : run - 1 : -1], axis=1)[:, ::-1]
+    starts = np.flatnonzero((best >= balance[:, : m + 1 - run]).any(axis=0))
+    return len(starts) > 0 and _within(doc, item, starts, low, high, run, most)
+
+
+def _within(doc: np.ndarray, item: np.ndarray, starts: np.ndarray, low: int, high: int, run: int, most: int) -> bool:
+    """Whether a run of `item` that begins at one of `starts` is in `doc` between the shifts `low` and `high`."""
+    width = high - low + 2 * run + most
+    at = starts[:, None] + low + np.arange(width)[None, :]
+    words = np.where((at >= 0) & (at < len(doc)), doc[np.clip(at, 0, len(doc) - 1)], -1)
+    steps = np.arange(width + 1, dtype=np.int16)
+    cost = np.zeros((len(starts), width + 1), dtype=np.int16)  # a match may begin anywhere
+    for i in range(2 * run - 1):
+        inside = starts + i < len(item)
+        step = np.empty_like(cost)
+        step[:, 0] = i + 1
+        step[:, 1:] = np.minimum(cost[:, 1:] + 1, cost[:, :-1] + (words != item[np.minimum(starts + i, len(item) - 1)][:, None]))
+        cost = np.minimum.accumulate(step - steps, axis=1) + steps
+        least = cost.min(axis=1)
+        if i + 1 >= run and (inside & (EACH * least <= i + 1)).any():
+            return True
+        alive = inside & (least <= most)
+        if not alive.all():
+            starts, words, cost = starts[alive], words[alive], cost[alive]
+            if not len(starts):
+                return False
     return False

@@ -50,93 +50,98 @@ def test_words():
     assert normal_words("The **stale**\\_Key\\n&#100;igest\u00ad x&amp;y\n> a") == ["the", "stale", "key", "digest", "x", "y", "a"]
 
 
-def brute(doc, run, most):
-    cost = list(range(0, 1)) + [0] * len(doc)
-    for i, w in enumerate(run):
-        step = [i + 1]
-        for j, d in enumerate(doc):
-            step.append(min(cost[j] + (w != d), cost[j + 1] + 1, step[j] + 1))
-        cost = step
-    return min(cost) <= most
-
-
-def test_exact_check_against_brute_force():
-    rng = random.Random(5)
-    for _ in range(150):
-        item = [rng.randrange(40) for _ in range(30)]
-        a = rng.randrange(10)
-        part = item[a : a + 20]
-        for _ in range(rng.randrange(5)):
-            k = rng.randrange(len(part))
-            rng.choice([lambda p, k: p.pop(k), lambda p, k: p.insert(k, 99), lambda p, k: p.__setitem__(k, 98)])(part, k)
-        doc = [rng.randrange(100, 200) for _ in range(12)] + part + [rng.randrange(100, 200) for _ in range(12)]
-        want = any(brute(doc, item[i : i + 20], 2) for i in range(11))
-        assert leaks(np.array(doc), np.array(item), range(11 - a, 14 - a), 20, 2) is want
-
-
-def test_recall_of_keys():
-    """Runs of 20 words with two edits share a key with their item almost always."""
-    rng = np.random.default_rng(1)
-    e = Embedding(contamination.WINDOW, contamination.REPEATS, contamination.BANDS, contamination.SAMPLE)
-    hits = 0
-    for _ in range(200):
-        item = rng.integers(1, 1 << 60, 60)
-        run = list(item[20:40])
-        for _ in range(2):
-            run[rng.integers(20)] = rng.integers(1, 1 << 60)
-        doc = np.concatenate([rng.integers(1, 1 << 60, 15 + rng.integers(3)), run, rng.integers(1, 1 << 60, 15)])
-        keys = [e.keys(w, contamination._windows(w, s)).ravel() for w, s in ((item, 1), (doc, contamination.STEP))]
-        hits += bool(np.isin(keys[1], keys[0]).any())
-    assert hits >= 190
+def brute(doc, item):
+    """Whether some 20 or more words of the item are in the document with one change in eight."""
+    for start in range(len(item) - 19):
+        cost = [0] * (len(doc) + 1)
+        for i, w in enumerate(item[start:]):
+            step = [i + 1]
+            for j, d in enumerate(doc):
+                step.append(min(cost[j] + (w != d), cost[j + 1] + 1, step[j] + 1))
+            cost = step
+            if i >= 19 and 8 * min(cost) <= i + 1:
+                return True
+    return False
 
 
 def edited(run, kind, places, new):
     run = list(run)
     for k in sorted(places, reverse=True):
-        run[k : k + (kind != "insert")] = [] if kind == "delete" else [next(new)]
+        how = kind if kind != "mixed" else ("replace", "insert", "delete")[k % 3]
+        run[k : k + (how != "insert")] = [] if how == "delete" else [next(new)]
     return run
 
 
-def test_recall_of_candidates():
-    """With the filter of windows on, edits of each kind and at the worst places leave candidates."""
-    rng, new, ids = random.Random(3), iter(range(1_000_000)), random.Random(4)
-    hash_of = lambda words: np.array([known.setdefault(w, ids.getrandbits(62)) for w in words], dtype=np.int64)
-    known, docs, items = {}, [], {}
-    for i in range(480):
-        words = [next(new) for _ in range(60)]
-        kind, places = (("replace", None), ("insert", None), ("delete", None), ("replace", (6, 13)), ("insert", (7, 13)), ("delete", (9, 10)))[i % 6]
-        around = [[next(new) for _ in range(15 + i % 4)] for _ in range(2)]
-        docs.append(hash_of([*around[0], *edited(words[20:40], kind, places or rng.sample(range(20), 2), new), *around[1]]))
-        items[i] = hash_of(words)
-    index = contamination.ItemKeys(items)
-    assert sum(text == item for text, item, _ in index.places(docs)) >= 478
-
-
-def test_leaks_with_clustered_changes(spark):
-    """28 words of 32 with the four changes side by side, so that no 20 words in a row keep more than 16."""
-    docs, items = [], []
-    for i in range(20):
-        words = [f"w{i}x{k}" for k in range(32)]
-        items.append((i, "t", "en", " ".join(words)))
-        docs.append((i, " ".join([f"a{k}" for k in range(30)] + words[:14] + [f"b{k}" for k in range(4)] + words[18:] + [f"c{k}" for k in range(30)])))
-    found = contamination.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, task string, lang string, text string"))
-    assert sorted(map(tuple, found.collect())) == [(i, i) for i in range(20)]
+def test_exact_check_against_brute_force():
+    rng, new, met = random.Random(5), iter(range(1000, 1_000_000)), [0, 0]
+    for trial in range(120):
+        size = rng.choice((20, 24, 32, 45))
+        item = [rng.randrange(40) for _ in range(size + 20)]
+        a = rng.randrange(10)
+        part = edited(item[a : a + size], "mixed", rng.sample(range(size), rng.randrange(size // 8 + 3)), new)
+        doc = [next(new) for _ in range(12)] + part + [next(new) for _ in range(12)]
+        want = brute(doc, item)
+        met[want] += 1
+        assert leaks(np.array(doc), np.array(item), 12 - a - 4, 12 - a + 4, 20, 4) == want, trial
+    assert min(met) > 20
+
+
+#: Kind of change, words of the run, and where its changes are (None: anywhere).
+EDITS = [
+    ("replace", 20, None), ("insert", 20, None), ("delete", 20, None), ("mixed", 20, None), ("replace", 20, (6, 13)), ("insert", 20, (7, 13)), ("delete", 20, (6, 13)), ("delete", 20, (9, 10)),
+    ("replace", 24, None), ("delete", 24, None), ("mixed", 24, None), ("replace", 24, (5, 11, 17)), ("replace", 24, (10, 11, 12)), ("replace", 32, None), ("mixed", 32, None), ("replace", 32, (14, 15, 16, 17)), ("replace", 32, (6, 12, 18, 25)),
+]
+
+
+def test_recall_end_to_end(spark):
+    """Of 400 planted runs of each sort, with words nobody shares around them, 95 in 100 are found; and nothing else."""
+    rng, new, trials = random.Random(3), (f"w{i}" for i in range(10_000_000)), 400
+    docs, items, kinds = [], [], []
+    for kind, size, places in EDITS:
+        for _ in range(trials):
+            words = [next(new) for _ in range(size + 30)]
+            part = edited(words[15 : 15 + size], kind, places or rng.sample(range(size), size // 8), new)
+            around = [[next(new) for _ in range(15 + len(items) % 4)] for _ in range(2)]
+            docs.append((len(docs), " ".join([*around[0], *part, *around[1]])))
+            items.append((len(items), " ".join(words)))
+            kinds.append((kind, size, places))
+    found = contamination.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r.doc_id == r.item_id for r in found)
+    met = {k: sum(kinds[r.doc_id] == k for r in found) / trials for k in EDITS}
+    print(met)
+    assert min(met.values()) >= 0.95, met
+
+
+def test_long_items_are_cut_without_loss(spark):
+    """A run across the border of two pieces, and a long item whose run is found in its last piece."""
+    words = [f"w{i}" for i in range(5000)]
+    docs = [(1, " ".join(words[1960:1999])), (2, " ".join(words[4978:])), (3, " ".join(words[1990:2007]))]
+    found = contamination.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words)), (7, " ".join(words))], "item_id long, text string"), block_words=2000)
+    assert sorted(map(tuple, found.collect())) == [(1, 7), (2, 7)]
+
+
+def test_stock_instructions_do_not_count(spark):
+    head = "choose the statement that follows from the passage below and give no reason for it whatever you think of it dear reader"
+    items = [(i, f"{head} " + " ".join(f"x{i}y{k}" for k in range(25))) for i in range(6)]
+    docs = [(1, head + " and so on"), (2, "so " + items[3][1]), (3, " ".join(items[4][1].split()[-21:]))]
+    found = contamination.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == [(2, 3), (3, 4)]
 
 
 def test_leaks_against_brute_force(spark, data):
     docs, items = table(spark, data, "documents"), table(spark, data, "eval_items")
     got = {(r.doc_id, r.item_id) for r in contamination.leaked_items(docs, items).collect()}
-    own = contamination._item_words(items)
+    own = {r.item_id: np.array(r.words) for r in contamination.item_pieces(items).collect()}
     ids = __import__("cairn.llm.cgk", fromlist=["x"]).WordIds()
     grams = {}
     for item, w in own.items():
         for k in range(len(w) - 5):
             grams.setdefault(tuple(w[k : k + 6]), []).append((item, k))
     want = set()
-    for r in docs.filter("text is not null").select("doc_id", "text").collect():  # two edits in 20 words leave six in a row
+    for r in docs.filter("text is not null").select("doc_id", "text").collect():  # one change in eight leaves six words in a row
         w = np.array([ids[x] for x in normal_words(r.text)], dtype=np.int64)
         for k in range(len(w) - 5):
-            want |= {(r.doc_id, item) for item, q in grams.get(tuple(w[k : k + 6]), ()) if (r.doc_id, item) not in want and leaks(w, own[item], [k - q], 20, 2)}
+            want |= {(r.doc_id, item) for item, q in grams.get(tuple(w[k : k + 6]), ()) if (r.doc_id, item) not in want and leaks(w, own[item], k - q - 4, k - q + 4, 20, 4)}
     assert want and got == want
 
 
