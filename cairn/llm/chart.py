@@ -13,8 +13,9 @@ import re
 OPEN = {"(": "P", "[": "B", "{": "C"}
 _GRAMMAR_TOKEN = re.compile(r"'[^']*'|[PBC]:\w+|%\w+|\w+|[()|*+?]")
 _PRIVATE = 0xE000
-#: Ranges of the characters of bracket groups.
-RANGES = {"P": (0xF000, 0xF2FF), "B": (0xF300, 0xF5FF), "C": (0xF600, 0xF8FF)}
+#: Ranges of the characters of bracket groups, and from how many kinds on they are given out anew (between files).
+RANGES = {"P": (0x100000, 0x104FFF), "B": (0x105000, 0x109FFF), "C": (0x10A000, 0x10EFFF)}
+CROWDED = 10_000
 
 
 class Grammar:
@@ -64,6 +65,7 @@ class Grammar:
         self._charts: dict[tuple[str, tuple[str, ...]], frozenset[str]] = {}
         self._group_sets: dict[str, frozenset[str]] = {}
         self._group_chars: dict[frozenset[str], str] = {}
+        self._groups = dict.fromkeys(RANGES, 0)
 
     def _char(self, symbol: str) -> str:
         return self._chars.setdefault(symbol, chr(_PRIVATE + len(self._chars)))
@@ -133,15 +135,21 @@ class Grammar:
         key = frozenset(f"{kind}:{n}" for n in names) | {f"{kind}:any"}
         char = self._group_chars.get(key)
         if char is None:
-            first, last = RANGES[kind]
-            place = first + sum(first <= ord(c) <= last for c in self._group_sets)
-            if place > last:
-                raise ValueError("too many kinds of bracket groups")
-            char = chr(place)
+            char = chr(RANGES[kind][0] + self._groups[kind])
+            self._groups[kind] += 1
             self._group_chars[key] = char
             self._group_sets[char] = key
         return char
 
+    def crowded(self) -> bool:
+        """Whether so many kinds of groups are known that all should be forgotten before the next file."""
+        return max(self._groups.values()) > CROWDED
+
+    def forget(self) -> None:
+        for known in (self._charts, self._group_sets, self._group_chars):
+            known.clear()
+        self._groups = dict.fromkeys(RANGES, 0)
+
     def squeezed(self, content: str) -> str:
         """`content` with runs of equal comma-separated elements cut to two: no list rule tells two from more."""
         return self._repeat.sub(r"\1\1", content) if len(content) > 12 else content

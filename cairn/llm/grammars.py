@@ -25,20 +25,22 @@ arr : expr? | '...'
 typeargs : type ( ',' type )* ','?
 tparams : ( 'i' ( union )? ( ',' 'i' ( union )? )* ','? )?
 union : '~'? type ( '|' '~'? type )*
-params : ( param ( ',' param )* ','? )?
-param : type | 'i' type | 'i'? '...' type
+params : ( anonymous | named )?
+anonymous : '...'? type ( ',' '...'? type )* ','?
+named : ( 'i' ',' )* 'i' '...'? type ( ',' ( 'i' ',' )* 'i' '...'? type )* ','?
 field : ids type 's'? | '*'? tname 's'? |
 method : 'i' P:params result? | union |
 stmt : stmt1? ( ';' stmt1? )*
 stmt1 : simple | decl | 'return' exprs? | 'break' 'i'? | 'continue' 'i'? | 'goto' 'i' | 'fallthrough' | C:block | if | for | switch
-  | 'select' C:select | 'go' expr | 'defer' expr | 'i' ':' stmt1
+  | 'select' C:select | 'go' call | 'defer' call | 'i' ':' stmt1
 if : 'if' ( simple ';' )? simple C:block ( 'else' ( if | C:block ) )?
 for : 'for' ( simple? ';' simple? ';' simple? | simple | range )? C:block
 switch : 'switch' ( simple? ';' )? simple? C:switch
-range : ( exprs ( ':=' | '=' ) )? 'range' expr
-simple : expr | exprs %ASG exprs | exprs ':=' exprs | expr '++' | expr '--' | expr '<-' expr
+range : ( ids ':=' | exprs '=' )? 'range' expr
+simple : expr | exprs %ASG exprs | ids ':=' exprs | expr '++' | expr '--' | expr '<-' expr
 exprs : expr ( ',' expr )*
 expr : un ( ( %BOP | '*' | '&' | '-' | '+' | '^' | '<' ) un )*
+call : base ( '.' ( 'i' | P:assert ) | P:args | B:index | C:elems )* P:args
 un : ( '-' | '+' | '!' | '^' | '*' | '&' | '<-' )* prim
 prim : base ( '.' ( 'i' | P:assert ) | P:args | B:index | C:elems )*
 base : 'n' | 's' | 'i' | P:paren | 'func' P:params result? C:block | B:arr type | 'map' B:typeargs type | 'struct' C:fields
@@ -56,7 +58,8 @@ caselist : arg ( ',' arg )*
 comm : ( ( 'case' simple | 'default' ) ':' )+ stmt
 """
 
-# Lists: content kind, name -> (unit kinds allowed first, unit kinds allowed later). Units are split at line ends.
+# Lists: content kind, name -> (unit kinds allowed first, unit kinds allowed later). Units are split at line ends and,
+# but for statements, at semicolons.
 GO_LISTS = {
     ("C", "block"): (("stmt",), ("stmt",)),
     ("C", "fields"): (("field",), ("field",)),
@@ -75,21 +78,25 @@ _JS = """
 %ASG = += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=
 unit : ( closed )* stmt
 stmt : simple | closed | open
-simple : vardecl | 'return' expr? | 'throw' expr | 'break' 'i'? | 'continue' 'i'? | 'debugger' | expr | nothing
+something : said | closed | open
+simple : said | nothing
+said : vardecl | 'return' expr? | 'throw' expr | 'break' 'i'? | 'continue' 'i'? | 'debugger' | expr
 nothing :
-vardecl : ( 'var' | 'let' | 'const' | 'using' ) decl ( ',' decl )*
-decl : target ANN ( '=' assign )?
+vardecl : VARDECL
 target : id | B:array | C:object
-closed : C:block | fn | class | 'try' C:block ( 'catch' P:catchparam? C:block )? ( 'finally' C:block )? | 'switch' P:expr C:switch
+closed : C:block | fndecl | classdecl | 'try' C:block ( 'catch' P:catchparam? C:block ( 'finally' C:block )? | 'finally' C:block ) | 'switch' P:expr C:switch
   | 'if' P:expr closed ( 'else' closed )? | ( 'while' P:expr | 'for' 'await'? P:forhdr | 'with' P:expr ) closed | id ':' closed CLOSED
-open : 'if' P:expr stmt ( ';'? 'else' stmt )? | ( 'while' P:expr | 'for' 'await'? P:forhdr | 'with' P:expr ) stmt
+open : 'if' P:expr ( stmt | ( something ';'? | ';' ) 'else' stmt ) | ( 'while' P:expr | 'for' 'await'? P:forhdr | 'with' P:expr ) stmt
   | 'do' stmt ';'? 'while' P:expr | id ':' stmt OPEN
 catchparam : target ANN
 forhdr : ( vardecl | expr )? ';' expr? ';' expr? | ( ( 'var' | 'let' | 'const' | 'using' ) target | assign ) ( 'of' assign | 'in' expr )
 fn : 'async'? 'function' '*'? id? TPARAMS P:params ANN C:block
+fndecl : 'async'? 'function' '*'? id TPARAMS P:params ANN C:block
 class : DECOS 'class' id? TPARAMS ( 'extends' call TARGS )? IMPLEMENTS C:class
+classdecl : DECOS 'class' id TPARAMS ( 'extends' call TARGS )? IMPLEMENTS C:class
 expr : assign ( ',' assign )*
-assign : arrow | 'yield' '*'? assign? | cond ( ( %ASG | '=' ) assign )?
+assign : arrow | 'yield' '*'? assign? | cond | lhs ( %ASG | '=' ) assign
+lhs : id | call '.' '#'? word | call B:expr | P:expr | B:array | C:object LHS
 arrow : 'async'? ( id | TPARAMS P:params ANN ) '=>' ( C:block | assign )
 cond : bin ( '?' assign ':' assign )?
 bin : operand ( op operand )*
@@ -111,9 +118,10 @@ param : PMODS '...'? target OPT ANN ( '=' assign )?
 member : ( method )* ( method | field | nothing )
 method : MODS 'static'? ( 'async' | 'get' | 'set' )? '*'? key OPT TPARAMS P:params ANN C:block | 'static' C:block
 field : MODS ( 'static' )? ACCESS key FIELDMARK ANN ( '=' assign )? MEMBER
+swfirst : label ( label | closed )* stmt | nothing
 swunit : ( label | closed )* stmt
 label : 'case' expr ':' | 'default' ':'
-export : 'export' ( vardecl | closed | 'default' assign | 'default' closed | '*' ( 'as' ( word | 's' ) )? 'from' 's' | C:exports ( 'from' 's' )? EXPORT ) ( closed )* stmt?
+export : 'export' ( vardecl | closed | 'default' assign | 'default' closed | 'default' fn | 'default' class | '*' ( 'as' ( word | 's' ) )? 'from' 's' | C:exports ( 'from' 's' )? EXPORT ) ( closed )* stmt?
 import : 'import' TYPEONLY ( 's' | ( id ( ',' ( C:exports | '*' 'as' id ) )? | C:exports | '*' 'as' id ) 'from' 's' ) ( 'with' C:object )? IMPORT
 exports : ( spec ( ',' spec )* ','? )?
 spec : TYPEONLY ( word | 's' ) ( 'as' ( word | 's' ) )?
@@ -128,7 +136,7 @@ _JS_RESERVED = (
 _TS_MORE = """
 closed : ( 'declare' | 'abstract' )+ closed | 'interface' id TPARAMS ( 'extends' type ( ',' type )* )? C:typebody
   | ( 'namespace' | 'module' ) ( id ( '.' word )* | 's' ) C:block | 'const'? 'enum' id C:enum | 'global' C:block
-simple : 'type' id TPARAMS '=' type | 'declare' simple | 'import' id '=' expr | 'declare'? fnsig
+said : 'type' id TPARAMS '=' type | 'declare' said | 'import' id '=' expr | 'declare'? fnsig
 fnsig : 'async'? 'function' '*'? id TPARAMS P:params ANN
 type : fntype | ctype
 fntype : 'abstract'? 'new'? TPARAMS P:params '=>' rettype
@@ -159,15 +167,17 @@ annotation : ':' rettype
 _SLOTS = {
     "js": {
         "ANN": "", "CLOSED": "", "OPEN": "", "TPARAMS": "", "DECOS": "", "TARGS": "", "IMPLEMENTS": "", "AS": "", "PRIM": "", "SUFFIX": "", "PMODS": "", "OPT": "", "MODS": "",
-        "ACCESS": "", "FIELDMARK": "", "MEMBER": "", "EXPORT": "", "TYPEONLY": "", "IMPORT": "", "IDS": "",
+        "ACCESS": "", "FIELDMARK": "", "MEMBER": "", "EXPORT": "", "TYPEONLY": "", "IMPORT": "", "IDS": "", "LHS": "",
+        "VARDECL": "( 'var' | 'let' | 'using' ) decl ( ',' decl )* | 'const' set ( ',' set )*\ndecl : id | set\nset : target '=' assign",
     },
     "ts": {
         "ANN": "annotation?", "CLOSED": "", "OPEN": "", "TPARAMS": "tparams?", "DECOS": "( deco )*", "TARGS": "targs?", "IMPLEMENTS": "( 'implements' type ( ',' type )* )?",
-        "AS": "( ( 'as' | 'satisfies' ) ( type | 'const' ) )*", "PRIM": "| '<' type '>' un", "SUFFIX": "| '!' | targs", "PMODS": "( deco )* ( 'public' | 'private' | 'protected' | 'readonly' | 'override' )*",
+        "AS": "( ( 'as' | 'satisfies' ) ( type | 'const' ) )*", "PRIM": "| '<' ( type | 'const' ) '>' un", "SUFFIX": "| '!' | targs", "PMODS": "( deco )* ( 'public' | 'private' | 'protected' | 'readonly' | 'override' )*",
         "OPT": "'?'?", "MODS": "( deco )* ( 'public' | 'private' | 'protected' | 'readonly' | 'override' | 'abstract' | 'declare' )*",
         "ACCESS": "( 'readonly' | 'override' | 'abstract' | 'declare' | 'accessor' )*", "FIELDMARK": "( '?' | '!' )?",
         "MEMBER": "| MODS 'static'? ( 'async' | 'get' | 'set' )? '*'? key '?'? tparams? P:params annotation? | MODS 'static'? 'readonly'? B:mapped annotation",
-        "EXPORT": "| '=' assign | simple | 'type' C:exports ( 'from' 's' )? | 'type' '*' ( 'as' id )? 'from' 's' | 'as' 'namespace' id", "TYPEONLY": "'type'?", "IMPORT": "| 'import' 'type'? id '=' expr", "IDS": "",
+        "EXPORT": "| '=' assign | simple | 'type' C:exports ( 'from' 's' )? | 'type' '*' ( 'as' id )? 'from' 's' | 'as' 'namespace' id", "TYPEONLY": "'type'?", "IMPORT": "| 'import' 'type'? id '=' expr", "IDS": "", "LHS": "| call '!'",
+        "VARDECL": "( 'var' | 'let' | 'const' | 'using' ) decl ( ',' decl )*\ndecl : target ANN ( '=' assign )?",
     },
 }
 
@@ -192,7 +202,7 @@ def _split_words(text: str, slot: str) -> list[str]:
 
 _JS_LISTS = {
     ("C", "block"): (("unit",), ("unit",)),
-    ("C", "switch"): (("swunit",), ("swunit",)),
+    ("C", "switch"): (("swfirst",), ("swunit",)),
     ("C", "class"): (("member",), ("member",)),
     ("", "file"): (("unit", "import", "export"), ("unit", "import", "export")),
 }
@@ -202,6 +212,7 @@ RUST = """
 %BOP = + / % == != <= >= ^ << && &
 %ASG = += -= *= /= %= ^= &= |= <<= >>=
 unit : ( closed )* stmt
+iunit : ( attr* vis? closeditem | attr* path '!' 'i'? C:any )* ( nothing | item | attr* path '!' ( P:any | B:any ) )
 stmt : nothing | let | item | expr
 nothing :
 attr : '#' '!'? B:any
@@ -213,9 +224,10 @@ closeditem : 'mod' 'i' C:items | fn C:block | 'struct' 'i' tparams? where? C:fie
   | 'unsafe'? 'trait' 'i' tparams? ( ':' bounds )? where? C:items | 'unsafe'? 'impl' tparams? '!'? type ( 'for' type )? where? C:items
   | 'unsafe'? 'extern' 's'? C:items | 'i' '!' 'i' C:any
 openitem : 'use' usetree | 'mod' 'i' | fn | 'struct' 'i' tparams? ( P:tfields where? | where )? | 'type' 'i' tparams? ( ':' bounds )? where? ( '=' type )? where?
-  | ( 'const' | 'static' ) 'mut'? ( 'i' | '_' ) ':' type ( '=' expr )? | 'extern' 'i' 'i' ( 'as' ( 'i' | '_' ) )?
+  | ( 'const' | 'static' ) 'mut'? ( 'i' | '_' ) ':' type ( '=' expr )? | 'extern' 'i' name ( 'as' ( 'i' | '_' ) )?
 fn : ( 'const' | 'async' | 'unsafe' | 'extern' 's'? )* 'fn' 'i' tparams? P:params ( '->' type )? where?
-usetree : '::'? ( 'i' '::' )* ( 'i' ( 'as' ( 'i' | '_' ) )? | '*' | C:usetrees )
+usetree : '::'? ( name '::' )* ( name ( 'as' ( 'i' | '_' ) )? | '*' | C:usetrees )
+name : 'i' | 'self'
 usetrees : ( usetree ( ',' usetree )* ','? )?
 where : 'where' ( ( type | 'l' ) ':' bounds? ( ',' ( type | 'l' ) ':' bounds? )* ','? )?
 tparams : '<' ( tparam ( ',' tparam )* ','? )? '>'
@@ -223,7 +235,7 @@ tparam : 'l' ( ':' bounds )? | 'const' 'i' ':' type ( '=' expr )? | 'i' ( ':' bo
 bounds : bound ( '+' bound )* '+'?
 bound : '?'? type | 'l' | 'for' tparams type
 params : ( param ( ',' param )* ','? )?
-param : attr* ( pat ':' type | '&' 'l'? 'mut'? 'i' | 'mut'? 'i' ( ':' type )? | '...' )
+param : attr* ( pat ':' type | '&' 'l'? 'mut'? 'self' | 'mut'? 'self' ( ':' type )? | '...' )
 fields : ( field ( ',' field )* ','? )?
 field : attr* vis? 'i' ':' type
 tfields : ( attr* vis? type ( ',' attr* vis? type )* ','? )?
@@ -235,7 +247,7 @@ types : ( type ( ',' type )* ','? )? | bounds
 fntypes : ( ( ( 'i' | '_' ) ':' )? type ( ',' ( ( 'i' | '_' ) ':' )? type )* ','? )?
 arrtype : type ( ';' expr )?
 tpath : ( '::' | '<' type ( 'as' type )? '>' '::' )? tseg ( '::' tseg )*
-tseg : 'i' ( '::'? targs | P:types ( '->' type )? )?
+tseg : name ( '::'? targs | P:types ( '->' type )? )?
 targs : '<' ( targ ( ',' targ )* ','? )? '>'
 targ : type | 'l' | 'n' | 's' | C:block | 'i' targs? ( '=' type | ':' bounds )
 pat : '|'? pat1 ( '|' pat1 )*
@@ -245,7 +257,7 @@ lit : '-'? 'n' | 's'
 pats : ( pat ( ',' pat )* ','? )?
 fpats : ( fpat ( ',' fpat )* ','? )?
 fpat : attr* ( 'ref'? 'mut'? 'i' ( ':' pat )? | 'n' ':' pat | '..' )
-path : ( '::' | '<' type ( 'as' type )? '>' '::' )? 'i' ( '::' ( 'i' | targs ) )*
+path : ( '::' | '<' type ( 'as' type )? '>' '::' )? name ( '::' ( 'i' | targs ) )*
 expr : bin ( ( %ASG | '=' | '>' '>=' ) expr )? | jump
 jump : 'return' expr? | 'break' 'l'? expr? | 'continue' 'l'?
 bin : range ( op range )*
@@ -269,56 +281,73 @@ armhead : attr* pat ( 'if' cond )? '=>'
 """
 RUST_LISTS = {
     ("C", "block"): (("unit",), ("unit",)),
-    ("C", "items"): (("unit",), ("unit",)),
-    ("", "file"): (("unit",), ("unit",)),
+    ("C", "items"): (("iunit",), ("iunit",)),
+    ("", "file"): (("iunit",), ("iunit",)),
 }
 
 PYTHON = """
 %BOP = / // % @ << >> & | ^ == != <= >= < > and or + is
 %ASG = += -= *= /= //= %= @= &= |= ^= >>= <<= **=
 simple : small ( ';' small )* ';'?
-small : exprs ( '=' rhs )* | prim ':' expr ( '=' rhs )? | prim %ASG rhs | 'return' exprs? | 'raise' ( expr ( 'from' expr )? )? | 'pass' | 'break' | 'continue'
+small : exprs | ( targets '=' )+ rhs | ( target | P:single ) ':' expr ( '=' rhs )? | ( target | P:single ) %ASG rhs | 'return' exprs? | 'raise' ( expr ( 'from' expr )? )? | 'pass' | 'break' | 'continue'
   | 'import' dotted ( 'as' id )? ( ',' dotted ( 'as' id )? )* | 'from' ( '.' | '...' )* dotted? 'import' ( '*' | names | P:names ) | ( 'global' | 'nonlocal' ) id ( ',' id )*
-  | 'assert' expr ( ',' expr )? | 'del' exprs | 'type' id B:tparams? '=' expr | yield
+  | 'assert' expr ( ',' expr )? | 'del' targets | 'type' id B:tparams? '=' expr | yield
 names : id ( 'as' id )? ( ',' id ( 'as' id )? )* ','?
 dotted : id ( '.' id )*
 rhs : exprs | yield
 yield : 'yield' ( 'from' expr | exprs )?
 header : hdr ':' simple?
-hdr : 'async'? 'for' exprs 'in' exprs | 'while' expr | 'if' expr | 'elif' expr | 'else' | 'try' | 'except' '*'? ( expr ( ',' expr )* ( 'as' id )? )? | 'finally' | 'async'? 'with' ( witems | P:witems )
-  | 'async'? 'def' id B:tparams? P:params ( '->' expr )? | 'class' id B:tparams? P:args? | 'match' exprs | 'case' pats ( 'if' expr )?
-witems : expr ( 'as' prim )? ( ',' expr ( 'as' prim )? )* ','?
+hdr : 'async'? 'for' targets 'in' exprs | 'while' nexpr | 'if' nexpr | 'elif' nexpr | 'else' | 'try' | 'except' '*'? ( expr ( ',' expr )* ( 'as' id )? )? | 'finally' | 'async'? 'with' ( witems | P:witems )
+  | 'async'? 'def' id B:tparams? P:params ( '->' expr )? | 'class' id B:tparams? P:args? | 'match' nexprs | 'case' pats ( 'if' nexpr )?
+witems : nexpr ( 'as' goal )? ( ',' nexpr ( 'as' goal )? )* ','?
+targets : ( '*'? goal ) ( ',' '*'? goal )* ','?
+goal : target | P:goals | B:goals
+goals : targets?
+single : target | P:single
+target : id | prim ( B:sub | '.' id )
 pats : pat ( ',' pat )* ','?
 pat : por ( 'as' id )?
 por : patom ( '|' patom )*
-patom : '-'? 'n' ( ( '+' | '-' ) 'n' )? | 's'+ | dotted P:pargs? | P:pseq | B:pseq | C:pmap | '*' id
+patom : 'True' | 'False' | 'None' | '-'? 'n' ( ( '+' | '-' ) 'n' )? | 's'+ | dotted P:pargs? | P:pseq | B:pseq | C:pmap | '*' id
 pargs : ( ( id '=' )? pat ( ',' ( id '=' )? pat )* ','? )?
 pseq : pats?
 pmap : ( pitem ( ',' pitem )* ','? )?
 pitem : patom ':' pat | '**' id
-decorator : '@' expr
+decorator : '@' nexpr
 exprs : star ( ',' star )* ','?
 star : '*' bin | expr
-expr : ( id ':=' )? tern
+expr : tern
+nexpr : ( id ':=' )? tern
+nstar : '*' bin | nexpr
+nexprs : nstar ( ',' nstar )* ','?
 tern : bin ( 'if' bin 'else' tern )? | 'lambda' lparams ':' expr
 bin : un ( ( %BOP | '-' | '*' | '**' | '+' | 'in' | 'not' 'in' | 'is' 'not' ) un )*
 un : ( 'not' | '-' | '+' | '~' | 'await' )* prim
 prim : atom ( P:args | B:sub | '.' id )*
-atom : id | 'n' | 's'+ | P:tuple | B:list | C:dict | '...'
-tuple : exprs? | expr comp | yield
-list : exprs? | expr comp
-dict : ( ditem ( ',' ditem )* ','? )? | exprs | expr comp | expr ':' expr comp
+atom : id | 'True' | 'False' | 'None' | 'n' | 's'+ | P:tuple | B:list | C:dict | '...'
+tuple : nexprs? | nexpr comp | yield
+list : nexprs? | nexpr comp
+dict : ( ditem ( ',' ditem )* ','? )? | nexprs | nexpr comp | expr ':' expr comp
 ditem : expr ':' expr | '**' bin
-comp : ( 'async'? 'for' exprs 'in' bin cond* )+
-cond : 'if' bin | 'if' 'lambda' lparams ':' expr
-args : ( arg ( ',' arg )* ','? )? | expr comp
-arg : expr | id '=' expr | '*' expr | '**' expr | expr comp
+comp : ( 'async'? 'for' targets 'in' source cond* )+
+source : bin | bin 'if' bin 'else' bin | 'lambda' lparams ':' bin
+cond : 'if' bin | 'if' id ':=' bin | 'if' 'lambda' lparams ':' expr
+args : ( ( plain ( ',' keyed )? | keyed ) ','? )? | nexpr comp
+plain : ( nexpr | '*' expr ) ( ',' ( nexpr | '*' expr ) )*
+keyed : ( id '=' expr ( ',' ( id '=' expr | '*' expr ) )* ( ',' mapped )? ) | mapped
+mapped : '**' expr ( ',' ( '**' expr | id '=' expr ) )*
 sub : slice ( ',' slice )* ','?
-slice : star | expr? ':' expr? ( ':' expr? )?
-params : ( param ( ',' param )* ','? )?
-param : ( '*' | '**' )? id ( ':' star )? ( '=' expr )? | '*' | '/'
-lparams : ( lparam ( ',' lparam )* ','? )?
-lparam : ( '*' | '**' )? id ( '=' expr )? | '*' | '/'
+slice : nstar | expr? ':' expr? ( ':' expr? )?
+params : ( ( ahead ( ',' rest )? | rest ) ','? )?
+ahead : p ( ',' p )* ( ',' '/' ( ',' p )* )? ( ',' d ( ',' d )* ( ',' '/' ( ',' d )* )? )? | d ( ',' d )* ( ',' '/' ( ',' d )* )?
+rest : ( '*' id ( ':' star )? | '*' ',' ( p | d ) ) ( ',' ( p | d ) )* ( ',' '**' p )? | '**' p
+p : id ( ':' expr )?
+d : p '=' expr
+lparams : ( ( lahead ( ',' lrest )? | lrest ) ','? )?
+lahead : id ( ',' id )* ( ',' '/' ( ',' id )* )? ( ',' ld ( ',' ld )* ( ',' '/' ( ',' ld )* )? )? | ld ( ',' ld )* ( ',' '/' ( ',' ld )* )?
+lrest : ( '*' id | '*' ',' ( id | ld ) ) ( ',' ( id | ld ) )* ( ',' '**' id )? | '**' id
+ld : id '=' expr
+field : ( nexprs | yield ) '='?
 tparams : tparam ( ',' tparam )* ','?
 tparam : ( '*' | '**' )? id ( ':' expr )? ( '=' star )?
 id : 'i' | 'match' | 'case' | 'type'

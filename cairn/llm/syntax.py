@@ -57,6 +57,8 @@ class _Kinds(dict):
     def __init__(self, language: str, grammar: Grammar):
         super().__init__()
         self.language, self.grammar = language, grammar
+        #: Columns of an indent, tabs going to multiples of eight and counting one, by the place of its kind.
+        self.columns: list[tuple[int, int]] = [(0, 0)]
 
     def __missing__(self, token: str) -> str:
         if len(self) > 300_000:
@@ -71,8 +73,13 @@ class _Kinds(dict):
         if token in words and token not in ("i", "n", "s", "t", "l"):
             return words[token]
         if first == "\n" or (self.language == "py" and last in " \t\f\n" and "\n" in token and first in " \t\r\f#\n"):
-            indent = token.rpartition("\n")[2].expandtabs(8)
-            return chr(_INDENT + min(len(indent), 9999)) if self.language == "py" else "\n"
+            if self.language != "py":
+                return "\n"
+            indent = re.split("[\n\f]", token)[-1]
+            columns = (len(indent.expandtabs(8)), len(indent))
+            if columns not in self.columns:
+                self.columns.append(columns)
+            return chr(_INDENT + self.columns.index(columns))
         if self.language == "py" and first in " \t\r\f#" and "\n" in token:
             return chr(_INDENT)
         if token.startswith("/*"):
@@ -81,10 +88,12 @@ class _Kinds(dict):
             return words.get("t", BAD) if len(token) > 1 and last == "`" and self._template(token) else BAD
         if first == "'" and self.language == "rs" and (last != "'" or len(token) == 1):
             return words["l"] if len(token) > 1 else BAD
+        if self.language == "py" and last in "\"'" and (m := _F_START.match(token)):
+            return words["s"] if self._fields(token, m) else BAD
         if len(token) > 1 and (last in "\"'`" or (first == "/" and self.language in ("js", "ts")) or (self.language == "rs" and last == "#")):
             return words["s"]
         if first.isdigit() or (first == "." and len(token) > 1 and token[1].isdigit()):
-            return words["n"] if _number(token) else BAD
+            return words["n"] if _number(token, self.language) else BAD
         if first == "r" and token[1:2] == "#":
             return words["i"]
         if first.isalpha() or first in "_$":
@@ -92,19 +101,127 @@ class _Kinds(dict):
         return BAD
 
     def _template(self, token: str) -> bool:
-        at, checker = 0, checker_of(self.language)
-        while (at := token.find("${", at)) >= 0:
-            depth, end = 1, at + 2
-            while end < len(token) and depth:
-                depth += {"{": 1, "}": -1}.get(token[end], 0)
-                end += 1
-            if not checker.derives_text(token[at + 2 : end - 1], "expr"):
-                return False
-            at = end
-        return True
-
-
-def _number(token: str) -> bool:
+        holes: list[str] = []
+        checker = checker_of(self.language)
+        return _template_end(token, 1, holes) == len(token) and all(checker.derives_text(code, "expr") for code in holes)
+
+    def _fields(self, token: str, start: re.Match) -> bool:
+        fields: list[str] = []
+        checker = checker_of("py")
+        return _f_end(token, start.end(), start.group(2), fields) == len(token) and all(checker.derives_text(code, "field") for code in fields)
+
+
+#: What matters inside a template, in the code inside it, inside an f-string and inside a replacement field of it.
+_IN_TEMPLATE = re.compile(r"`|\\[\s\S]|\$\{")
+_IN_CODE = re.compile(rf"{_DQ}|{_SQ}|{_SLASHES}|{_BLOCK}|[`{{}}]")
+_F_START = re.compile(r"(?<!\w)([fF][rR]?|[rR][fF])(\"\"\"|'''|\"|')")
+_IN_F = re.compile(r"\\[^{}]|\{\{|\}\}|\"\"\"|'''|[\"'{}\n]")
+_IN_FIELD = re.compile(r"([A-Za-z]*)(\"\"\"|'''|\"|')|!=|[()\[\]{}:!]|#[^\n]*")
+_PLAIN = {q: re.compile(rf"(?:[^\\]|\\[\s\S])*?{q}" if len(q) == 3 else rf"(?:[^{q}\\\n]|\\[\s\S])*{q}") for q in ('"""', "'''", '"', "'")}
+_REGEX_BODY = re.compile(r"/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+_BEFORE_REGEX = frozenset("return typeof case in of instanceof new delete void throw do else yield await".split())
+_HEADS = frozenset(("if", "while", "for", "with"))
+
+
+def _template_end(text: str, at: int, holes: list[str] | None = None) -> int:
+    """Where the template ends whose text begins at `at`, -1 if nowhere; its own code goes to `holes`.
+
+    The stack holds what is open: 0 for a template's text, else the number of open braces of code in one.
+    """
+    stack, began = [0], at
+    while stack:
+        m = (_IN_CODE if stack[-1] else _IN_TEMPLATE).search(text, at)
+        if not m:
+            return -1
+        at, mark = m.end(), m.group()
+        if mark == "`":
+            if stack[-1]:
+                stack.append(0)
+            else:
+                stack.pop()
+        elif mark == "${":
+            stack.append(1)
+            began = at if len(stack) == 2 else began
+        elif mark in ("{", "}") and stack[-1]:
+            stack[-1] += 1 if mark == "{" else -1
+            if not stack[-1]:
+                stack.pop()
+                if len(stack) == 1 and holes is not None:
+                    holes.append(text[began : at - 1])
+    return at
+
+
+def _f_end(text: str, at: int, quote: str, fields: list[str]) -> int:
+    """Where the f-string ends whose text begins at `at`, -1 if nowhere; its expressions go to `fields`.
+
+    The stack holds what is open: a string's quote, a replacement field as [start of its expression, its open
+    brackets], and ":" for a format.
+    """
+    stack: list = [quote]
+    while stack:
+        top = stack[-1]
+        if isinstance(top, list):
+            m = _IN_FIELD.search(text, at)
+            if not m:
+                return -1
+            at, mark = m.end(), m.group()
+            if m.group(2):
+                if "f" in m.group(1).lower():
+                    stack.append(m.group(2))
+                else:
+                    m = _PLAIN[m.group(2)].match(text, at)
+                    if not m:
+                        return -1
+                    at = m.end()
+            elif mark in "([{":
+                top[1] += 1
+            elif mark in ")]}" and top[1]:
+                top[1] -= 1
+            elif mark in ":!}" and not top[1]:
+                fields.append(text[top[0] : at - 1])
+                if mark == "!":
+                    m = re.compile(r"\s*[rsa]\s*([:}])").match(text, at)
+                    if not m:
+                        return -1
+                    at, mark = m.end(), m.group(1)
+                stack.pop()
+                if mark == ":":
+                    stack.append(":")
+            elif mark[0] in ")]":
+                return -1
+            continue
+        m = _IN_F.search(text, at)
+        if not m:
+            return -1
+        at, mark = m.end(), m.group()
+        if mark == "{" or (top == ":" and mark == "{{"):
+            at = m.start() + 1
+            stack.append([at, 0])
+        elif top == ":":
+            if mark in ("}", "}}"):
+                at = m.start() + 1
+                stack.pop()
+            elif mark == "\n" or mark[0] in "\"'":
+                whole = next(x for x in reversed(stack) if isinstance(x, str) and x != ":")
+                if mark == whole or (mark == "\n" and len(whole) == 1):
+                    return -1
+        elif mark == top:
+            stack.pop()
+        elif len(top) == 1 and (mark == "\n" or (len(mark) == 3 and mark[0] == top)):
+            if mark == "\n":
+                return -1
+            at = m.start() + 1
+            stack.pop()
+        elif mark == "\\N" and text[at : at + 1] == "{":
+            at = text.find("}", at) + 1 or len(text)
+        elif mark == "}":
+            return -1
+    return at
+
+
+def _number(token: str, language: str = "") -> bool:
+    if language == "py" and token[0] == "0" and token.replace("_", "").isdigit() and token.strip("0_"):
+        return False
     return not (token.endswith("_") or "__" in token or (len(token) > 1 and token[0] == "0" and token.isdigit() and token.strip("0") != "" and set(token) & set("89")))
 
 
@@ -118,7 +235,7 @@ class Checker:
         words = sorted((w for w in g.words if w not in ("i", "n", "s", "t", "l") and not re.fullmatch(r"\w+", w)), key=len, reverse=True)
         ops = "|".join(map(re.escape, words))
         newline = _NEWLINE[language]
-        word = r"[^\W\d]\w*" if language in ("go", "py", "rs") else r"(?:[^\W\d]|\$)[\w$]*"
+        word = "[^\\W\\d][\\w\U000e0100-\U000e01ef]*" if language == "py" else r"[^\W\d]\w*" if language in ("go", "rs") else r"(?:[^\W\d]|\$)[\w$]*"
         lead = f"({newline}|" if newline else "("
         body = f"{_LITERAL[language]}|{word}|{ops}|[\\s\\S])"
         skip = _SKIP[language]
@@ -142,6 +259,10 @@ class Checker:
             heads = c("if", "while", "for", "with")
             self._glue = re.compile(f"(?<=[{re.escape(before + both)}])\n+|\n+(?=[{re.escape(after + both)}])|(?<=[{heads}][{groups['P']}])\n+|(?<=[{groups['P']}])\n+(?=[{groups['C']}])|^\n+|\n+$")
             self._else = re.compile(f"{c(';')}(?=\n*{c('else')})")
+            #: An arrow function with a block as its body is no operand.
+            self._called_arrow = re.compile(f"{c('=>')}[{groups['C']}][{groups['P']}{groups['B']}{c('.', '?.')}{g._char('%BOP')}]")
+        #: A statement doesn't begin with a function or class that has no name.
+        self._nameless = re.compile(f"{c('async')}?{c('function')}{c('*')}?[{groups['P']}]|{c('class')}[{c('extends')}{groups['C']}]") if language in ("js", "ts") else None
         keywords = {
             "rs": "let for while loop return match pub fn struct impl use enum trait mod const static".split(),
             "js": "if for const let var return function class export import throw try switch break continue".split(),
@@ -150,9 +271,44 @@ class Checker:
         if language in keywords:
             self._boundary = re.compile(f"(?<=[{groups['C']}])(?=[{c(*keywords[language])}])")
 
-    def tokens(self, text: str) -> list[str]:
+    def _found(self, source: str):
+        """(place, token) of all tokens, one after the other: slower than `tokens`, but it knows what may nest
+        without end (templates, f-strings) and, by what came before, where a slash begins a regular expression."""
+        at, size, python, script = 0, len(source), self.language == "py", self.language in ("js", "ts")
+        before, line_end, heads, headed = "", False, [], False
+        while at < size:
+            end = 0
+            if python:
+                m = _F_START.match(source, at)
+                end = _f_end(source, m.end(), m.group(2), []) if m else 0
+            elif script and source[at] == "`":
+                end = _template_end(source, at + 1)
+            elif script and source[at] == "/" and source[at + 1 : at + 2] not in ("/", "*"):
+                ready = not before or before in _BEFORE_REGEX or (before == ")" and headed) or (before == "}" and line_end) or not (before[-1].isalnum() or before[-1] in "_$\"'`)]}" or before in ("++", "--"))
+                m = _REGEX_BODY.match(source, at) if ready else None
+                end = m.end() if m else at + 1 + (source[at + 1 : at + 2] == "=")
+            if end > at:
+                token = source[at:end]
+            else:
+                m = self._tokens.match(source, at)
+                end = m.end()
+                token = next((t for t in m.groups()[: 1 + python] if t), "")
+            if token:
+                yield at, token
+                if token == "(":
+                    heads.append(before in _HEADS)
+                elif token == ")":
+                    headed = bool(heads) and heads.pop()
+                line_end = token == "\n" or (line_end and token.startswith("/*"))
+                if token != "\n" and not token.startswith("/*"):
+                    before = token
+            at = end
+
+    def tokens(self, text: str, nested: bool = False) -> list[str]:
         """Kinds of the tokens, brackets as they are."""
         kinds = self.kinds
+        if nested:
+            return [kinds[t] for _, t in self._found("\n" + text if self.language == "py" else text)]
         if self.language == "rs":
             return [kinds[t] for t, _ in self._tokens.findall(text) if t]
         if self.language == "py":
@@ -160,10 +316,13 @@ class Checker:
         return [kinds[t] for t in self._tokens.findall(text) if t]
 
     # contents
-    def _units(self, content: str) -> list[str]:
+    def _units(self, content: str, name: str = "") -> list[str]:
         g = self.grammar
         if self.language == "go":
-            return [u for u in self._end.sub(_SEP, content).replace("\n", "").split(_SEP) if u]
+            parted = self._end.sub(_SEP, content).replace("\n", "")
+            if name not in ("block", "switch", "select"):  # whose headers hold semicolons as well
+                parted = parted.replace(g.words[";"], _SEP)
+            return [u for u in parted.split(_SEP) if u]
         if self.language == "rs":
             flat = content if g.words["=>"] in content else self._boundary.sub(g.words[";"], content)
             return [u for u in flat.split(g.words[";"]) if u]
@@ -176,14 +335,20 @@ class Checker:
         return units
 
     def _is_list(self, content: str, kind: str, name: str) -> bool:
-        first, rest = self.lists[(kind, name)]
-        allowed = first
-        for unit in self._units(content):
-            if not self.grammar.derives(unit, allowed):
+        allowed, rest = self.lists[(kind, name)]
+        if self.language == "js" and self._called_arrow.search(content):
+            return False
+        for unit in self._units(content, name):
+            found = self.grammar.derives(unit, allowed)
+            if not found or self._nameless and self._nameless.match(unit):
                 return False
-            allowed = rest
+            allowed = self._later(found, rest)
         return True
 
+    def _later(self, found: frozenset[str], rest: tuple[str, ...]) -> tuple[str, ...]:
+        """What may come after a unit: in Go no import after another declaration."""
+        return ("decl",) if self.language == "go" and found == {"decl"} else rest
+
     def _flat(self, content: str) -> str:
         if self.language == "go":
             return self._end.sub(_SEP, content).replace("\n", "")
@@ -193,6 +358,8 @@ class Checker:
 
     def names_of(self, kind: str, content: str) -> frozenset[str]:
         """What a bracket's content can be."""
+        if self.language == "js" and self._called_arrow.search(content):
+            return frozenset()
         listed = [n for k, n in self.lists if k == kind]
         plain = tuple(n for n in self.grammar.group_names[kind] if n not in listed)
         found = self.grammar.derives(self.grammar.squeezed(self._flat(content)), plain) if plain else frozenset()
@@ -214,13 +381,26 @@ class Checker:
                 return kinds
 
     def derives_text(self, text: str, start: str) -> bool:
-        flat = self._flat(self.collapsed("".join(self.tokens(text))))
-        return bool(self.grammar.derives(flat, (start,)))
+        for nested in (False, True):
+            flat = self._flat(self.collapsed("".join(self.tokens(text, nested))))
+            if self.grammar.derives(flat, (start,)):
+                return True
+            if self.language not in ("js", "ts", "py"):
+                break
+        return False
 
     # files
     def valid(self, text: str) -> bool:
         """Whether the whole file is in the language."""
-        kinds = "".join(self.tokens(text))
+        if self.grammar.crowded():
+            self._memo.clear()
+            self.grammar.forget()
+        if self._valid("".join(self.tokens(text))):
+            return True
+        nests = ("`" in text or "/" in text) if self.language in ("js", "ts") else self.language == "py" and _F_START.search(text)
+        return bool(nests) and self._valid("".join(self.tokens(text, True)))
+
+    def _valid(self, kinds: str) -> bool:
         if BAD in kinds:
             return False
         flat = self.collapsed(kinds)
@@ -239,7 +419,7 @@ class Checker:
         """Number (from 0) of the first logical line that is wrong, None if all are right."""
         g = self.grammar
         parts = re.split("([\U000f0000-\U000fffff])", flat)
-        stack: list[list] = [[0, None]]  # indent, what the last statement there began with
+        stack: list[list] = [[(0, 0), None]]  # indent, what the last statement there began with
         opened = False
         decorated = False
         number = -1
@@ -247,15 +427,15 @@ class Checker:
             if not line:
                 continue
             number += 1
-            indent = ord(indent_char) - _INDENT
-            if opened:
-                if indent <= stack[-1][0]:
+            indent = self.kinds.columns[ord(indent_char) - _INDENT]
+            if opened:  # deeper however tabs are counted
+                if indent[0] <= stack[-1][0][0] or indent[1] <= stack[-1][0][1]:
                     return number
                 stack.append([indent, None])
-            elif indent > stack[-1][0]:
+            elif indent[0] > stack[-1][0][0]:
                 return number
             else:
-                while indent < stack[-1][0]:
+                while indent[0] < stack[-1][0][0]:
                     if stack.pop()[1] == "try":
                         return number
                 if indent != stack[-1][0]:
@@ -309,12 +489,9 @@ class Checker:
         source = "\n" + text if self.language == "py" else text
         stack: list[list] = [["", 1, []]]
         line, at = 1 - (self.language == "py"), 0
-        for m in self._tokens.finditer(source):
-            line += source.count("\n", at, m.start())
-            at = m.start()
-            token = next((t for t in m.groups()[: 1 + (self.language == "py")] if t), None)
-            if token is None:
-                continue
+        for start, token in self._found(source):
+            line += source.count("\n", at, start)
+            at = start
             kind = self.kinds[token]
             if kind == BAD:
                 return line, "token"
@@ -329,7 +506,7 @@ class Checker:
                     return self._first_bad(content, OPEN[_CLOSE[kind]], began), "content"
                 stack[-1][2].append((char, began))
             else:
-                stack[-1][2].append((kind, line + (source.count("\n", m.start(), m.end()) if self.language == "py" and token[0] in "\n# \t" else 0)))
+                stack[-1][2].append((kind, line + (token.count("\n") if self.language == "py" and token[0] in "\n# \t" else 0)))
         if len(stack) > 1:
             return stack[-1][1], "unclosed"
         content = stack[0][2]
@@ -343,15 +520,16 @@ class Checker:
         """Line where the shortest prefix ends that nothing right begins with, among the lists of this kind."""
         flat = "".join(k for k, _ in content)
         far = 0
-        for (k, _), (first, rest) in self.lists.items():
+        for (k, name), (first, rest) in self.lists.items():
             if k != kind:
                 continue
             place, allowed = 0, first
-            for unit in self._units(flat):
-                if not self.grammar.derives(unit, allowed):
+            for unit in self._units(flat, name):
+                found = self.grammar.derives(unit, allowed)
+                if not found:
                     break
                 place += len(unit)
-                allowed = rest
+                allowed = self._later(found, rest)
             far = max(far, place)
         seen = 0
         for k, ln in content:

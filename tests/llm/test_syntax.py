@@ -1,4 +1,7 @@
 import ast
+import glob
+import os
+import sysconfig
 import warnings
 
 import pytest
@@ -24,13 +27,26 @@ WRONG = {
 }
 
 
+# fmt: off
+MORE_VALID = {"go":["package a\ntype S struct { a int; b string }\n",'package a\nimport ("a"; "b")\n',"package a\nvar ( x = 1; y = 2 )\n",'package a; import "fmt"\n',"package a\ntype I interface { M(); N() }\n","package a\nfunc f(a, b int, c ...string) (x, y int, err error) {\n\tdefer func() { recover() }()\n\tgo x.y[1].z(2)\n\tfor i, v := range x {\n\t}\n\tfor i = range x {\n\t}\n\tif a, ok := b.(T); ok {\n\t}\n\tswitch x := y.(type) {\n\tcase int:\n\t}\n\tL: for {\n\tbreak L\n\t}\n}\nfunc g(int, string) {}\nfunc h(f func(int) error, m map[string]int) {}\n"],
+"js":["if (x) /a/.exec(y);\n","let s = `a ${ {b: {c: {d: 1}}} } ${`x${`y${z}`}`}`;\n","for (const x of y) f();\nfor (const k in o) {}\nfor (let i = 0, n = 1; i < n; i++);\n","const {a, b: [c]} = d;\n[a, b] = [b, a];\n({a} = b);\na.b.c = d[e] = f().g = 1;\n","export default function () {}\nexport default class {}\n","if (a) ; else b\nif (a) b; else c\nif (a) { } else if (d) e()\n","try {} catch {}\ntry {} finally {}\n","switch (a) { }\nswitch (a) { case 1: case 2: b(); break\n default: c() }\n","x = a => { return 1 }\nf(a => {}, b => ({}))\n(() => {})()\n","a = b / c / d;\nx = (a + b) / 2 / 3\nlet r = /[/]/.test(s) ? a++ / 2 : 1\n","    /^x/.test(y)\n"],
+"ts":['let x = <const>["a"];\n',"declare const y: number;\nexport declare function f(a: string): void;\nfunction g(a: string): void;\nfunction g(a: any) {}\nx! = 1; (y as any) = 2; a!.b = 3\n","export abstract class A<T> { abstract f(): T }\nexport default abstract class B {}\n"],
+"py":["f(a, *b, c=1, *d, **e)\nf(x for x in y)\nf(a := 1, b)\nclass A(B, metaclass=C): pass\n","x = y = 1\na.b[c], (d, [*e]) = f\na: int = 1\n(a): int\nx.y: int = 2\n(x) += 1\ndel a, b[0], (c.d, e)\nfor i, (j, *k) in l: pass\n[a for b, c in d if e if f]\nwith a as b, c() as (d, e): pass\nwith (open(a) as f, b): pass\n","def f(a, /, b, c=1, *d, e, f=2, **g): pass\ndef g(*, a, b=1, c): pass\ndef h(a=1, /, b=2, *, c): pass\ndef i(*a): pass\ndef j(**k): pass\nlambda a, b=1, *c, d, **e: 0\nlambda *a: 0\nlambda: 0\n",'x = f"{a}{b!r:>{w}}{c=}{{}}"\ny = f"{x["a"]}" f\'{a if b else c:%Y}\'\nz = f"""{\na + b\n}"""\nw = rf"\\{a}\\d{{1}}"\nv=f"{a:{b}{c}}" f"{lambda_}"\nu = f"{yield_!s}\\N{DASH}"\n',"x = 00\ny = 0_0\nz = 0777.5\nw = 0o777\n","if (a := 1) and b: pass\nwhile a := f(): pass\n[b := 1, 2]\nx[a := 1]\n","if a:\n\tb\n\tif c:\n\t\td\n", "x = [i for i in (a if b else c)]\n","print(*a, sep='')\nTrue if None else False\nmatch x:\n    case None | True: pass\n    case A(b=1): pass\n","@a.b(c)\nasync def f():\n    async with a as b: await c\n    return [x async for x in y]\n"],
+"rs":["impl A { fn f(&self) {} fn g(mut self, x: u8) {} fn h(self: Box<Self>) {} fn i(&'a mut self) {} }\nuse self::a::{self, b};\nmod m { pub fn f() { self::g(); } }\npub(self) fn f() {}\nmacro_rules! m { ($a:expr) => { $a } }\nthread_local! { static X: u8 = 1; }\nlazy!(a);\nstatic A: u8 = 1;\nconst B: u8 = 2;\n#![allow(x)]\n"]}
+MORE_WRONG = {"py":["f(a=1, 2)\n","1 = x\n","f() = 1\n","del f()\n","def f(a=1, b): pass\n","def f(*): pass\n",'x = f"{a b}"\n',"x = 0777\n","a := 1\n","if a:\n        b\n\tc\n","f(**a, b)\n","def f(**a, b): pass\n","x = f'{a'\n","x = f'{}'\n","x = f'{a}}'\n","for f() in x: pass\n","None = 1\n","lambda a=1, b: 0\n","x + 1 = 2\n","a + b += 1\n","with a as 1: pass\n","if a:\n\tb\n        c\n"],
+"js":["const x;\n","1 = 2\n","function (){}\n","if (1) else 2\n","try {}\n","switch (a) { foo }\n","a => { } ()\n","f() = 1\n","class {}\n","let {a};\n"],
+"go":["package a\nfunc f() {\n\t1 := 2\n}\n","package a\nfunc f(a int, b) {}\n","package a\nfunc f() {\n\tdefer x\n}\n",'package a\nvar x = 1\nimport "b"\n'],
+"rs":["let x = 1;\n","fn f(x) {}\n","1 + 1;\n"],"ts":["try {}\n"]}
+# fmt: on
+
+
 @pytest.mark.parametrize("language", VALID)
 def test_files(language):
     checker = checker_of(language)
-    for text in VALID[language]:
+    for text in VALID[language] + MORE_VALID[language]:
         assert checker.valid(text), text
         assert checker.first_error(text) == (0, "")
-    for text in WRONG[language]:
+    for text in WRONG[language] + MORE_WRONG[language]:
         assert not checker.valid(text), text
         line, nature = checker.first_error(text)
         assert 1 <= line <= text.count("\n") + 1 and nature
@@ -62,6 +78,38 @@ def test_python_files_against_its_own_parser(spark, data):
         assert checker_of("py").valid(row.text) is fine, row.file_path
 
 
+def test_python_library_against_its_own_parser():
+    warnings.simplefilter("ignore")
+    differing = []
+    for path in glob.glob(f"{sysconfig.get_path('stdlib')}/**/*.py", recursive=True):
+        if "site-packages" in path:
+            continue
+        try:
+            with open(path, encoding="utf-8") as file:
+                text = file.read()
+        except ValueError:
+            continue
+        try:
+            ast.parse(text)
+            fine = True
+        except (SyntaxError, ValueError):
+            fine = False
+        if checker_of("py").valid(text) is not fine:
+            differing.append(os.path.basename(path))
+    assert differing in ([], ["bad_coding2.py"])  # whose fault is the encoding that it declares
+
+
+def test_many_kinds_of_groups(monkeypatch):
+    """Once many kinds of bracket contents are known they are given out anew, and nothing changes."""
+    from cairn.llm import chart
+    from cairn.llm.syntax import Checker
+
+    monkeypatch.setattr(chart, "CROWDED", 3)
+    checker = Checker("go")
+    for _ in range(3):
+        assert all(map(checker.valid, VALID["go"] + MORE_VALID["go"])) and not any(map(checker.valid, WRONG["go"] + MORE_WRONG["go"]))
+
+
 CHUNK = "id long, codebase_id long, file_path string, start_line long, end_line long, snippet string, text string"
 
 
