@@ -15,12 +15,13 @@ from pyspark.sql import types as T
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: The public pattern that goes with that vocabulary (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Sources that are talk; all others are documentation (the tree's first level).
-TALK = ("issue_tracker", "chat_export", "forum", "commit_log")
+#: The tree's first level: domain -> sources in it, a parameter; sources not named are of domain REST.
+DOMAINS, REST = {"talk": ("issue_tracker", "chat_export", "forum", "commit_log")}, "documentation"
 #: Ranges of the seeded order of an epoch, so that no leaf, however large, is ordered in one task.
 RANGES = 4096
-#: Leaves are languages by sources of a target, so few; their number is checked before they reach the driver.
-MAX_LEAVES = 200_000
+#: Up to so many leaves (languages by sources with a target) are broadcast; more are joined by a shuffle.
+BROADCAST_LEAVES = 50_000
+LEAF = ["domain", "lang", "source"]
 
 
 @lru_cache(maxsize=4)
@@ -47,86 +48,92 @@ def plain_source(source: Column) -> Column:
     return F.regexp_replace(F.trim(F.lower(source)), r"[\s-]+", "_")
 
 
-def sized_documents(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def domain_of(source: Column, domains: dict[str, tuple[str, ...]]) -> Column:
+    found = [F.when(source.isin(*members), F.lit(domain)) for domain, members in domains.items() if members]
+    return F.coalesce(*found, F.lit(REST))
+
+
+def plain_targets(targets: DataFrame) -> DataFrame:
+    """(source, target_share, max_repeats) by plain names: shares of rows that name the same source add up, the least
+    max_repeats counts, negative or NULL shares and repeats are none, rows without a source are left out."""
+    rows = targets.select(plain_source(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("repeats"))
+    return rows.filter("source is not null").groupBy("source").agg(F.sum("share").alias("target_share"), F.min("repeats").cast("int").alias("max_repeats"))
+
+
+def sized_documents(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, domains: dict[str, tuple[str, ...]] = DOMAINS) -> DataFrame:
     """(doc_id, domain, lang, source, max_repeats, tokens) of the documents whose source has a target, once each."""
-    wanted = targets.select(plain_source(F.col("source")).alias("source"), "max_repeats").dropDuplicates(["source"])
+    wanted = plain_targets(targets).select("source", "max_repeats")
     language = F.regexp_extract(F.lower(F.trim("lang")), "^[a-z]{2,3}", 0)
     rows = documents.filter("doc_id is not null and text is not null").select("doc_id", F.when(language != "", language).otherwise("und").alias("lang"), plain_source(F.col("source")).alias("source"), "text")
-    domain = F.when(F.col("source").isin(*TALK), F.lit("talk")).otherwise(F.lit("documentation"))
-    sized = rows.join(wanted, "source").select("doc_id", domain.alias("domain"), "lang", "source", "max_repeats", _counter(folder, vocabulary)("text").alias("tokens"))
+    sized = rows.join(wanted, "source").select("doc_id", domain_of(F.col("source"), domains).alias("domain"), "lang", "source", "max_repeats", _counter(folder, vocabulary)("text").alias("tokens"))
     return sized.filter("tokens > 0").dropDuplicates(["doc_id"])
 
 
-def allocate(leaves: dict[tuple, tuple[float, float]], total: float) -> dict[tuple, float]:
-    """Budgets of `leaves` (path -> weight, capacity) that add up to `total`, as far as capacities go.
-
-    A node's amount goes to its children by weight; what a child can't hold goes to its siblings, and only
-    what they can't hold either to the node's own siblings.
-    """
-    out = dict.fromkeys(leaves, 0.0)
-
-    def fill(paths: list[tuple], depth: int, amount: float) -> None:
-        if len(paths) == 1 and len(paths[0]) == depth:
-            out[paths[0]] = min(amount, leaves[paths[0]][1])
-            return
-        children: dict = {}
-        for p in paths:
-            children.setdefault(p[depth], []).append(p)
-        room = {c: sum(leaves[p][1] for p in ps) for c, ps in children.items()}
-        weight = {c: sum(leaves[p][0] for p in ps) for c, ps in children.items()}
-        given = dict.fromkeys(children, 0.0)
-        open_, left = [c for c in children if room[c] > 0 and weight[c] > 0], min(amount, sum(room.values()))
-        while open_ and left > 1e-9:
-            full = [c for c in open_ if given[c] + left * weight[c] / sum(weight[o] for o in open_) >= room[c]]
-            if not full:
-                for c in open_:
-                    given[c] += left * weight[c] / sum(weight[o] for o in open_)
-                break
-            for c in full:
-                left -= room[c] - given[c]
-                given[c] = room[c]
-            open_ = [c for c in open_ if c not in full]
-        for c, ps in children.items():
-            fill(ps, depth + 1, given[c])
-
-    if leaves:
-        fill(list(leaves), 0, total)
-    return out
-
-
-def leaf_budgets(sized: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[dict[tuple, float], dict[tuple, int]]:
-    """Budget and size in tokens of each leaf (domain, lang, source).
+def leaves(sized: DataFrame, targets: DataFrame, domains: dict[str, tuple[str, ...]] = DOMAINS) -> DataFrame:
+    """(domain, lang, source, tokens, weight, room): the tree's leaves.
 
     A source's target is divided among its languages as its tokens are; that of a source without documents, as
-    those of its domain are, so its leaves hold nothing and their amounts go to their siblings first. Without
-    `total` the mixture is as large as it can be with no leaf that has documents short.
+    those of its domain are, so its leaves have no room and their amounts go to their siblings first.
     """
-    rows = sized.groupBy("domain", "lang", "source").agg(F.sum("tokens").alias("tokens"), F.max("max_repeats").alias("max_repeats")).limit(MAX_LEAVES + 1).collect()
-    if len(rows) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    wanted = targets.select(plain_source(F.col("source")).alias("source"), "target_share").dropDuplicates(["source"]).limit(MAX_LEAVES).collect()
-    share = {r["source"]: max(0.0, r["target_share"] or 0.0) for r in wanted}
-    size: dict[str, int] = {}
-    for r in rows:
-        size[r["source"]] = size.get(r["source"], 0) + r["tokens"]
-    leaves = {(r["domain"], r["lang"], r["source"]): (share.get(r["source"], 0.0) * r["tokens"] / size[r["source"]], float(r["tokens"] * max(0, r["max_repeats"] or 0))) for r in rows}
-    languages: dict[str, dict[str, int]] = {}
-    for r in rows:
-        held = languages.setdefault(r["domain"], {})
-        held[r["lang"]] = held.get(r["lang"], 0) + r["tokens"]
-    for source in [s for s in share if s is not None and s not in size]:
-        domain = "talk" if source in TALK else "documentation"
-        held = languages.get(domain, {"und": 1})
-        leaves |= {(domain, lang, source): (share[source] * n / sum(held.values()), 0.0) for lang, n in held.items()}
-    if total is None:
-        parts = allocate({p: (weight, float("inf") if room else 0.0) for p, (weight, room) in leaves.items()}, 1.0)
-        total = min((leaves[p][1] / part for p, part in parts.items() if part > 0), default=0.0)
-    sizes = {(r["domain"], r["lang"], r["source"]): r["tokens"] for r in rows}
-    budgets = allocate(leaves, total)
-    return {p: budgets[p] for p in sizes}, sizes
+    held = sized.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"), F.max("max_repeats").alias("repeats"))
+    wanted = plain_targets(targets).select("source", "target_share")
+    whole = F.sum("tokens").over(Window.partitionBy("source"))
+    full = held.join(wanted, "source").select(*LEAF, "tokens", (F.col("target_share") * F.col("tokens") / whole).alias("weight"), (F.col("tokens") * F.col("repeats")).cast("double").alias("room"))
+    languages = held.groupBy("domain", "lang").agg(F.sum("tokens").alias("n")).withColumn("part", F.col("n") / F.sum("n").over(Window.partitionBy("domain"))).drop("n")
+    without = wanted.join(held.select("source").distinct(), "source", "left_anti").withColumn("domain", domain_of(F.col("source"), domains)).join(languages, "domain", "left")
+    empty = without.select("domain", F.coalesce("lang", F.lit("und")).alias("lang"), "source", F.lit(0).cast("long").alias("tokens"), (F.col("target_share") * F.coalesce("part", F.lit(1.0))).alias("weight"), F.lit(0.0).alias("room"))
+    return full.unionByName(empty)
+
 
+def _filled(nodes: DataFrame, parent: list[str]) -> DataFrame:
+    """`nodes` with `given`: what each gets of its parent's `amount`, by weight, but no more than its room.
 
-def mixed_documents(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    What a child can't hold goes to its siblings. The children that are filled are those with the least room for
+    their weight, so running sums in that order give the level at which the others stop.
+    """
+    of = Window.partitionBy(*(parent or [F.lit(1)]))
+    open_ = (F.col("room") > 0) & (F.col("weight") > 0)
+    nodes = nodes.withColumn("w", F.when(open_, F.col("weight")).otherwise(0.0)).withColumn("r", F.when(open_, F.col("room")).otherwise(0.0)).withColumn("ratio", F.when(open_, F.col("room") / F.col("weight")).otherwise(0.0))
+    order = of.orderBy("ratio", *[c for c in LEAF if c in nodes.columns])
+    before = F.coalesce(F.sum("r").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    after = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    summed = nodes.withColumn("before", before).withColumn("after", after).withColumn("most", F.least("amount", F.sum("r").over(of)))
+    level = F.when((F.col("w") > 0) & (F.col("before") + F.col("ratio") * F.col("after") >= F.col("most") * (1 - 1e-12)), F.struct("ratio", "before", ((F.col("most") - F.col("before")) / F.col("after")).alias("level")))
+    given = F.least(F.coalesce(F.min(level).over(of)["level"], F.lit(0.0)) * F.col("w"), F.col("r"))
+    return summed.withColumn("given", F.greatest(given, F.lit(0.0))).drop("w", "r", "ratio", "before", "after", "most")
+
+
+def budgets(tree: DataFrame, total: float | str | None = None) -> DataFrame:
+    """(domain, lang, source, tokens, budget) of the leaves, top down: a node's amount goes to its children by
+    weight, what a child can't hold to its siblings, and only what they can't hold either to its parent's siblings.
+
+    `total` is the mixture's size in tokens, "all" for the tokens of all documents with a target; None makes it as
+    large as it can be with no leaf that has documents short, which keeps all shares on target.
+    """
+    one = Window.partitionBy(F.lit(1))
+    if total is None:
+        part = F.lit(1.0)
+        parts = tree
+        for depth in range(3):
+            of = Window.partitionBy(*(LEAF[:depth] or [F.lit(1)]))
+            node = Window.partitionBy(*LEAF[: depth + 1])
+            parts = parts.withColumn(f"open{depth}", F.when(F.max("room").over(node) > 0, F.col("weight")).otherwise(0.0))
+            own = F.sum("weight").over(node)
+            parts = parts.withColumn(f"own{depth}", own).withColumn(f"all{depth}", F.sum(f"open{depth}").over(of))
+            part = part * F.when(F.col(f"all{depth}") > 0, F.col(f"own{depth}") / F.col(f"all{depth}")).otherwise(0.0)
+        most = F.min(F.when((F.col("room") > 0) & (part > 0), F.col("room") / part)).over(one)
+        tree = parts.withColumn("amount", F.coalesce(most, F.lit(0.0))).select(*tree.columns, "amount")
+    else:
+        tree = tree.withColumn("amount", F.sum("tokens").over(one).cast("double") if total == "all" else F.lit(float(total)))
+    for depth in range(3):
+        keys = LEAF[: depth + 1]
+        nodes = tree.groupBy(*keys).agg(F.sum("weight").alias("weight"), F.sum("room").alias("room"), F.max("amount").alias("amount"))
+        given = _filled(nodes, LEAF[:depth]).select(*keys, "given")
+        tree = tree.join(given, keys).withColumn("amount", F.col("given")).drop("given")
+    return tree.select(*LEAF, "tokens", F.col("amount").alias("budget"))
+
+
+def mixed_documents(documents: DataFrame, targets: DataFrame, total: float | str | None = None, seed: int = 7, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, domains: dict[str, tuple[str, ...]] = DOMAINS) -> DataFrame:
     """(doc_id, source, lang, tokens, repeats): how often each document is used; unused ones are left out.
 
     A leaf's budget is met by whole epochs of its documents and a prefix of one more, ordered by a hash of
@@ -138,17 +145,16 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, total: float | Non
     """
     from cairn.session import cut_lineage
 
-    sized = cut_lineage(sized_documents(documents, targets, folder, vocabulary))
-    budgets, sizes = leaf_budgets(sized, targets, total)
-    plan = [(*leaf, int(b // sizes[leaf]), float(b - b // sizes[leaf] * sizes[leaf])) for leaf, b in budgets.items()]
-    spark = documents.sparkSession
-    epochs = spark.createDataFrame(plan, "domain string, lang string, source string, epochs long, rest double")
-    leaf = ["domain", "lang", "source"]
+    sized = cut_lineage(sized_documents(documents, targets, folder, vocabulary, domains))
+    epochs = F.floor(F.col("budget") / F.col("tokens"))
+    plan = cut_lineage(budgets(leaves(sized, targets, domains), total).filter("tokens > 0").select(*LEAF, epochs.alias("epochs"), (F.col("budget") - epochs * F.col("tokens")).alias("rest")))
+    epochs = F.broadcast(plan) if plan.count() <= BROADCAST_LEAVES else plan
+    leaf = LEAF
     order = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"))
-    rows = sized.join(F.broadcast(epochs), leaf).withColumn("place", order).withColumn("range", F.pmod(F.shiftright("place", 40), F.lit(RANGES)))
+    rows = sized.join(epochs, leaf).withColumn("place", order).withColumn("range", F.pmod(F.shiftright("place", 40), F.lit(RANGES)))
     ranges = rows.groupBy(*leaf, "range").agg(F.sum("tokens").alias("held"))
     upto = F.sum("held").over(Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    begun = ranges.withColumn("before", upto - F.col("held")).join(F.broadcast(epochs.select(*leaf, "rest")), leaf)
+    begun = ranges.withColumn("before", upto - F.col("held")).join(plan.select(*leaf, "rest"), leaf)
     state = F.when(F.col("before") + F.col("held") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).otherwise(2)
     placed = rows.join(begun.select(*leaf, "range", "before", state.alias("state")), [*leaf, "range"])
     within = Window.partitionBy(*leaf, "range").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -158,11 +164,11 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, total: float | Non
     return used.select("doc_id", "source", "lang", "tokens", repeats.alias("repeats")).filter("repeats > 0")
 
 
-def mixture_shares(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def mixture_shares(documents: DataFrame, targets: DataFrame, total: float | str | None = None, seed: int = 7, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, domains: dict[str, tuple[str, ...]] = DOMAINS) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, most_repeats) for each source with a target."""
-    mixed = mixed_documents(documents, targets, total, seed, folder, vocabulary)
+    mixed = mixed_documents(documents, targets, total, seed, folder, vocabulary, domains)
     by = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
-    wanted = targets.select(plain_source(F.col("source")).alias("source"), "target_share").dropDuplicates(["source"])
+    wanted = plain_targets(targets).select("source", "target_share")
     shares = wanted.join(by, "source", "left").na.fill(0, ["tokens", "documents", "most_repeats"])
     whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # a row per source with a target
     return shares.withColumn("actual_share", F.when(whole > 0, F.round(F.col("tokens") / whole, 6)).otherwise(0.0)).select("source", "target_share", "actual_share", "tokens", "documents", "most_repeats")

@@ -36,6 +36,7 @@ def queries() -> dict[str, Query]:
         "p7_report": _on(contamination.leak_report, "documents", "eval_items"),
         "p8_mix": _on(mixture.mixed_documents, "documents", "mix_targets"),
         "p8_shares": _on(mixture.mixture_shares, "documents", "mix_targets"),
+        "p8_filled": _on(mixture.mixture_shares, "documents", "mix_targets", total="all"),
         "p9_found": _on(sentences.document_sentences, "documents"),
         "p9_counts": _on(sentences.sentence_counts, "documents"),
     }

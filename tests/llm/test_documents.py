@@ -153,12 +153,33 @@ def test_leaks_of_odd_tables(spark):
     assert {r.item_id: r.documents for r in contamination.leak_report(docs, items).collect()} == {1: 0, 2: 0}
 
 
-def test_allocation():
-    leaves = {("d", "en", "a"): (0.4, 10.0), ("d", "en", "b"): (0.2, 100.0), ("t", "en", "c"): (0.4, 100.0)}
-    got = mixture.allocate(leaves, 60)
-    assert got[("d", "en", "a")] == 10 and abs(got[("d", "en", "b")] - 26) < 1e-9 and abs(got[("t", "en", "c")] - 24) < 1e-9
-    assert mixture.allocate(leaves, 1000) == {("d", "en", "a"): 10.0, ("d", "en", "b"): 100.0, ("t", "en", "c"): 100.0}
-    assert mixture.allocate({}, 5) == {}
+def allocated(leaves, total):
+    """Brute force: many small drops, each to the first open child by amount over weight, from the root down."""
+    out, drop = dict.fromkeys(leaves, 0.0), total / 20_000
+    held = lambda node: sum(v for p, v in out.items() if p[: len(node)] == node)
+    weight = lambda node: sum(w for p, (w, _) in leaves.items() if p[: len(node)] == node)
+    room = lambda node: sum(min(r, r if w else 0) for p, (w, r) in leaves.items() if p[: len(node)] == node)
+    for _ in range(20_000):
+        node = ()
+        while len(node) < 3:
+            open_ = [c for c in {p[: len(node) + 1] for p in leaves if p[: len(node)] == node} if weight(c) and held(c) + drop / 2 < room(c)]
+            if not open_:
+                return out
+            node = min(open_, key=lambda c: (held(c) / weight(c), c))
+        out[node] += drop
+    return out
+
+
+LEAVES = {("d", "en", "a"): (0.4, 10.0), ("d", "en", "b"): (0.2, 100.0), ("d", "de", "a"): (0.1, 30.0), ("d", "de", "b"): (0.1, 30.0), ("d", "fr", "a"): (0.2, 60.0), ("t", "en", "c"): (0.2, 100.0), ("t", "en", "f"): (0.05, 0.0), ("t", "fr", "c"): (0.05, 2.0)}
+
+
+@pytest.mark.parametrize("total", [60.0, 1000.0])
+def test_budgets_against_brute_force(spark, total):
+    tree = spark.createDataFrame([(*p, int(r), w, r) for p, (w, r) in LEAVES.items()], "domain string, lang string, source string, tokens long, weight double, room double")
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixture.budgets(tree, total).collect()}
+    want = allocated(LEAVES, total)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 0.002 * total + 0.1 for p in want), (got, want)
+    assert abs(sum(got.values()) - min(total, 332)) < 1e-6
 
 
 def test_mixture(spark):
@@ -176,6 +197,8 @@ def test_mixture(spark):
 
 def test_share_of_an_empty_source_goes_to_siblings(spark):
     sized = spark.createDataFrame([(1, "talk", "en", "chat_export", 2, 100), (2, "documentation", "en", "wiki", 2, 100)], "doc_id long, domain string, lang string, source string, max_repeats int, tokens long")
-    targets = spark.createDataFrame([("chat_export", 0.2, 2), ("wiki", 0.5, 2), ("forum", 0.3, 2)], "source string, target_share double, max_repeats int")
-    budgets, _ = mixture.leaf_budgets(sized, targets)
-    assert abs(budgets[("talk", "en", "chat_export")] - 200) < 1e-6 and abs(budgets[("documentation", "en", "wiki")] - 200) < 1e-6
+    targets = spark.createDataFrame([("chat_export", 0.1, 2), ("Chat-Export", 0.1, 3), ("wiki", 0.5, 2), ("forum", 0.3, 2), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = {r.source: r.budget for r in mixture.budgets(mixture.leaves(sized, targets)).collect()}
+    assert abs(got["chat_export"] - 200) < 1e-6 and abs(got["wiki"] - 200) < 1e-6 and got["forum"] == 0
+    got = {r.source: r.budget for r in mixture.budgets(mixture.leaves(sized, targets), "all").collect()}
+    assert abs(got["chat_export"] - 100) < 1e-6 and abs(got["wiki"] - 100) < 1e-6
