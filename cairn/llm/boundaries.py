@@ -32,6 +32,22 @@ _MONTHS = frozenset(
 )
 _ORDINAL_BEFORE = frozenset("am der die das dem den des zum zur vom im beim ab bis seit jeden jeder".split())
 
+_NEVER, _MAY, _NUMBER = 1, 2, 4
+
+
+def _trie() -> dict:
+    """The abbreviations by their letters from the last to the first; "" holds what an abbreviation is."""
+    root: dict = {}
+    for kind, words in ((_NEVER, _NEVER_END), (_MAY, _MAY_END), (_NUMBER, _BEFORE_NUMBER)):
+        for word in words:
+            node = root
+            for letter in reversed(word):
+                node = node.setdefault(letter, {})
+            node[""] = node.get("", 0) | kind
+    return root
+
+
+_TRIE = _trie()
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "〈": "〉", "»": "«", "〔": "〕", "［": "］"}
 _CLOSERS = frozenset(")]}”“»›」』）】》〉«〕］\"'’")
 _MARK = re.compile(r"""`+|["“”„«»‹›「」『』()（）\[\]{}［］〔〕《》〈〉【】]|[.!?…。！？｡．؟।॥;؛;]+""")
@@ -44,7 +60,8 @@ _HEADING = re.compile(r"(?:[ \t]*>)*[ \t]{0,3}#{1,6}(?=[ \t]|$)[ \t]*")
 _ITEM = re.compile(r"(?:[ \t]*>)*[ \t]*(?:[-*+•‣◦–]|(\d{1,9})[.)]|\(?[a-z]\))[ \t]+(?:\[[ xX]\][ \t]+)?")
 _LEAD = re.compile(r"(?:[\s>]|(?<![^\n])[ \t]*>)*")
 _QUOTE_LEAD = re.compile(r"(?:[ \t]*>)+[ \t]*")
-_WORD_BEFORE = re.compile(r"[^\s()\[\]{}\"“”„«»]*$")
+_EDGES = frozenset("()[]{}\"“”„«»")
+_LEADING = frozenset("¿¡'‘`*_-—")
 _NEXT = re.compile(r"[\s>]*[\"“”„«»‹›「『(（\[¿¡'‘*_]*")
 _FILE_LIKE = re.compile(r"[a-z][\w-]*(?:_\w+|\.\w{1,5}(?!\w)|\.\w+\()")
 _SHORT = re.compile(r"(?:[^\W\d_]|ej|ex)\.")
@@ -68,10 +85,12 @@ def _greek(c: str) -> bool:
 def blocks(text: str):
     """(start, end, kind) of the text's blocks: paragraphs, headings and list items, outside code fences.
 
-    States: paragraph, list, fence. A blank line ends any block; a number begins an item only where a list is
-    or a block begins, or if it is 1, so a wrapped "3. Mai" doesn't.
+    The stack holds the levels of the list that is open, each with its indent and whether it is numbered; an item
+    closes the levels that are indented more. A blank line ends any block and closes all levels; within a block a
+    number begins an item only on a level that is numbered, or if it is 1, so a wrapped "3. Mai" doesn't.
     """
-    at, start, kind, fence, in_list = 0, None, "", "", False
+    at, start, kind, fence = 0, None, "", ""
+    levels: list[tuple[int, bool]] = []
     size = len(text)
     while at < size:
         m = _LINE.match(text, at)
@@ -88,9 +107,8 @@ def blocks(text: str):
                 yield start, line_start, kind
                 start = None
             if mark:
-                fence, in_list = mark.group(1), False
-            else:
-                in_list = False
+                fence = mark.group(1)
+            levels.clear()
             continue
         head = _HEADING.match(line)
         if head and line[head.end() :].strip():
@@ -98,14 +116,24 @@ def blocks(text: str):
                 yield start, line_start, kind
                 start = None
             yield line_start + head.end(), at, "heading"
-            in_list = False
+            levels.clear()
             continue
         item = _ITEM.match(line)
-        if item and line[item.end() :].strip() and (start is None or in_list or item.group(1) in (None, "1")) and not (start is not None and not in_list and item.group().strip()[:1] in "–("):
-            if start is not None:
-                yield start, line_start, kind
-            start, kind, in_list = line_start + item.end(), "item", True
-            continue
+        if item and line[item.end() :].strip():
+            lead = item.group()
+            indent, number = len(lead) - len(lead.lstrip("> \t")), item.group(1)
+            outer = next((k for k, (column, _) in enumerate(levels) if column > indent), len(levels))
+            begins = start is None or number in (None, "1") or any(numbered for _, numbered in levels[:outer])
+            if begins and not (start is not None and not levels and lead.strip()[:1] in "–("):
+                if start is not None:
+                    yield start, line_start, kind
+                del levels[outer:]
+                if not levels or levels[-1][0] < indent:
+                    levels.append((indent, number is not None))
+                elif number is not None:
+                    levels[-1] = (indent, True)
+                start, kind = line_start + item.end(), "item"
+                continue
         if start is None:
             lead = _QUOTE_LEAD.match(line)
             start, kind = line_start + (lead.end() if lead else 0), "paragraph"
@@ -113,6 +141,43 @@ def blocks(text: str):
         yield start, size, kind
 
 
+def _begins(text: str, at: int) -> bool:
+    """Whether a word begins at `at`, marks of emphasis before it left out."""
+    if not at or text[at - 1] == "/":
+        return True
+    while at and text[at - 1] in _LEADING:
+        at -= 1
+    return not at or text[at - 1].isspace() or text[at - 1] in _EDGES
+
+
+def _abbreviation(text: str, at: int) -> int:
+    """What the word that ends at `at` is among the abbreviations, 0 if none: the trie is walked back from the
+    mark, and the longest that begins a word counts, or one of two letters at most after another full stop."""
+    node, k, kind = _TRIE, at, 0
+    while k:
+        node = node.get(text[k - 1].lower())
+        if node is None:
+            break
+        k -= 1
+        held = node.get("")
+        if held:
+            if _begins(text, k):
+                kind = held
+            elif at - k <= 2 and held & _NEVER and text[k - 1] == ".":
+                kind = _NEVER
+    return kind
+
+
+def _previous(text: str, at: int) -> str:
+    """The word before the white space before `at`."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    start = at
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return text[start:at].lower()
+
+
 def _spans(text: str, marks: list[re.Match]) -> dict[int, int]:
     """Start -> end of the outermost closed quotations, brackets and code spans among a block's marks.
 
@@ -176,25 +241,22 @@ def _goes_on(text: str, at: int, end: int, limit: int, run: str, flat: bool = Fa
     follow = text[place]
     if run[-1] in "!?؟।॥":
         return follow.islower() and end > at + len(run) and not _FILE_LIKE.match(text, place)
-    word = _WORD_BEFORE.search(text, max(0, at - 40), at).group().lower().lstrip("¿¡'‘`*_-—")
     if run == ".":
-        bare = word.rsplit("/", 1)[-1]
-        if len(bare) == 1 and "a" <= text[at - 1] <= "z":  # one plain small letter: only beside another, or before a number
+        alone = at > 0 and _begins(text, at - 1)
+        if alone and "a" <= text[at - 1] <= "z":  # one plain small letter: only beside another, or before a number
             return follow.isdigit() or bool(_SHORT.match(text, place)) or bool(_SHORT_BEFORE.search(text, max(0, at - 8), at - 1))
-        if bare == "ms" and text[at - 2 : at] == "ms":  # milliseconds
+        kind = _abbreviation(text, at)
+        if kind and text[at - 2 : at] == "ms" and _begins(text, at - 2):  # milliseconds
             return follow.islower() and not flat
-        if bare in _NEVER_END or bare.rsplit(".", 1)[-1] in _NEVER_END and "." in bare and len(bare.rsplit(".", 1)[-1]) <= 2:
-            return True
-        if bare in _BEFORE_NUMBER and (follow.isdigit() or follow in "¹²³"):
+        if kind & _NEVER or kind & _NUMBER and (follow.isdigit() or follow in "¹²³"):
             return True
-        if len(bare) == 1 and bare.isalpha() and text[at - 1].isupper() and not _uncased(bare):
+        if alone and before.isalpha() and before.isupper() and not _uncased(before):
             return True
-        if bare in _MAY_END:
+        if kind & _MAY:
             return not follow.isupper()
-        if bare.isdigit() and len(bare) <= 2:
-            following = re.match(r"\w*", text[place : place + 20]).group().lower()
-            previous = text[max(0, at - 40) : at - len(bare)].split()[-1:]
-            if following in _MONTHS or (previous and previous[0].lower() in _ORDINAL_BEFORE):
+        digits = 2 if text[max(0, at - 2) : at].isdigit() and at > 1 else 1
+        if before.isdigit() and _begins(text, at - digits):
+            if re.match(r"\w*", text[place : place + 20]).group().lower() in _MONTHS or _previous(text, at - digits) in _ORDINAL_BEFORE:
                 return True
     if follow.islower():
         return not (flat and run[-1] != "…" or _uncased(before) or bool(_FILE_LIKE.match(text, place)) and run == ".")
@@ -204,7 +266,7 @@ def _goes_on(text: str, at: int, end: int, limit: int, run: str, flat: bool = Fa
 def sentences(text: str) -> list[tuple[int, int]]:
     """Offsets (start, end) in code points of the sentences of `text`, in order.
 
-    Blank text has none; a block without any letter or digit (a rule, say) gives none.
+    Blank text has none; a block of marks alone (a rule, say) gives none unless it asks or exclaims.
     """
     out: list[tuple[int, int]] = []
     for start, end, kind in blocks(text):
@@ -253,5 +315,5 @@ def _emit(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
     start = _LEAD.match(text, start, end).end()
     while end > start and text[end - 1] in _SPACES:
         end -= 1
-    if any(c.isalnum() for c in text[start:end]):
+    if any(c.isalnum() or c in "?!？！؟" for c in text[start:end]):
         out.append((start, end))

@@ -36,6 +36,10 @@ def test_sentences(case):
 def test_blocks():
     text = "# Head one. Two?\n\n> Quoted a.\n> Still b.\n\n- item one. More.\n* two\n1. three\n\n```\ncode. Here.\n```\nline one\nline two. End\n\n---\n"
     assert [text[a:b] for a, b in split(text)] == ["Head one. Two?", "Quoted a.", "Still b.", "item one. More.", "two", "three", "line one\nline two.", "End"]
+    nested = "1. one\n   - sub a. B.\n     - deep\n   - sub\n2. two\n\n- am\n  3. Mai kam er\n\n3. three\n4. four\n\n?!\n"
+    assert [text_of for text_of in (nested[a:b] for a, b in split(nested))] == ["one", "sub a. B.", "deep", "sub", "two", "am\n  3. Mai kam er", "three", "four", "?!"]
+    long = "x" * 60 + "dr. So it ended. The dir/dr. Meier kept, " + "y" * 100 + " e.g. here."
+    assert [long[a:b] for a, b in split(long)] == ["x" * 60 + "dr.", "So it ended.", "The dir/dr. Meier kept, " + "y" * 100 + " e.g. here."]
     assert split("") == [] and split(" \n\n ") == [] and split("```\nopen. Fence.") == []
 
 
