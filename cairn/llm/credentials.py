@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,7 +123,33 @@ def credentials(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     return found.select("source_table", "row_id", "f.line_no", "f.detector")
 
 
+_OPEN_KEY = r"-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----(?![\s\S]*-----END )"
+_KEY_LINE = r"""^\s*(?:#|//|\*)?\s*["'`]?[A-Za-z0-9+/=]{16,}(?:\\[nr])*["'`]?[\s+,;\\]*$"""
+
+
+def inner_windows(chunks: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
+    """(source_table, row_id, text) of the windows that lie wholly inside a private key, which begins in an earlier
+    window of their file and ends in a later one or nowhere: no pattern can tell them by themselves.
+
+    Islands of windows that follow each other without a gap, the first with an open key, the others with lines of
+    a key only. A file's windows are one group, those of other sorts left out before.
+    """
+    lines = F.split("snippet", "\r?\n")
+    body = F.col("snippet").rlike("[A-Za-z0-9+/=]{40}") & F.forall(lines, lambda line: line.rlike(_KEY_LINE))
+    rows = chunks.select("id", "codebase_id", "file_path", "start_line", F.coalesce("end_line", "start_line").alias("end_line"), "snippet", F.col("snippet").rlike(_OPEN_KEY).alias("opens"), body.alias("body"))
+    rows = rows.filter("opens or body").dropDuplicates(["id"])
+    w = Window.partitionBy("codebase_id", "file_path").orderBy("start_line", "id")
+    begins = F.col("opens") | F.coalesce(F.lag("end_line").over(w) + 1 < F.col("start_line"), F.lit(True))
+    parted = rows.withColumn("island", F.sum(begins.cast("int")).over(w))
+    kept = parted.withColumn("key", F.max("opens").over(Window.partitionBy("codebase_id", "file_path", "island"))).filter("key and not opens")
+    return kept.select(F.lit("chunks").alias("source_table"), F.col("id").alias("row_id"), F.concat(F.lit(mark), F.repeat(F.lit("\n"), F.size(lines) - 1)).alias("text"))
+
+
 def redacted_texts(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(source_table, row_id, text) of the rows that hold a credential, secrets replaced, all else unchanged."""
-    held = _candidate_texts(chunks, symbols).withColumn("clean", _redacted("text", "ext"))
-    return held.filter("clean <> text").select("source_table", "row_id", F.col("clean").alias("text"))
+    """(source_table, row_id, text) of the rows that hold a credential, secrets replaced, all else unchanged.
+
+    Of a private key that windows cut, each part is replaced in its own window.
+    """
+    inner = inner_windows(chunks)
+    held = _candidate_texts(chunks, symbols).join(inner.select("source_table", "row_id"), ["source_table", "row_id"], "left_anti").withColumn("clean", _redacted("text", "ext"))
+    return held.filter("clean <> text").select("source_table", "row_id", F.col("clean").alias("text")).unionByName(inner)

@@ -8,18 +8,18 @@ import binascii
 import re
 
 _KEYWORD = (
-    r"(?:password|passwd|passphrase|passcode|smtp[_-]?pwd|db[_-]?pwd|[_-]pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|signing[_-]?key|encryption[_-]?key"
+    r"(?:password|passwd|passphrase|passcode|smtp[_-]?pwd|db[_-]?pwd|[_-]pwd|[_-]pass(?!\w)|(?:admin|db|user|root|login|mail|ftp|redis|mysql)pass(?!\w)|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|signing[_-]?key|encryption[_-]?key"
     r"|private[_-]?key|auth[_-]?key|master[_-]?key|account[_-]?key|shared[_-]?key|license[_-]?key|credential)"
 )
 _VALUE = r"""(?:"([^"\n]*)"|'([^'\n]*)'|`([^`\n]*)`|([^\s"'`,;(){}<>\[\]]+))"""
-_ASSIGNED = r"""(?:["'`]?\]?\s{0,8}(?::=|=>|==|[=:,])\s{0,8}(?:(?:str|string|String|&str|&'static str|any)\s*=\s*)?|["']\s{1,4}value\s?=\s?|>\s{0,8})"""
+_ASSIGNED = r"""(?:["'`]?\]?\s{0,8}(?::=|=>|==|[=:,])\s{0,8}(?:(?:str|string|String|&str|&'static str|any)\s*=\s*)?(?:concat!\(\s{0,8})?|["']\s{1,4}value\s?=\s?|>\s{0,8})"""
 
 #: Detector -> pattern. Groups hold the secret. The pattern's required trigrams are those of its index look-up.
 DETECTORS: dict[str, str] = {
     "private_key": r"(-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----)",
     "assigned": rf"(?i){_KEYWORD}s?(?![\w]){_ASSIGNED}{_VALUE}",
-    "url": r"""(?<=\w)://[^\s/:@"'`<>]{0,80}:([^\s/@"'`<>]{1,200})@""",
-    "connection": r"""(?i);\s{0,4}(?:password|pwd|accountkey|sharedaccesskey)\s{0,4}=\s{0,4}([^;"'`\s]{1,200})""",
+    "url": r"""(?<=\w)://[^\s/:@"'`<>]*+:([^\s/@"'`<>]++)@""",
+    "connection": r"""(?i);\s{0,4}(?:password|pwd|accountkey|sharedaccesskey)\s{0,4}=\s{0,4}([^;"'`\s]++)""",
     "header": r"""(?i)authorization["'`]?\]?\s{0,8}(?::=|=>|[=:,])\s{0,8}["'`]?(?:bearer|basic|token|apikey)\s{1,4}([A-Za-z0-9+/=_.~-]{8,})""",
     "stripe": r"(?<![A-Za-z0-9])([sr]k_(?:live|test|prod)_[A-Za-z0-9]{16,})",
     "slack": r"(?<![A-Za-z0-9])(xox[abeprs]-[A-Za-z0-9-]{16,})",
@@ -34,6 +34,7 @@ DETECTORS: dict[str, str] = {
     "huggingface": r"(?<![A-Za-z0-9])(hf_[A-Za-z0-9]{30,})",
 }
 _KEYWORDS = re.compile(_KEYWORD)
+_NAME = re.compile(r"[\w-]*")
 _COMPILED = {name: re.compile(pattern) for name, pattern in DETECTORS.items()}
 TOKENS = frozenset(DETECTORS) - {"private_key", "assigned", "url", "connection", "header"}
 
@@ -46,6 +47,12 @@ PLACEHOLDERS = frozenset(
 _REFERENCE = re.compile(r"^(?:\$[{(A-Za-z_]|%\w+%|\{\{|<%|<[^>]*>$|\[[^\]]*\]$|\{[^}]*\}$|@\w+[.@{]|vault:|env[:.]|ssm:|kms:|secretsmanager|arn:|op://|file:|/[\w.-]+/|\./|~/|[A-Za-z]:\\|https?://|process\.env|os\.|env::|System\.|config\.|ENC\[)")
 _FILLER = re.compile(r"^(.)\1{2,}$|^[x*.•#?_-]+$|^(?:x{3,}|\*{3,}|\.{3,})|(?:\.{3}|\*{3,}|x{4,})$", re.I)
 _TEXT_EXT = frozenset((".yaml", ".yml", ".env", ".sh", ".ini", ".cfg", ".conf", ".properties", ".toml", ".xml", ".json", ""))
+_CONCAT = re.compile(r'concat!\(\s*"[^"\\]*"(?:\s*,\s*"[^"\\]*")+')
+_BETWEEN = re.compile(r'"\s*,\s*"')
+#: Names after which words are a secret too, and words that no passphrase but a sentence about one has.
+_WORDY = re.compile(r"(?i)pass(?:word|wd|phrase|code)?s?$|pwd$")
+_TOLD = frozenset("a an and are at be by can enter for from here in invalid is it least must new no not of on or please required set should that the this to too use was with wrong you your".split())
+_NAMED = re.compile(r"(?i)pass|secret|token|key|cred|field|name|input|label|type|text|prompt|hash|vault|store|manager|value")
 _JOINED = re.compile(r'"\s*\+\s*"|\'\s*\+\s*\'|`\s*\+\s*`|"\s*\.\s*"')
 _BODY = re.compile(r"""(?:\\[nr]|[\s"'`+,\\]|#|//|\*|[A-Za-z-]{3,20}: [^\n]{1,80}\n)*[A-Za-z0-9+/=]{16,}""")
 _KEY_END = re.compile(r"-----END (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----")
@@ -64,10 +71,20 @@ def is_placeholder(value: str) -> bool:
     )
 
 
-def is_secret_value(value: str, quoted: bool) -> bool:
-    """Whether the value of a secret's name looks like the secret itself, not a name, reference or word."""
-    if len(value) < 6 or len(value) > 4000 or re.search(r"\s", value) or is_placeholder(value):
+def is_secret_value(value: str, quoted: bool, name: str = "") -> bool:
+    """Whether the value of a secret's name looks like the secret itself, not a name, reference or word.
+
+    Beside a password's name a quoted value may also be letters alone, or a passphrase of three words or more
+    that aren't those of a sentence.
+    """
+    if len(value) < 6 or is_placeholder(value):
         return False
+    wordy = quoted and bool(_WORDY.search(name))
+    if re.search(r"\s", value):
+        parts = value.lower().split()
+        return wordy and len(parts) >= 3 and all(len(p) > 2 and p.isalnum() and p not in _TOLD and not _NAMED.search(p) for p in parts)
+    if wordy and re.fullmatch(r"[A-Za-z]{8,}", value) and not _NAMED.search(value):
+        return True
     if re.fullmatch(r"[A-Za-z_-]+", value) and not (len(value) >= 20 and re.search(r"[a-z][A-Z].*[A-Z][a-z]|[a-z]{2}[A-Z]{2}", value) and "_" not in value):
         return False
     if re.fullmatch(r"[a-z]+(?:[:.][a-z0-9]+)+", value) or re.fullmatch(r"[A-Za-z]+(?:-[A-Za-z]+)+", value) or re.fullmatch(r"\d{1,8}", value):
@@ -96,7 +113,11 @@ class _Spliced:
     def __init__(self, text: str):
         self.cuts: list[tuple[int, int]] = []  # (place in the closed text, characters left out up to there)
         parts, at, gone, size = [], 0, 0, 0
-        for m in _JOINED.finditer(text):
+        joints = list(_JOINED.finditer(text))
+        if "concat!" in text:
+            joints += [m for c in _CONCAT.finditer(text) for m in _BETWEEN.finditer(text, c.start(), c.end())]
+            joints.sort(key=lambda m: m.start())
+        for m in joints:
             parts.append(text[at : m.start()])
             size += m.start() - at
             gone += m.end() - m.start()
@@ -143,7 +164,7 @@ def find_secrets(text: str, ext: str, detectors=None) -> list[tuple[str, int, li
                 end = stop.end() if stop and _KEY_LINES.fullmatch(t, end, stop.start()) else _KEY_LINES.match(t, end).end()
             elif name == "assigned":
                 quoted = group < 4
-                if not is_secret_value(value, quoted):
+                if not is_secret_value(value, quoted, _NAME.match(m.group()).group()):
                     continue
                 if not quoted and ext not in _TEXT_EXT and not _in_comment(t, m.start()):
                     continue
