@@ -3,45 +3,59 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def orphan_references(refs: DataFrame, parent: DataFrame, keys: dict[str, str], match: str = "simple") -> DataFrame:
-    """Rows of `refs` whose composite key has no partner in `parent`.
+def flag_orphans(refs: DataFrame, parent: DataFrame, keys: dict[str, str], flag: str, match: str = "simple", asked: Column | None = None) -> DataFrame:
+    """`refs` with a boolean column `flag`: whether the row's composite key has no partner in `parent`.
 
-    `keys` maps columns of `refs` to columns of `parent`. References are grouped by their null mask, and
-    each mask is anti-joined on its non-null columns under the declared match:
+    `keys` maps columns of `refs` to columns of `parent`. References are grouped by their null mask, and each mask
+    is matched on its non-null columns: the mask is part of the join's key, and `parent` has its keys once per mask
+    that occurs, so `refs` is joined once whatever the number of masks. The declared match says:
 
     * simple: a NULL in any key column means there is no reference, so the row is never an orphan;
     * partial: the non-null columns alone must match some parent row; all NULL is never an orphan;
     * full: all NULL is never an orphan, some NULL always is one.
 
-    Defined cases: NULLs in parent keys match nothing; repeated rows of `refs` are all returned; columns of
-    `refs` keep their names whatever `parent` calls its own; empty `parent` makes every non-null reference an
-    orphan; empty `refs` gives an empty result. A hot key on the side of `refs` is split by AQE, as the
-    anti-join streams that side; the parent side is one row per key.
+    Rows for which `asked` doesn't hold are no orphans; they and others without a reference are spread over the
+    join's tasks. Defined cases: NULLs in parent keys match nothing; repeated rows of `refs` are all returned;
+    columns of `refs` keep their names whatever `parent` calls its own; empty `parent` makes every non-null
+    reference an orphan; empty `refs` gives an empty result. A hot key on the side of `refs` is split by AQE, as
+    that side is streamed; the parent side is one row per key and mask.
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"unknown match: {match}")
     if not keys:
         raise ValueError("keys must not be empty")
     kids = list(keys)
+    none, every = "0" * len(kids), "1" * len(kids)
+    mask = F.when(F.lit(True) if asked is None else F.coalesce(asked, F.lit(False)), F.concat(*(F.when(F.col(k).isNull(), "0").otherwise("1") for k in kids))).otherwise(none)
+    masks = [every]
+    if match == "partial" and len(kids) > 1:  # which masks occur: two to the number of keys at most
+        masks = sorted(r[0] for r in refs.select(mask.alias("m")).distinct().collect() if r[0] != none)
+    seen = F.col("__mask").isin(*masks) if masks else F.lit(False)
+    rows = refs.withColumn("__mask", mask)
+    rows = rows.withColumn("__key", F.when(seen, F.col("__mask")).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("string")))
     parts = []
-    for mask in product((False, True), repeat=len(kids)):
-        nulls = [k for k, is_null in zip(kids, mask, strict=True) if is_null]
-        there = [k for k in kids if k not in nulls]
-        if not there or (nulls and match == "simple"):
-            continue
-        group = refs.filter(reduce(lambda a, b: a & b, [F.col(k).isNull() if k in nulls else F.col(k).isNotNull() for k in kids]))
-        if not nulls or match == "partial":
-            wanted = parent.select(*(F.col(keys[k]).alias(f"__parent_{i}") for i, k in enumerate(there))).dropna().distinct()
-            same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__parent_{i}") for i, k in enumerate(there)])
-            group = group.join(wanted, same, "left_anti")
-        parts.append(group)
-    return reduce(DataFrame.unionByName, parts)
+    for one in masks:
+        there = [i for i, m in enumerate(one) if m == "1"]
+        columns = [F.col(keys[kids[i]]) if i in there else F.lit(None).cast(parent.schema[keys[kids[i]]].dataType) for i in range(len(kids))]
+        parts.append(parent.filter(reduce(lambda x, y: x & y, (F.col(keys[kids[i]]).isNotNull() for i in there))).select(F.lit(one).alias("__of"), *(c.alias(f"__{i}") for i, c in enumerate(columns))).distinct())
+    orphan = F.lit(False)
+    if parts:
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(kids)], F.col("__key") == F.col("__of"))
+        rows = rows.join(reduce(DataFrame.unionByName, parts), same, "left")
+        orphan = seen & F.col("__of").isNull()
+    if match == "full":
+        orphan = orphan | ~F.col("__mask").isin(none, every)
+    return rows.select(*(rows[c] for c in refs.columns), orphan.alias(flag))
+
+
+def orphan_references(refs: DataFrame, parent: DataFrame, keys: dict[str, str], match: str = "simple") -> DataFrame:
+    """The rows of `refs` whose composite key has no partner in `parent`: see flag_orphans."""
+    return flag_orphans(refs, parent, keys, "__orphan", match).filter("__orphan").drop("__orphan")
 
 
 def index_orphans(edges: DataFrame, runs: DataFrame, codebases: DataFrame, symbols: DataFrame, source_files: DataFrame) -> DataFrame:
@@ -76,16 +90,12 @@ def index_orphans(edges: DataFrame, runs: DataFrame, codebases: DataFrame, symbo
         .unionByName(source_files.select(F.lit("file").alias("kind"), "codebase_id", F.col("file_path").alias("ref")))
     )
 
-    def of(rows: DataFrame, reason: str) -> DataFrame:
-        return rows.select("source_table", "row_id", F.lit(reason).alias("reason"), "period")
-
-    owners = edge.select("source_table", "row_id", "codebase_id", "period").unionByName(run)
-    parts = [
-        of(orphan_references(owners, codebases, {"codebase_id": "id"}), "codebase_id"),
-        of(orphan_references(edge, codebases, {"target_codebase_id": "id"}), "target_codebase_id"),
-        of(orphan_references(edge.filter("resolved = 1"), names, {"to_kind": "kind", "scope": "codebase_id", "to_ref": "ref"}, "partial"), "to_ref"),
-    ]
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["source_table", "row_id", "reason"])
+    rows = edge.unionByName(run, allowMissingColumns=True)
+    rows = flag_orphans(rows, codebases, {"codebase_id": "id"}, "no_codebase")
+    rows = flag_orphans(rows, codebases, {"target_codebase_id": "id"}, "no_target")
+    rows = flag_orphans(rows, names, {"to_kind": "kind", "scope": "codebase_id", "to_ref": "ref"}, "no_name", "partial", F.col("resolved") == 1)
+    reasons = F.array_compact(F.array(*(F.when(F.col(flag), F.lit(reason)) for flag, reason in (("no_codebase", "codebase_id"), ("no_target", "target_codebase_id"), ("no_name", "to_ref")))))
+    return rows.select("source_table", "row_id", F.explode(reasons).alias("reason"), "period").dropDuplicates(["source_table", "row_id", "reason"])
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
