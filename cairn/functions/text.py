@@ -56,11 +56,14 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
+# The words that a free-text query loses.
+STOP_WORDS = frozenset("a an the and or in of to is it for on at by with from that this are be as was not but if we".split())
+
+
 def query_terms(query: str) -> list[str]:
     """Terms of a free-text query: trimmed, of 3 bytes or more, no stop words, once each in their order."""
-    stop = set("the and for with that this from are was were has have had not but you all can its our out when into does should would".split())
     terms = (w.strip(".,;:!?\"'()") for w in query.lower().split())
-    return list(dict.fromkeys(t for t in terms if len(t.encode()) >= 3 and t not in stop))
+    return list(dict.fromkeys(t for t in terms if len(t.encode()) >= 3 and t not in STOP_WORDS))
 
 
 def escape_fts(query: str) -> str:

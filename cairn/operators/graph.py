@@ -74,13 +74,33 @@ def callers_workspace(ix: Index) -> DataFrame:
     return found.groupBy("workspace", "target").agg(F.count("*").alias("calls"), F.count_distinct("codebase_id").alias("codebases"))
 
 
+def usages_workspace(ix: Index) -> DataFrame:
+    """References of any kind per workspace and target name, from all its codebases."""
+    found = matching_edges(edges(ix), targets(ix)).groupBy("codebase_id", "target", "edge_kind").agg(F.count("*").alias("n"))
+    return found.join(ix.members, "codebase_id").groupBy("workspace", "target", "edge_kind").agg(F.sum("n").alias("usages"), F.count_distinct("codebase_id").alias("codebases"))
+
+
+def blast_entries(ix: Index) -> DataFrame:
+    """One row per symbol, role and edge: (codebase_id, target, file_path, role, edge_id, ref); each list in the order
+    of the edges' ids, repeats kept. One hop: who calls the symbol, what it calls, which files import its file."""
+    symbols = ix.raw("symbols").select("codebase_id", F.col("qualified_name").alias("target"), "file_path").filter("target <> ''").distinct()
+    named = [
+        callers(ix).select("codebase_id", "target", F.lit("callers").alias("role"), "edge_id", F.col("from_ref").alias("ref")),
+        callees(ix).select("codebase_id", F.col("from_ref").alias("target"), F.lit("callees").alias("role"), "edge_id", F.col("to_ref").alias("ref")),
+    ]
+    importing = dependents(ix).select("codebase_id", F.col("to_ref").alias("file_path"), F.lit("dependents").alias("role"), "edge_id", F.col("from_ref").alias("ref"))
+    columns = ["codebase_id", "target", "file_path", "role", "edge_id", "ref"]
+    by_name = named[0].unionByName(named[1]).join(symbols, ["codebase_id", "target"]).select(*columns)
+    return by_name.unionByName(importing.join(symbols, ["codebase_id", "file_path"]).select(*columns))
+
+
 def blast_radius(ix: Index) -> DataFrame:
-    """Per symbol, how many call it, what it calls, and which files import its file, with the first of each.
+    """Per symbol, how many call it, what it calls, and which files import its file, with the first of each by edge.
 
-    One hop, as lists in edge order without removing repeats; here their lengths and first entries.
+    The lists themselves are the rows of `blast_entries`; here they are counted before they are joined.
     """
     symbols = ix.raw("symbols").select("codebase_id", F.col("qualified_name").alias("target"), "file_path").filter("target <> ''").distinct()
-    by = lambda df, keys, what, name: df.groupBy(*keys).agg(F.count("*").alias(name), F.min(what).alias(f"first_{name}"))
+    by = lambda df, keys, what, name: df.groupBy(*keys).agg(F.count("*").alias(name), F.min_by(what, "edge_id").alias(f"first_{name}"))
     calling = by(callers(ix), ["codebase_id", "target"], "from_ref", "callers")
     called = by(callees(ix).withColumnRenamed("from_ref", "target"), ["codebase_id", "target"], "to_ref", "callees")
     importing = by(dependents(ix).withColumnRenamed("to_ref", "file_path"), ["codebase_id", "file_path"], "from_ref", "dependents")
@@ -88,12 +108,20 @@ def blast_radius(ix: Index) -> DataFrame:
     return joined.na.fill(0, ["callers", "callees", "dependents"])
 
 
-def cross_links(ix: Index, outbound: int = 10) -> DataFrame:
-    """The first edges of each symbol that lead into other codebases."""
+def cross_links(ix: Index, outbound: int = 10, inbound: int = 5) -> DataFrame:
+    """Links of each symbol with other codebases: its first edges that lead there, and the first calls of its bare name
+    from each sibling in its workspaces. (codebase_id, name, direction, edge_id, other_codebase_id, other_ref, edge_kind)"""
     from cairn.operators.lookups import top_per
 
-    rows = edges(ix).filter("target_codebase_id is not null and target_codebase_id <> codebase_id").select("id", "codebase_id", "from_ref", "to_ref", "target_codebase_id")
-    return top_per(rows, ["codebase_id", "from_ref"], [F.asc("id")], outbound)
+    columns = ["codebase_id", "name", "direction", "edge_id", "other_codebase_id", "other_ref", "edge_kind"]
+    out = edges(ix).filter("target_codebase_id is not null and target_codebase_id <> codebase_id")
+    first = top_per(out, ["codebase_id", "from_ref"], [F.asc("id")], outbound)
+    leaving = first.select("codebase_id", F.col("from_ref").alias("name"), F.lit("out").alias("direction"), F.col("id").alias("edge_id"), F.col("target_codebase_id").alias("other_codebase_id"), F.col("to_ref").alias("other_ref"), "edge_kind")
+    calls = top_per(edges(ix, "calls"), ["codebase_id", "to_ref"], [F.asc("id")], inbound).drop("position")  # before they meet their siblings
+    known = ix.raw("symbols").select("codebase_id", "name").distinct()
+    siblings = ix.members.join(ix.members.withColumnRenamed("codebase_id", "other_codebase_id"), "workspace").filter("other_codebase_id <> codebase_id").select("codebase_id", "other_codebase_id").distinct()
+    arriving = calls.withColumnRenamed("codebase_id", "other_codebase_id").join(siblings, "other_codebase_id").withColumn("name", F.col("to_ref")).join(known, ["codebase_id", "name"])
+    return leaving.unionByName(arriving.select("codebase_id", "name", F.lit("in").alias("direction"), F.col("id").alias("edge_id"), "other_codebase_id", F.col("from_ref").alias("other_ref"), "edge_kind")).select(*columns)
 
 
 def cross_repo_resolution(ix: Index) -> DataFrame:

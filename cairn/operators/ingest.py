@@ -30,9 +30,30 @@ DOC_TYPES = {
     "contributing": (7, ("CONTRIBUTING*", "contributing.md"), (), None),
     "general": (8, ("*.md",), ("CHANGELOG*", "LICENSE*", "HISTORY*", "MAINTENANCE*", "SECURITY*"), 5),
 }
+# Extension -> language; all others are text.
+LANGUAGES = {
+    ".go": "go", ".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".cpp": "cpp", ".c": "c", ".h": "c", ".rs": "rust", ".rb": "ruby", ".php": "php", ".sql": "sql",
+    ".sh": "bash", ".md": "markdown", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".xml": "xml", ".html": "html", ".css": "css",
+}
 WINDOW_LINES, WINDOW_TOKENS, OVERLAP_TOKENS = 50, 500, 100
 
 
+def language_of(path: str) -> Column:
+    """The language that a path's extension stands for."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))[extension(path)], F.lit("text"))
+
+
+def lines_of(text: str) -> Column:
+    """Lines of a text: its line breaks and one."""
+    return (F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
+def languages(ix: Index) -> DataFrame:
+    """Files and lines by codebase and detected language, of files put together from their chunks."""
+    files = ix.once("chunks", "codebase_id", "file_path", "snippet").groupBy("codebase_id", "file_path").agg(F.sum(lines_of("snippet")).alias("lines"))
+    return files.groupBy("codebase_id", language_of("file_path").alias("language")).agg(F.count("*").alias("files"), F.sum("lines").alias("lines"))
+
+
 def path_rules(paths: DataFrame) -> DataFrame:
     """Each path with whether it is ignored, code, a test, and an implementation."""
     low = F.split(F.lower("file_path"), "/")
@@ -48,13 +69,44 @@ def path_rules(paths: DataFrame) -> DataFrame:
     return paths.withColumns({"ignored": ignored, "code": extension().isin(*CODE), "test": test, "implementation": implementation})
 
 
-def scan_tree(spark: SparkSession, root: str, lines: int = WINDOW_LINES) -> DataFrame:
-    """(file_path, file_hash, text) of a source tree's code files, ignored ones left out."""
+def not_ignored_by_git(files: DataFrame, keys: list[str]) -> DataFrame:
+    """`files` (keys, file_path, text) without those that a .gitignore above them leaves out.
+
+    Each line of a .gitignore is a rule of its directory; the rules of all directories above a file are joined to it by
+    equality on the directory, and the last rule that fits (deeper files later, then later lines) decides; `!` takes
+    a file back in. Nothing comes back out of a directory that is left out as a whole.
+    """
+    name, folder = F.element_at(F.split("file_path", "/"), -1), F.regexp_replace("file_path", "/?[^/]*$", "")
+    lines = files.filter(name == ".gitignore").select(*keys, folder.alias("scope"), F.posexplode(F.split("text", "\r?\n")).alias("line", "rule"))
+    rule = F.regexp_replace("rule", r"(?<!\\)\s+$", "")
+    rules = lines.withColumn("rule", rule).filter((F.col("rule") != "") & ~F.col("rule").startswith("#"))
+    back = F.col("rule").startswith("!")
+    bare = F.regexp_replace("rule", r"^(?:!|\\(?=[!#]))", "")
+    only_dir, core = bare.endswith("/"), F.regexp_replace(bare, "^/|/+$", "")
+    fixed = F.regexp_replace(bare, "/+$", "").contains("/")
+    star = F.regexp_replace(F.regexp_replace(core, r"([.+^$(){}|\\])", r"\\$1"), r"\?", "[^/]")
+    for text, mark in ((r"^\*\*/", "\x01"), (r"/\*\*$", "\x02"), (r"/\*\*/", "\x03"), (r"\*+", "[^/]*"), ("\x01", "(?:.*/)?"), ("\x02", "/.*"), ("\x03", "/(?:.*/)?")):
+        star = F.regexp_replace(star, text, mark)
+    pattern = F.concat(F.when(fixed, F.lit("^")).otherwise(F.lit("^(?:.*/)?")), star, F.when(only_dir, F.lit("/.*$")).otherwise(F.lit("(?:/.*)?$")))
+    rules = rules.select(*keys, "scope", "line", back.alias("back"), pattern.alias("pattern"), F.concat(F.regexp_replace(pattern, r"(?:/\.\*|\(\?:/\.\*\)\?)\$$", ""), F.lit("/.*$")).alias("above"))
+    parts = F.split("file_path", "/")
+    scopes = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    asked = files.select(*keys, "file_path", F.explode(scopes).alias("scope"))
+    inside = F.when(F.col("scope") == "", F.col("file_path")).otherwise(F.expr("substring(file_path, length(scope) + 2)"))
+    met = asked.join(rules, [*keys, "scope"]).withColumn("inside", inside).filter(F.expr("inside rlike pattern"))
+    order = F.struct(F.length("scope"), "line")
+    out = met.groupBy(*keys, "file_path").agg(F.max_by(~F.col("back"), order).alias("out"), F.bool_or(~F.col("back") & F.expr("inside rlike above")).alias("whole")).filter("out or whole")
+    return files.join(out.select(*keys, "file_path"), [*keys, "file_path"], "left_anti")
+
+
+def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path, file_hash, text) of a source tree's code files, ignored ones left out, also by .gitignore files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     start = len(root.rstrip("/")) + 1
     relative = F.expr(f"substring(regexp_replace(path, '^file:/*', '/'), {start + 1})")
     rows = files.select(relative.alias("file_path"), F.sha2("content", 256).alias("file_hash"), F.decode("content", "UTF-8").alias("text"))
-    return path_rules(rows).filter("code and not ignored").drop("ignored", "code", "test", "implementation")
+    rows = path_rules(not_ignored_by_git(rows, []))
+    return rows.filter("code and not ignored").drop("ignored", "code", "test", "implementation")
 
 
 def line_chunks(texts: DataFrame, *key: str, size: int = WINDOW_LINES) -> DataFrame:
@@ -107,15 +159,42 @@ def _packed(text: str, most: int, overlap: int) -> list[tuple[int, int, str]]:
 
 def prose_chunks(texts: DataFrame, key: str = "doc_id", most: int = WINDOW_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
     """Paragraphs of each text packed into chunks of at most `most` tokens (a quarter of its characters)."""
+    rows = texts.filter(F.col("text").isNotNull() & F.col(key).isNotNull()).select(F.struct(key).alias("part"), "text")
+    return _packed_parts(rows, most, overlap).select(f"part.{key}", "chunk", "start_line", "end_line", "snippet")
+
+
+def _packed_parts(texts: DataFrame, most: int, overlap: int) -> DataFrame:
+    """(part, chunk, start_line, end_line, snippet) of texts (part, text)."""
     most = most if most > 0 else WINDOW_TOKENS
     overlap = overlap if 0 < overlap < most else max(1, most // 5)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<start_line:int,end_line:int,snippet:string>>")
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            rows = [(k, n, *c) for k, t in zip(batch[key], batch["text"], strict=True) for n, c in enumerate(_packed(t, most, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "chunk", "start_line", "end_line", "snippet"])
-
-    return texts.filter(F.col("text").isNotNull() & F.col(key).isNotNull()).select(key, "text").mapInPandas(pack, f"{key} long, chunk int, start_line int, end_line int, snippet string")
+            yield pd.Series([[{"start_line": a, "end_line": b, "snippet": s} for a, b, s in _packed(t, most, overlap)] for t in batch], dtype=object)
+
+    return texts.select("part", F.posexplode(pack("text")).alias("chunk", "c")).select("part", "chunk", "c.*")
+
+
+def file_chunks(files: DataFrame, most: int = WINDOW_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+    """Chunks of `files` (codebase_id, file_path, file_hash, text): code in windows of lines, Markdown by section (long
+    sections packed as prose), other text as prose. Key: path, number in the file, and lines."""
+    key = ["codebase_id", "file_path", "file_hash"]
+    named = files.withColumn("ext", extension())
+    markdown, code = F.col("ext").isin(".md", ".markdown"), F.col("ext").isin(*(e for e in CODE if e != ".md"))
+    windows = line_chunks(named.filter(code & ~markdown), *key).select(*key, "start_line", "end_line", "snippet", F.lit("code").alias("kind"), F.lit("").alias("name"))
+    cut = markdown_sections(named.filter(markdown), *key)
+    long = F.length("snippet") > 4 * most
+    head = F.trim(F.regexp_replace(F.regexp_extract("snippet", r"^\s*#+[^\n]*", 0), r"^\s*#+", ""))
+    sections = cut.filter(~long).select(*key, "start_line", "end_line", "snippet", F.lit("markdown_section").alias("kind"), head.alias("name"))
+    prose = named.filter(~markdown & ~code).select(*key, F.col("text"), F.lit(0).alias("before"), F.lit("prose").alias("kind"), F.lit("").alias("name"))
+    prose = prose.unionByName(cut.filter(long).select(*key, F.col("snippet").alias("text"), (F.col("start_line") - 1).alias("before"), F.lit("markdown_section").alias("kind"), head.alias("name")))
+    numbered = prose.filter("text is not null").withColumn("part", F.struct(*key, "before", "kind", "name"))
+    packed = _packed_parts(numbered, most, overlap).select(*(f"part.{k}" for k in key), (F.col("start_line") + F.col("part.before")).alias("start_line"), (F.col("end_line") + F.col("part.before")).alias("end_line"), "snippet", "part.kind", "part.name")
+    rows = windows.unionByName(sections).unionByName(packed)
+    number = F.row_number().over(Window.partitionBy("codebase_id", "file_path").orderBy("start_line", "end_line")) - 1
+    place = F.concat_ws(":", "file_path", number, F.concat_ws("-", "start_line", "end_line"))
+    return rows.select("codebase_id", "file_path", "file_hash", place.alias("chunk_key"), language_of("file_path").alias("language"), "kind", "name", "snippet", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
 def document_type(path: Column) -> Column:
@@ -153,22 +232,23 @@ def conflicted_files(ix: Index) -> DataFrame:
     return rows.groupBy("codebase_id", "file_path").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"), F.bool_or("c").alias("c")).filter("a and b and c").select("codebase_id", "file_path")
 
 
-#: Extension -> pattern of a definition's line: name in the first group that matched.
-DEFINITIONS = {
-    ".go": r"^func (?:\([^)]*\) )?(\w+)|^type (\w+)|^(?:const|var) (\w+)",
-    ".py": r"^\s*(?:async )?def (\w+)|^\s*class (\w+)|^([A-Z_]{3,}) =",
-    ".ts": r"^\s*(?:export )?(?:async )?function (\w+)|^\s*(?:export )?class (\w+)|^(?:export )?const (\w+)",
-    ".js": r"^\s*(?:export )?(?:async )?function (\w+)|^\s*(?:export )?class (\w+)|^(?:export )?const (\w+)",
-    ".rs": r"^\s*(?:pub )?(?:async )?fn (\w+)|^\s*(?:pub )?(?:struct|enum|trait) (\w+)|^\s*(?:pub )?(?:const|static) (\w+)",
-}
+SAFE_TYPES = ("readme", "contributing", "agent-instructions")
+DOCUMENT_CHARS = 4000
+
 
+def codebase_context(ix: Index) -> DataFrame:
+    """The orientation documents of each codebase with their compacted text, by priority and path; closed codebases show
+    only those that reveal no design; a codebase without any has one row, its overview as `fallback`."""
+    from cairn.functions.text import compact
+    from cairn.operators import lookups, manifest
 
-def scanned_definitions(ix: Index) -> DataFrame:
-    """(codebase_id, file_path, line, name): definitions seen by scanning the lines of every chunk."""
-    rows = ix.once("chunks", "codebase_id", "file_path", "start_line", "snippet").filter(extension().isin(*DEFINITIONS))
-    lines = rows.select("codebase_id", "file_path", "start_line", extension().alias("ext"), F.posexplode(F.split("snippet", "\r?\n")).alias("at", "text"))
-    name = F.lit(None).cast("string")
-    for ext, pattern in DEFINITIONS.items():
-        found = F.concat(*(F.regexp_extract("text", pattern, i) for i in (1, 2, 3)))
-        name = F.when(F.col("ext") == ext, found).otherwise(name)
-    return lines.select("codebase_id", "file_path", (F.col("start_line") + F.col("at")).alias("line"), name.alias("name")).filter("name <> ''")
+    # text by path: of documents that share one, the first by id
+    texts = ix.raw("documents").filter("file_path is not null").groupBy("codebase_id", "file_path").agg(F.min_by("text", "doc_id").alias("text"))
+    closed = manifest.policies(ix).filter("closed_source").select("codebase_id", F.lit(True).alias("closed"))
+    listed = orientation_documents(ix).join(closed, "codebase_id", "left").filter(F.col("closed").isNull() | F.col("doc_type").isin(*SAFE_TYPES)).drop("closed")
+    found = listed.join(texts, ["codebase_id", "file_path"]).select("codebase_id", "file_path", "doc_type", "priority", compact(F.coalesce("text", F.lit("")), DOCUMENT_CHARS).alias("content"), F.lit(False).alias("fallback"))
+    bare = ix.codebases.select(F.col("id").alias("codebase_id")).join(listed.select("codebase_id").distinct(), "codebase_id", "left_anti")
+    overview = F.concat(F.col("files").cast("string"), F.lit(" files, "), F.col("loc").cast("string"), F.lit(" lines, "), F.col("symbols").cast("string"), F.lit(" symbols"))
+    view = bare.join(lookups.project_overview(ix), "codebase_id", "left").na.fill(0, ["files", "loc", "symbols"])
+    empty = F.lit(None).cast("string")
+    return found.unionByName(view.select("codebase_id", empty.alias("file_path"), empty.alias("doc_type"), F.lit(None).cast("int").alias("priority"), overview.alias("content"), F.lit(True).alias("fallback")))

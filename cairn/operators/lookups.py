@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.text import ascii_lower, sqlite_like
+from cairn.functions.text import sqlite_like
 from cairn.sources.index import Index
 
 FUZZY_TOP, SYMBOL_TOP, FILES_TOP, EXPORTED_TOP = 20, 50, 10, 20
@@ -80,25 +80,46 @@ def find_symbol_of_kind(ix: Index, query: str = "parse", kind: str = "method") -
     return find_symbol(ix, query).filter(F.col("kind") == kind)
 
 
-def find_symbol_fuzzy(ix: Index, query: str = "parseRecrd") -> DataFrame:
-    """Per codebase the symbols within an edit distance of a quarter of the query's length (1 to 3)."""
+def _near_symbols(ix: Index, query: str) -> DataFrame:
+    """The symbols within an edit distance of a quarter of the query's length (1 to 3)."""
     size = len(query.encode())
     most = max(1, min(3, size // 4))
     near = lambda c: F.levenshtein(F.lower(c), F.lit(query.lower()), most)
     far = F.lit(most + 1)
     distance = F.least(*(F.when(near(c) >= 0, near(c)).otherwise(far) for c in ("name", "qualified_name")))
     band = F.length("name").between(size - most, size + most) | F.length("qualified_name").between(size - most, size + most)
-    rows = ix.raw("symbols").filter(band).select("id", "codebase_id", "name", "qualified_name", distance.alias("distance")).filter(F.col("distance") <= most).dropDuplicates(["id"])
-    return top_per(rows, "codebase_id", [F.asc("distance"), F.asc("id")], FUZZY_TOP)
+    return ix.raw("symbols").filter(band).select("id", "codebase_id", "name", "qualified_name", distance.alias("distance")).filter(F.col("distance") <= most).dropDuplicates(["id"])
+
+
+def find_symbol_fuzzy(ix: Index, query: str = "parseRecrd") -> DataFrame:
+    """Per codebase the nearest symbols."""
+    return top_per(_near_symbols(ix, query), "codebase_id", [F.asc("distance"), F.asc("id")], FUZZY_TOP)
+
+
+def find_symbol_or_fuzzy(ix: Index, query: str = "parseRecrd") -> DataFrame:
+    """find_symbol per codebase and, where it finds nothing there, find_symbol_fuzzy."""
+    exact, near = find_symbol(ix, query), find_symbol_fuzzy(ix, query)
+    columns = ["id", "codebase_id", "name", "qualified_name", "position"]
+    missing = near.join(exact.select("codebase_id").distinct(), "codebase_id", "left_anti")
+    return exact.select(*columns, F.lit(False).alias("fuzzy")).unionByName(missing.select(*columns, F.lit(True).alias("fuzzy")))
+
+
+def _in_workspaces(ix: Index, rows: DataFrame) -> DataFrame:
+    return rows.join(workspace_members(ix).withColumnRenamed("name", "codebase_name"), "codebase_id")
 
 
 def find_symbol_workspace(ix: Index, query: str = "merge") -> DataFrame:
-    """The best symbols per workspace, with their codebase's name."""
+    """The best symbols per workspace, ranked as find_symbol does, with their codebase's name."""
     like = f"%{query}%"
-    hits = ix.raw("symbols").filter(sqlite_like(F.col("name"), like) | sqlite_like(F.col("qualified_name"), like)).select("id", "codebase_id", "name").dropDuplicates(["id"])
-    rank = F.when(F.col("name") == query, 0).otherwise(2)
-    rows = hits.join(workspace_members(ix).withColumnRenamed("name", "codebase_name"), "codebase_id").withColumn("rank", rank)
-    return top_per(rows, "workspace", [F.asc("rank"), F.asc("name"), F.asc("id")], SYMBOL_TOP)
+    hits = ix.raw("symbols").filter(sqlite_like(F.col("name"), like) | sqlite_like(F.col("qualified_name"), like)).select("id", "codebase_id", "name", "qualified_name").dropDuplicates(["id"])
+    rank = F.when(F.col("name") == query, 0).when(F.col("qualified_name") == query, 1).otherwise(2)
+    return top_per(_in_workspaces(ix, hits).withColumn("rank", rank), "workspace", [F.asc("rank"), F.asc("name"), F.asc("id")], SYMBOL_TOP)
+
+
+def find_symbol_fuzzy_workspace(ix: Index, query: str = "parseRecrd") -> DataFrame:
+    """The nearest symbols per workspace."""
+    rows = _in_workspaces(ix, _near_symbols(ix, query))
+    return top_per(rows, "workspace", [F.asc("distance"), F.asc("id")], FUZZY_TOP)
 
 
 def file_stats(ix: Index) -> DataFrame:
@@ -125,13 +146,19 @@ def index_status(ix: Index) -> DataFrame:
     return ids.join(chunks, "codebase_id", "left").select("codebase_id", F.coalesce("n", F.lit(0)).alias("chunks"), F.coalesce("last", F.lit(0)).alias("last_indexed_at"), (F.coalesce("n", F.lit(0)) > 0).alias("indexed"))
 
 
-def package_outline(ix: Index) -> DataFrame:
-    """Each file of each package with its symbols in line order, and its lines."""
+def package_outline(ix: Index, package: str | None = None, prefix: str | None = None) -> DataFrame:
+    """Each file of each package (or of one, or under a path) with its symbols in line order, its lines and those of
+    all listed files of its codebase."""
     symbols = ix.once("symbols", "codebase_id", "file_path", "kind", "name", "start_line")
     listed = symbols.groupBy("codebase_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("start_line", "id", "kind", "name"))).alias("s"))
     named = listed.select("codebase_id", "file_path", F.size("s").alias("symbols"), F.array_join(F.transform("s", lambda s: F.concat_ws(" ", s["kind"], s["name"])), ", ").alias("outline"))
     files = ix.current("source_files", "package_name", "loc").select("codebase_id", "file_path", "package_name", "loc")
-    return files.join(named, ["codebase_id", "file_path"], "left").select("codebase_id", "package_name", "file_path", "loc", F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("outline", F.lit("")).alias("outline"))
+    if package is not None:
+        files = files.filter(F.col("package_name") == package)
+    if prefix is not None:
+        files = files.filter(F.col("file_path").startswith(prefix))
+    files = files.join(files.groupBy("codebase_id").agg(F.coalesce(F.sum("loc"), F.lit(0)).alias("total_loc")), "codebase_id")
+    return files.join(named, ["codebase_id", "file_path"], "left").select("codebase_id", "package_name", "file_path", "loc", "total_loc", F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("outline", F.lit("")).alias("outline"))
 
 
 def project_overview(ix: Index) -> DataFrame:
@@ -151,14 +178,14 @@ def capabilities(ix: Index) -> DataFrame:
     return ix.raw("symbols").select("codebase_id", path_domain(F.col("file_path")).alias("domain"), "name", "kind").distinct()
 
 
-def compare_capabilities(ix: Index) -> DataFrame:
-    """Each codebase against the one before it in its workspace, by domain.
+def compare_capabilities(ix: Index, pairs: DataFrame | None = None) -> DataFrame:
+    """The codebases of `pairs` (first, second), by default each and the one before it in its workspace, by domain.
 
     implemented: seven tenths or more of what the first can are there; partial: some; missing: the second has
     nothing there; extra: only the second has.
     """
     w = Window.partitionBy("workspace").orderBy("codebase_id")
-    compared = ix.members.withColumn("first", F.lag("codebase_id").over(w)).filter("first is not null").select("first", F.col("codebase_id").alias("second"))
+    compared = pairs if pairs is not None else ix.members.withColumn("first", F.lag("codebase_id").over(w)).filter("first is not null").select("first", F.col("codebase_id").alias("second"))
     able = capabilities(ix)
     keys = ["first", "second", "domain", "name", "kind"]
     a = compared.join(able.withColumnRenamed("codebase_id", "first"), "first").select(*keys, F.lit(1).alias("in_a"))
@@ -171,7 +198,3 @@ def compare_capabilities(ix: Index) -> DataFrame:
 
 def capability_summary(ix: Index) -> DataFrame:
     return compare_capabilities(ix).groupBy("first", "second", "status").agg(F.count("*").alias("domains"))
-
-
-def lowered(col: str):
-    return ascii_lower(F.col(col))

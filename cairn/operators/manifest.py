@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,19 @@ def delta_summary(ix: Index) -> DataFrame:
     return manifest_delta(ix).groupBy("codebase_id", "state").agg(F.count("*").alias("files"))
 
 
+def run_summary(states: DataFrame) -> DataFrame:
+    """Counters of a run per codebase, from the states of its files."""
+    n = lambda *of: F.count_if(F.col("state").isin(*of))
+    return states.groupBy("codebase_id").agg(
+        F.count("*").alias("total_files"), n("changed", "added").alias("files_indexed"), n("unchanged").alias("files_skipped"), n("changed").alias("files_changed"), n("added").alias("files_added"), n("removed").alias("files_removed")
+    )
+
+
+def run_counters(ix: Index) -> DataFrame:
+    """run_summary of a run that brings the manifest up to the source files."""
+    return run_summary(manifest_delta(ix))
+
+
 def orphan_chunks(ix: Index) -> DataFrame:
     """Chunks per codebase whose file hash no manifest row of the codebase has."""
     held = ix.raw("indexed_files").select("codebase_id", "file_hash").distinct()
@@ -67,13 +82,27 @@ def edges_after_removal(ix: Index) -> DataFrame:
     return keep_edges_of_other_files(edges(ix), gone).groupBy("codebase_id", "edge_kind").agg(F.count("*").alias("edges"))
 
 
-def policies(ix: Index) -> DataFrame:
-    """(codebase_id, closed_source, source_stripped): whether any row of the flag reads as true."""
+def policies(ix: Index, meta: DataFrame | None = None) -> DataFrame:
+    """(codebase_id, closed_source, source_stripped): whether any row of the flag reads as true.
+
+    Codebases without a row of either flag have those of the global `meta` (key, value), where there is one.
+    """
+    if meta is not None:
+        flags = meta.filter(F.col("key").isin("closed_source", "source_stripped")).select("key", "value")
+        rows = ix.raw("codebase_meta").select("codebase_id", "key", "value")
+        own = rows.filter(F.regexp_replace(F.lower("key"), "[^a-z]", "").isin("closedsource", "sourcestripped")).select("codebase_id").distinct()
+        bare = ix.codebases.select(F.col("id").alias("codebase_id")).join(own, "codebase_id", "left_anti")
+        rows = rows.unionByName(bare.join(F.broadcast(flags)).select("codebase_id", "key", "value"))  # two rows of flags
+        return _flags(rows)
+    return _flags(ix.raw("codebase_meta"))
+
+
+def _flags(rows: DataFrame) -> DataFrame:
     from cairn.operators.wide import normal_key
 
     key = normal_key(F.col("key"))
     yes = F.lower(F.trim("value")) == "true"
-    return ix.raw("codebase_meta").groupBy("codebase_id").agg(
+    return rows.groupBy("codebase_id").agg(
         F.coalesce(F.bool_or(yes & (key == "closedsource")), F.lit(False)).alias("closed_source"), F.coalesce(F.bool_or(yes & (key == "sourcestripped")), F.lit(False)).alias("source_stripped")
     )
 
@@ -112,19 +141,12 @@ def export_artifact(ix: Index, codebase_id: int, folder: str, strip: bool = Fals
     ix.spark.createDataFrame(meta, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta.parquet")
 
 
-def imported(artifact: Index, name: str, codebase_id: int) -> DataFrame:
-    """One table of an artifact with its codebase's id replaced; the artifact's version must be 1 or 2."""
-    version = artifact.raw("meta").filter("key = 'schema_version'").select("value").first()
-    if version is None or version[0] not in ("1", "2"):
-        raise ValueError("not an artifact of version 1 or 2")
-    return artifact.raw(name).withColumn("id" if name == "codebases" else "codebase_id", F.lit(codebase_id).cast("long"))
-
-
 def stripped_export_sizes(ix: Index) -> DataFrame:
-    """Rows and characters that a stripped export of each codebase would hold of chunks and symbols."""
+    """Rows, and characters of source, that an export of each codebase holds of chunks and symbols, whole and stripped."""
     parts = []
     for name, columns in STRIPPED.items():
-        df = exported(ix, name, None, True)
-        chars = sum((F.length(c) for c in columns), F.lit(0))
-        parts.append(df.groupBy("codebase_id").agg(F.count("*").alias("rows"), F.sum(chars).alias("source_chars")).select(F.lit(name).alias("table_name"), "codebase_id", "rows", "source_chars"))
-    return parts[0].unionByName(parts[1])
+        for strip in (False, True):
+            chars = sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(0))
+            df = exported(ix, name, None, strip).groupBy("codebase_id").agg(F.count("*").alias("rows"), F.sum(chars).cast("long").alias("source_chars"))
+            parts.append(df.select(F.lit(name).alias("table_name"), F.lit(strip).alias("stripped"), "codebase_id", "rows", "source_chars"))
+    return reduce(DataFrame.unionByName, parts)

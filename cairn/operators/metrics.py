@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,53 @@ def parse_health(ix: Index) -> DataFrame:
     )
 
 
+def zero_symbol_files(ix: Index) -> DataFrame:
+    """Files of each codebase, and those in which no symbol was found."""
+    files = ix.current("source_files", "symbol_count")
+    return files.groupBy("codebase_id").agg(F.count("*").alias("files"), F.count_if(F.coalesce("symbol_count", F.lit(0)) == 0).alias("zero_symbols"))
+
+
+def index_throughput(ix: Index) -> DataFrame:
+    """Files and chunks per second over all runs of each codebase, 0 where no time is known."""
+    runs = ix.once("metric_index_runs", "codebase_id", "files_indexed", "chunks_indexed", "duration_ms")
+    by = runs.groupBy("codebase_id").agg(F.sum("files_indexed").alias("f"), F.sum("chunks_indexed").alias("c"), F.sum("duration_ms").alias("ms"))
+    rate = lambda n: F.when(F.col("ms") > 0, F.round(F.coalesce(n, F.lit(0)) * 1000 / F.col("ms"), 6)).otherwise(0.0)
+    return by.select("codebase_id", rate("f").alias("files_per_second"), rate("c").alias("chunks_per_second"))
+
+
+def server_stats(ix: Index) -> DataFrame:
+    """The server's figures as (section, name, value) rows: requests, tools, errors, parsing, runs, graph, codebases."""
+    tools = tool_stats(ix).join(tool_stats_window(ix).select("tool", F.col("p95_ms").alias("p95")), "tool")
+    parse = ix.current("indexed_files", "index_status", "status_reason").agg(
+        F.count("*").alias("total_files"), F.count_if(F.col("index_status") == "complete").alias("complete"), F.count_if(F.col("index_status").isin("text_fallback", "partial")).alias("degraded")
+    )
+    runs = ix.once("metric_index_runs", "files_indexed", "chunks_indexed", "duration_ms").agg(
+        F.count("*").alias("run_count"), F.sum("files_indexed").alias("files_indexed"), F.sum("chunks_indexed").alias("chunks_indexed"), F.coalesce(F.floor(F.sum("duration_ms") / F.count("*")), F.lit(0)).alias("avg_duration_ms")
+    )
+    symbols = ix.once("symbols").agg(F.count("*").alias("total_symbols"))
+    edges = ix.once("edges").agg(F.count("*").alias("total_edges"))
+    codebases = ix.codebases.agg(F.count("*").alias("active_codebases"))
+    requests = tools.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("total_requests"))
+
+    def long(section: str, df: DataFrame, names: list[str], of: str = "") -> DataFrame:
+        """One row per figure; those of a tool are named tool.figure."""
+        name = lambda n: F.concat_ws(".", F.col(of), F.lit(n)) if of else F.lit(n)
+        rows = F.array(*(F.struct(name(n).alias("name"), F.col(n).cast("long").alias("value")) for n in names))
+        return df.select(F.lit(section).alias("section"), F.explode(rows).alias("r")).select("section", "r.name", "r.value")
+
+    parts = [
+        long("tools", tools, ["calls", "avg_ms", "p95", "errors"], "tool"),
+        long("parse", parse, ["total_files", "complete", "degraded"]),
+        long("index", runs, ["run_count", "files_indexed", "chunks_indexed", "avg_duration_ms"]),
+        long("graph", symbols, ["total_symbols"]),
+        long("graph", edges, ["total_edges"]),
+        long("server", codebases, ["active_codebases"]),
+        long("server", requests, ["total_requests"]),
+        long("server", recent_errors(ix), ["errors_last_minute"]),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def graph_density(ix: Index) -> DataFrame:
     """Edges per symbol of each codebase, 0 without symbols."""
     e = ix.once("edges", "codebase_id").groupBy("codebase_id").agg(F.count("*").alias("edges"))

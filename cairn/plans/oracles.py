@@ -6,6 +6,7 @@ from cairn.functions.text import ACCENTED, PLAIN
 from cairn.operators import ingest
 
 #: Registered searches, one per feature of the query grammar.
+SENTENCE = "when would the journal and ledger"
 SEARCHES = {
     "single": "ledger",
     "and": "merge bucket",
@@ -129,16 +130,24 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT id, codebase_id, name, qualified_name, {near}::INTEGER AS distance FROM {_once('symbols')} WHERE (length(name) BETWEEN 7 AND 11 OR length(qualified_name) BETWEEN 7 AND 11) AND {near} <= 2", "codebase_id", "distance, id", 20
         ),
         "find_symbol_workspace": _top(
-            f"SELECT m.codebase_id, s.id, s.name, m.workspace, m.name AS codebase_name, CASE WHEN s.name = 'merge' THEN 0 ELSE 2 END::INTEGER AS rank FROM (SELECT * FROM {_once('symbols')} WHERE {like('merge')}) s JOIN {_MEMBERS} m ON s.codebase_id = m.codebase_id",
+            f"SELECT m.codebase_id, s.id, s.name, s.qualified_name, m.workspace, m.name AS codebase_name, CASE WHEN s.name = 'merge' THEN 0 WHEN s.qualified_name = 'merge' THEN 1 ELSE 2 END::INTEGER AS rank FROM (SELECT * FROM {_once('symbols')} WHERE {like('merge')}) s JOIN {_MEMBERS} m ON s.codebase_id = m.codebase_id",
             "workspace",
             "rank, name, id",
             50,
         ),
+        "find_symbol_fuzzy_workspace": _top(
+            f"SELECT s.id, s.codebase_id, s.name, s.qualified_name, {near.replace('(name)', '(s.name)').replace('(qualified_name)', '(s.qualified_name)')}::INTEGER AS distance, m.workspace, m.name AS codebase_name FROM {_once('symbols')} s JOIN {_MEMBERS} m ON s.codebase_id = m.codebase_id WHERE (length(s.name) BETWEEN 7 AND 11 OR length(s.qualified_name) BETWEEN 7 AND 11) AND distance <= 2",
+            "workspace",
+            "distance, id",
+            20,
+        ),
+        "find_symbol_or_fuzzy": f"""WITH e AS ({_top(f"{found.format(q='parseRecrd')} WHERE {like('parserecrd')}", "codebase_id", "rank, name, id", 50)}), f AS ({_top(f"SELECT id, codebase_id, name, qualified_name, {near}::INTEGER AS distance FROM {_once('symbols')} WHERE (length(name) BETWEEN 7 AND 11 OR length(qualified_name) BETWEEN 7 AND 11) AND {near} <= 2", "codebase_id", "distance, id", 20)})
+            SELECT id, codebase_id, name, qualified_name, position, false AS fuzzy FROM e UNION ALL SELECT id, codebase_id, name, qualified_name, position, true FROM f WHERE codebase_id NOT IN (SELECT codebase_id FROM e)""",
         "file_stats": f"SELECT codebase_id, count(*) AS files, coalesce(sum(loc), 0)::BIGINT AS loc FROM {_current('source_files')} GROUP BY codebase_id",
         "language_breakdown": f"SELECT codebase_id, {_LANGUAGE} AS language, count(*) AS files FROM {_current('source_files')} GROUP BY ALL",
         "package_list": f"SELECT DISTINCT codebase_id, package_name FROM {_current('source_files')} WHERE package_name <> ''",
         "index_status": f"SELECT c.id AS codebase_id, count(k.id) AS chunks, coalesce(max(k.indexed_at), 0) AS last_indexed_at, count(k.id) > 0 AS indexed FROM codebases c LEFT JOIN {_once('chunks')} k ON k.codebase_id = c.id GROUP BY c.id",
-        "package_outline": f"""SELECT f.codebase_id, package_name, f.file_path, loc, coalesce(n, 0)::INTEGER AS symbols, coalesce(o, '') AS outline FROM {_current('source_files')} f
+        "package_outline": f"""SELECT f.codebase_id, package_name, f.file_path, loc, coalesce(sum(loc) OVER (PARTITION BY f.codebase_id), 0)::BIGINT AS total_loc, coalesce(n, 0)::INTEGER AS symbols, coalesce(o, '') AS outline FROM {_current('source_files')} f
             LEFT JOIN (SELECT codebase_id, file_path, count(*) AS n, string_agg(concat_ws(' ', kind, name), ', ' ORDER BY start_line, id) AS o FROM {_once('symbols')} GROUP BY ALL) s ON f.codebase_id = s.codebase_id AND f.file_path = s.file_path""",
         "project_overview": f"""SELECT coalesce(f.codebase_id, s.codebase_id) AS codebase_id, coalesce(files, 0) AS files, coalesce(loc, 0) AS loc, coalesce(packages, 0) AS packages, coalesce(symbols, 0) AS symbols, coalesce(exported_functions, 0) AS exported_functions
             FROM (SELECT codebase_id, count(*) AS files, coalesce(sum(loc), 0)::BIGINT AS loc, count(DISTINCT nullif(package_name, '')) AS packages FROM {_current('source_files')} GROUP BY codebase_id) f
@@ -154,14 +163,41 @@ def oracle_sql() -> dict[str, str]:
         "unresolved_imports": f"""SELECT id AS edge_id, codebase_id, from_ref, to_ref, line FROM {_once("edges", "edge_kind = 'imports' AND resolved = 0")}""",
         "callers_workspace": f"""SELECT workspace, target, count(*) AS calls, count(DISTINCT c.codebase_id) AS codebases FROM {_callers("edge_kind = 'calls'")} c JOIN {_MEMBERS} m ON c.codebase_id = m.codebase_id GROUP BY ALL""",
         "blast_radius": f"""WITH s AS (SELECT DISTINCT codebase_id, qualified_name AS target, file_path FROM symbols WHERE qualified_name <> ''),
-            a AS (SELECT codebase_id, target, count(*) AS n, min(from_ref) AS f FROM {_callers("edge_kind = 'calls'")} GROUP BY ALL),
-            b AS (SELECT codebase_id, from_ref AS target, count(*) AS n, min(to_ref) AS f FROM {_once("edges", "edge_kind = 'calls'")} GROUP BY ALL),
-            d AS (SELECT codebase_id, to_ref AS file_path, count(*) AS n, min(from_ref) AS f FROM {_once("edges", "edge_kind = 'imports'")} GROUP BY ALL)
+            a AS (SELECT codebase_id, target, count(*) AS n, arg_min(from_ref, id) AS f FROM {_callers("edge_kind = 'calls'")} GROUP BY ALL),
+            b AS (SELECT codebase_id, from_ref AS target, count(*) AS n, arg_min(to_ref, id) AS f FROM {_once("edges", "edge_kind = 'calls'")} GROUP BY ALL),
+            d AS (SELECT codebase_id, to_ref AS file_path, count(*) AS n, arg_min(from_ref, id) AS f FROM {_once("edges", "edge_kind = 'imports'")} GROUP BY ALL)
             SELECT s.codebase_id, s.file_path, s.target, coalesce(a.n, 0) AS callers, a.f AS first_callers, coalesce(b.n, 0) AS callees, b.f AS first_callees,
                 CASE WHEN k.file_path IS NULL THEN 0 ELSE coalesce(d.n, 0) END AS dependents, CASE WHEN k.file_path IS NOT NULL THEN d.f END AS first_dependents
             FROM s LEFT JOIN a ON s.codebase_id = a.codebase_id AND s.target = a.target LEFT JOIN b ON s.codebase_id = b.codebase_id AND s.target = b.target
             LEFT JOIN d ON s.codebase_id = d.codebase_id AND s.file_path = d.file_path LEFT JOIN (SELECT DISTINCT codebase_id, file_path FROM source_files) k ON s.codebase_id = k.codebase_id AND s.file_path = k.file_path""",
-        "cross_links": _top(f"SELECT id, codebase_id, from_ref, to_ref, target_codebase_id FROM {_once('edges', 'target_codebase_id IS NOT NULL AND target_codebase_id <> codebase_id')}", "codebase_id, from_ref", "id", 10),
+        "cross_links": f"""WITH o AS ({_top(f"SELECT * FROM {_once('edges', 'target_codebase_id IS NOT NULL AND target_codebase_id <> codebase_id')}", "codebase_id, from_ref", "id", 10)}),
+            c AS ({_top(f"SELECT * FROM {_once('edges', "edge_kind = 'calls'")}", "codebase_id, to_ref", "id", 5)}),
+            p AS (SELECT DISTINCT a.codebase_id, b.codebase_id AS other FROM {_MEMBERS} a JOIN {_MEMBERS} b ON a.workspace = b.workspace AND a.codebase_id <> b.codebase_id),
+            k AS (SELECT DISTINCT codebase_id, name FROM symbols)
+            SELECT codebase_id, from_ref AS name, 'out' AS direction, id AS edge_id, target_codebase_id AS other_codebase_id, to_ref AS other_ref, edge_kind FROM o
+            UNION ALL SELECT p.codebase_id, c.to_ref, 'in', c.id, c.codebase_id, c.from_ref, c.edge_kind FROM c JOIN p ON c.codebase_id = p.other JOIN k ON k.codebase_id = p.codebase_id AND k.name = c.to_ref""",
+        "blast_entries": f"""WITH s AS (SELECT DISTINCT codebase_id, qualified_name AS target, file_path FROM symbols WHERE qualified_name <> '')
+            SELECT s.codebase_id, s.target, s.file_path, 'callers' AS role, c.id AS edge_id, c.from_ref AS ref FROM s JOIN {_callers("edge_kind = 'calls'")} c ON s.codebase_id = c.codebase_id AND s.target = c.target
+            UNION ALL SELECT s.codebase_id, s.target, s.file_path, 'callees', e.id, e.to_ref FROM s JOIN {_once("edges", "edge_kind = 'calls'")} e ON s.codebase_id = e.codebase_id AND s.target = e.from_ref
+            UNION ALL SELECT s.codebase_id, s.target, s.file_path, 'dependents', e.id, e.from_ref FROM s JOIN {_once("edges", "edge_kind = 'imports'")} e ON s.codebase_id = e.codebase_id AND s.file_path = e.to_ref
+                SEMI JOIN source_files f ON s.codebase_id = f.codebase_id AND s.file_path = f.file_path""",
+        "usages_workspace": f"SELECT workspace, target, edge_kind, count(*) AS usages, count(DISTINCT c.codebase_id) AS codebases FROM {_callers('true')} c JOIN {_MEMBERS} m ON c.codebase_id = m.codebase_id GROUP BY ALL",
+        "languages": f"""SELECT codebase_id, language, count(*) AS files, sum(n)::BIGINT AS lines FROM (SELECT codebase_id, file_path, sum(len(string_split(snippet, chr(10))))::BIGINT AS n,
+            CASE regexp_extract(lower(file_path), '(\\.[^./]*)$', 1) {" ".join(f"WHEN '{e}' THEN '{n}'" for e, n in ingest.LANGUAGES.items())} ELSE 'text' END AS language FROM {_once("chunks")} GROUP BY codebase_id, file_path) GROUP BY ALL""",
+        "run_counters": f"""SELECT codebase_id, count(*) AS total_files, count(*) FILTER (state IN ('changed', 'added')) AS files_indexed, count(*) FILTER (state = 'unchanged') AS files_skipped, count(*) FILTER (state = 'changed') AS files_changed,
+            count(*) FILTER (state = 'added') AS files_added, count(*) FILTER (state = 'removed') AS files_removed FROM {_DELTA} GROUP BY codebase_id""",
+        "zero_symbol_files": f"SELECT codebase_id, count(*) AS files, count(*) FILTER (coalesce(symbol_count, 0) = 0) AS zero_symbols FROM {_current('source_files')} GROUP BY codebase_id",
+        "index_throughput": f"SELECT codebase_id, CASE WHEN sum(duration_ms) > 0 THEN round(coalesce(sum(files_indexed), 0) * 1000 / sum(duration_ms), 6) ELSE 0.0 END AS files_per_second, CASE WHEN sum(duration_ms) > 0 THEN round(coalesce(sum(chunks_indexed), 0) * 1000 / sum(duration_ms), 6) ELSE 0.0 END AS chunks_per_second FROM {_once('metric_index_runs')} GROUP BY codebase_id",
+        "search_memory": f"SELECT id, codebase_id, file_path, name FROM {_once('chunks')} WHERE contains(lower(snippet), 'ctx context.context') OR contains(lower(name), 'ctx context.context') ORDER BY id LIMIT 20",
+        "codebase_context": f"""WITH d AS (SELECT * FROM (SELECT codebase_id, file_path, d.type AS doc_type, d.priority::INTEGER AS priority, row_number() OVER (PARTITION BY codebase_id, d.type ORDER BY file_path) AS k
+                FROM (SELECT codebase_id, file_path, {_document_type()} AS d FROM (SELECT DISTINCT codebase_id, file_path FROM documents WHERE file_path IS NOT NULL)) WHERE d IS NOT NULL) WHERE doc_type <> 'general' OR k <= 5),
+            o AS (SELECT d.* FROM d LEFT JOIN {_POLICIES} p ON d.codebase_id = p.codebase_id WHERE NOT coalesce(p.closed_source, false) OR doc_type IN ('readme', 'contributing', 'agent-instructions')),
+            t AS (SELECT codebase_id, file_path, regexp_replace(coalesce(arg_min(text, doc_id) , ''), '^\\s+|\\s+$', '', 'g') AS text FROM documents GROUP BY ALL),
+            v AS (SELECT c.id AS codebase_id, (SELECT count(*) FROM {_current("source_files")} f WHERE f.codebase_id = c.id) AS files, (SELECT coalesce(sum(loc), 0)::BIGINT FROM {_current("source_files")} f WHERE f.codebase_id = c.id) AS loc,
+                (SELECT count(DISTINCT s.id) FROM symbols s WHERE s.codebase_id = c.id) AS symbols FROM codebases c WHERE c.id NOT IN (SELECT codebase_id FROM o))
+            SELECT o.codebase_id, o.file_path, doc_type, priority, CASE WHEN length(text) <= 4000 THEN text ELSE regexp_replace(left(text, 4000 - length(m)), '\\s+$', '') || m END AS content, false AS fallback
+            FROM o JOIN (SELECT *, CASE WHEN contains(text, chr(10)) THEN chr(10) ELSE ' ' END || '... (truncated)' AS m FROM t) t ON o.codebase_id = t.codebase_id AND o.file_path = t.file_path
+            UNION ALL SELECT codebase_id, NULL, NULL, NULL, files || ' files, ' || loc || ' lines, ' || symbols || ' symbols', true FROM v""",
         "cross_repo_resolution": f"""WITH o AS (SELECT e.id AS edge_id, e.codebase_id, e.to_ref, m.workspace FROM {_once("edges", "edge_kind = 'imports' AND resolved = 0")} e JOIN {_MEMBERS} m ON e.codebase_id = m.codebase_id),
             n AS (SELECT s.*, m.workspace FROM (SELECT id, codebase_id, name, name AS ref, 0 AS rank FROM {_once("symbols")} UNION ALL SELECT id, codebase_id, name, qualified_name, 1 FROM {_once("symbols")} WHERE qualified_name <> name) s JOIN {_MEMBERS} m ON s.codebase_id = m.codebase_id),
             r AS (SELECT o.edge_id, o.codebase_id, o.to_ref, o.workspace, n.codebase_id AS sibling, n.id AS symbol_id, row_number() OVER (PARTITION BY edge_id, o.workspace ORDER BY rank, n.name, n.id) AS k FROM o JOIN n ON o.workspace = n.workspace AND o.to_ref = n.ref AND n.codebase_id <> o.codebase_id)
@@ -176,7 +212,11 @@ def oracle_sql() -> dict[str, str]:
         "redacted_symbols": f"""SELECT id, s.codebase_id, name, coalesce(closed_source OR source_stripped, false) AS redacted, CASE WHEN closed_source OR source_stripped THEN '' ELSE coalesce(signature, '') END AS signature,
             CASE WHEN closed_source OR source_stripped THEN '' ELSE coalesce(doc_comment, '') END AS doc_comment, CASE WHEN closed_source OR source_stripped THEN '' ELSE coalesce(body_snippet, '') END AS body_snippet
             FROM {_once('symbols')} s LEFT JOIN {_POLICIES} p ON s.codebase_id = p.codebase_id""",
-        "stripped_export_sizes": " UNION ALL ".join(f"SELECT '{t}' AS table_name, codebase_id, count(*) AS rows, 0::BIGINT AS source_chars FROM {_once(t)} GROUP BY codebase_id" for t in ("chunks", "symbols")),
+        "stripped_export_sizes": " UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, {strip} AS stripped, codebase_id, count(*) AS rows, {chars if strip == 'false' else '0'}::BIGINT AS source_chars FROM {_once(t)} GROUP BY codebase_id"
+            for t, chars in (("chunks", "sum(coalesce(length(signature), 0) + coalesce(length(snippet), 0))"), ("symbols", "sum(coalesce(length(signature), 0) + coalesce(length(doc_comment), 0) + coalesce(length(body_snippet), 0))"))
+            for strip in ("false", "true")
+        ),
         "tool_stats": f"""SELECT tool, count(*) AS calls, floor(sum(duration_ms) / count(*))::BIGINT AS avg_ms, count(*) FILTER (is_error) AS errors, max(duration_ms) FILTER (r = greatest(floor(n * 95 / 100), 1)) AS p95_ms
             FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY duration_ms) AS r, count(*) OVER (PARTITION BY tool) AS n FROM {_CALLS}) GROUP BY tool""",
         "tool_stats_window": f"""SELECT tool, n AS calls, duration_ms AS p95_ms FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY duration_ms, id) AS r, count(*) OVER (PARTITION BY tool) AS n
@@ -212,30 +252,77 @@ def oracle_sql() -> dict[str, str]:
     searches = _search_sql()
     states = f"(SELECT * FROM {_current('indexed_files')} WHERE index_status <> 'complete')"
     sql["degraded_hits"] = f"SELECT h.id, h.codebase_id, h.file_path, index_status || ': ' || coalesce(status_reason, '') AS reason FROM ({searches['search_single']}) h JOIN {states} f ON h.codebase_id = f.codebase_id AND h.file_path = f.file_path"
-    sql["locate_issue"] = _located(searches["search_and"])
+    sql["search_annotated"] = f"SELECT h.id, h.codebase_id, h.file_path, f.id IS NOT NULL AS degraded, index_status || ': ' || coalesce(status_reason, '') AS reason FROM ({searches['search_single']}) h LEFT JOIN {states} f ON h.codebase_id = f.codebase_id AND h.file_path = f.file_path"
+    candidates = _candidates(searches["search_and"], ["merge", "bucket"])
+    sql["locate_issue"], sql["issue_impact"] = _located(candidates), f"WITH t AS ({candidates}), {_IMPACT} SELECT codebase_id, file_path, name, role, edge_id, ref FROM i"
+    # "the", "and" are no terms, "when", "would" are; as a query, all words must occur
+    words = ["when", "would", "the", "journal", "and", "ledger"]
+    hits = _bm25([f"@[i] = '{w}'" for w in words], " AND ".join(f"f{i} > 0" for i in range(len(words))))
+    sql["locate_sentence"] = _located(_candidates(hits, ["when", "would", "journal", "ledger"]))
+    sql["search_compacted"] = _compacted(searches["search_and"])
+    tools, window, runs = sql["tool_stats"], sql["tool_stats_window"], _once("metric_index_runs")
+    sql["server_stats"] = f"""WITH t AS (SELECT a.*, w.p95_ms AS p95 FROM ({tools}) a JOIN ({window}) w ON a.tool = w.tool), r AS (SELECT * FROM {runs}), p AS (SELECT * FROM {_current("indexed_files")})
+        SELECT 'tools' AS section, tool || '.calls' AS name, calls AS value FROM t UNION ALL SELECT 'tools', tool || '.avg_ms', avg_ms FROM t UNION ALL SELECT 'tools', tool || '.p95', p95 FROM t UNION ALL SELECT 'tools', tool || '.errors', errors FROM t
+        UNION ALL SELECT 'parse', 'total_files', count(*) FROM p UNION ALL SELECT 'parse', 'complete', count(*) FILTER (index_status = 'complete') FROM p UNION ALL SELECT 'parse', 'degraded', count(*) FILTER (index_status IN ('text_fallback', 'partial')) FROM p
+        UNION ALL SELECT 'index', 'run_count', count(*) FROM r UNION ALL SELECT 'index', 'files_indexed', sum(files_indexed)::BIGINT FROM r UNION ALL SELECT 'index', 'chunks_indexed', sum(chunks_indexed)::BIGINT FROM r
+        UNION ALL SELECT 'index', 'avg_duration_ms', coalesce(sum(duration_ms) // count(*), 0)::BIGINT FROM r UNION ALL SELECT 'graph', 'total_symbols', count(DISTINCT id) FROM symbols UNION ALL SELECT 'graph', 'total_edges', count(DISTINCT id) FROM edges
+        UNION ALL SELECT 'server', 'active_codebases', count(*) FROM codebases UNION ALL SELECT 'server', 'total_requests', coalesce(sum(calls), 0)::BIGINT FROM t UNION ALL SELECT 'server', 'errors_last_minute', errors_last_minute FROM ({sql["recent_errors"]})"""
     sql["p6_found"] = cells_sql()
     return sql | searches
 
 
-def _located(hits: str) -> str:
-    """locate_issue over the matches of its default query, terms merge and bucket."""
-    path = "lower(file_path)"
-    bonus = f"""CASE WHEN lower(kind) IN ('func', 'method', 'function') THEN 0.15 WHEN lower(kind) IN ('type', 'interface') THEN 0.06 WHEN lower(kind) IN ('const', 'var', 'field', 'package') THEN -0.15 ELSE 0 END
-        + CASE WHEN regexp_matches({path}, '[._]sql\\.go$') THEN -0.2 WHEN contains({path}, '/db/') THEN -0.08 ELSE 0 END
+def _compacted(hits: str) -> str:
+    """The first twenty matches with their snippet cut to 240 characters."""
+    mark = "CASE WHEN contains(t, chr(10)) THEN chr(10) ELSE ' ' END || '... (truncated)'"
+    return f"""SELECT id, codebase_id, file_path, name, kind, start_line, end_line, CASE WHEN length(t) <= 240 THEN t ELSE regexp_replace(left(t, 240 - length({mark})), '\\s+$', '') || {mark} END AS snippet, bm25_score
+        FROM (SELECT h.id, h.codebase_id, h.file_path, k.name, k.kind, k.start_line, k.end_line, regexp_replace(k.snippet, '^\\s+|\\s+$', '', 'g') AS t, h.bm25_score FROM ({hits}) h JOIN {_once("chunks")} k ON h.id = k.id ORDER BY h.bm25_score, h.id LIMIT 20)"""
+
+
+# Written out by hand: what counts as no implementation.
+_NO_CODE = "['.md', '.markdown', '.yaml', '.yml', '.json', '.css', '.html', '.xml', '.txt']"
+_NO_CODE_DIRS = "(^|/)(okf|docs|doc|\\.kiro|kiro|spec|specs)(/|$)"
+
+
+def _candidates(hits: str, terms: list[str]) -> str:
+    """The likeliest places of an issue over the matches of its query."""
+    path, name = "lower(file_path)", "lower(concat_ws(' ', name, file_path))"
+    bonus = f"""CASE WHEN lower(kind) IN ('func', 'method') THEN 0.15 WHEN lower(kind) IN ('type', 'interface') THEN 0.06 WHEN lower(kind) IN ('const', 'var', 'field', 'package') THEN -0.15 ELSE 0 END
+        + CASE WHEN contains({path}, '.sql.go') OR contains({path}, '_sql.go') THEN -0.2 WHEN contains({path}, '/db/') THEN -0.08 ELSE 0 END
         + CASE WHEN regexp_matches({path}, '/llm/|/handler|/router|/api/|/server/') THEN 0.08 WHEN regexp_matches({path}, '/internal/|/cmd/') THEN 0.03 ELSE 0 END"""
-    met = "(CASE WHEN contains(lower(concat_ws(' ', name, file_path)), 'merge') THEN 1 ELSE 0 END + CASE WHEN contains(lower(concat_ws(' ', name, file_path)), 'bucket') THEN 1 ELSE 0 END)"
+    met = "(" + " + ".join(f"CASE WHEN contains({name}, '{t}') THEN 1 ELSE 0 END" for t in terms) + ")"
     hits = hits.replace("round(-(", "(-(").replace("), 6) AS bm25_score", ")) AS bm25")
-    return f"""WITH c AS (SELECT h.id, h.codebase_id, h.file_path, bm25, k.kind, k.name, k.start_line, k.end_line FROM ({hits}) h JOIN {_once("chunks")} k ON h.id = k.id),
+    return f"""SELECT codebase_id, file_path, name, kind, start_line, end_line, confidence FROM (WITH c AS (SELECT h.id, h.codebase_id, h.file_path, bm25, k.kind, k.name, k.start_line, k.end_line FROM ({hits}) h JOIN {_once("chunks")} k ON h.id = k.id),
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY codebase_id ORDER BY bm25, id) AS r FROM c) WHERE r <= 50),
         f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY codebase_id, file_path, name ORDER BY bm25, id) AS q FROM b
             WHERE NOT regexp_matches(file_path, '(_test\\.go|\\.test\\.ts|\\.test\\.js|\\.spec\\.ts|\\.spec\\.js)$|(^|/)__tests__(/|$)')
-            AND NOT regexp_matches(lower(file_path), '(^|/)(okf|docs|doc|\\.kiro|kiro|spec|specs)(/|$)')
-            AND NOT list_contains(['.md', '.markdown', '.txt', '.rst', '.json', '.yaml', '.yml', '.toml', '.xml'], regexp_extract(lower(file_path), '(\\.[^./]*)$', 1)) AND coalesce(lower(kind), '') <> 'import') WHERE q = 1),
+            AND NOT regexp_matches(lower(file_path), '{_NO_CODE_DIRS}')
+            AND NOT list_contains({_NO_CODE}, regexp_extract(lower(file_path), '(\\.[^./]*)$', 1)) AND coalesce(lower(kind), '') <> 'import') WHERE q = 1),
         m AS (SELECT max(abs(bm25)) AS most FROM b),
-        s AS (SELECT f.*, round(greatest(least(CASE WHEN most > 0 THEN -bm25 / most ELSE 0 END + {bonus} + 0.08 * {met} / 2, 1), 0), 6)::DOUBLE AS confidence FROM f, m),
-        t AS (SELECT * FROM s WHERE confidence >= 0.1 ORDER BY confidence DESC, codebase_id, file_path, name LIMIT 10)
-        SELECT t.codebase_id, t.file_path, t.name, t.kind, t.start_line, t.end_line, confidence, coalesce(n, 0) AS callers
-        FROM t LEFT JOIN (SELECT codebase_id, to_ref, count(*) AS n FROM {_once("edges", "edge_kind = 'calls'")} GROUP BY ALL) e ON t.codebase_id = e.codebase_id AND t.name = e.to_ref"""
+        g AS (SELECT f.*, greatest(least(greatest(least(CASE WHEN most > 0 THEN -bm25 / most ELSE 0 END, 1), 0) + {bonus}, 1), 0) AS raised FROM f, m),
+        s AS (SELECT g.*, round(greatest(least(raised + 0.08 * {met} / {len(terms)}, 1), 0), 6)::DOUBLE AS confidence FROM g)
+        SELECT * FROM s WHERE confidence >= 0.1 ORDER BY confidence DESC, codebase_id, file_path, name LIMIT 10)"""
+
+
+#: Edges around the places t: relation i.
+_IMPACT = f"""c AS (SELECT * FROM {_once("edges", "edge_kind = 'calls'")}),
+    o AS (SELECT * FROM (SELECT t.codebase_id, t.file_path, t.name, e.id, e.to_ref, row_number() OVER (PARTITION BY t.codebase_id, t.file_path, t.name ORDER BY e.id) AS k FROM t JOIN {_once("edges")} e ON e.codebase_id = t.codebase_id AND e.from_ref = t.name AND e.target_codebase_id IS NOT NULL) WHERE k <= 10),
+    p AS (SELECT DISTINCT a.codebase_id, b.codebase_id AS other FROM {_MEMBERS} a JOIN {_MEMBERS} b ON a.workspace = b.workspace AND a.codebase_id <> b.codebase_id),
+    n AS (SELECT * FROM (SELECT t.codebase_id, t.file_path, t.name, c.id, c.from_ref, row_number() OVER (PARTITION BY t.codebase_id, t.file_path, t.name, p.other ORDER BY c.id) AS k FROM t JOIN p ON t.codebase_id = p.codebase_id JOIN c ON c.codebase_id = p.other AND c.to_ref = t.name) WHERE k <= 5),
+    i AS (SELECT t.codebase_id, t.file_path, t.name, 'callers' AS role, c.id AS edge_id, c.from_ref AS ref FROM t JOIN c ON c.codebase_id = t.codebase_id AND (c.to_ref = t.name OR ends_with({_LOW.format("c.to_ref")}, '.' || {_LOW.format("t.name")}))
+        UNION ALL SELECT t.codebase_id, t.file_path, t.name, 'callees', c.id, c.to_ref FROM t JOIN c ON c.codebase_id = t.codebase_id AND c.from_ref = t.name
+        UNION ALL SELECT t.codebase_id, t.file_path, t.name, 'dependents', e.id, e.from_ref FROM t JOIN {_once("edges", "edge_kind = 'imports'")} e ON e.codebase_id = t.codebase_id AND e.to_ref = t.file_path
+        UNION ALL SELECT codebase_id, file_path, name, 'outbound', id, to_ref FROM o UNION ALL SELECT codebase_id, file_path, name, 'inbound', id, from_ref FROM n)"""
+
+
+def _located(candidates: str) -> str:
+    """The places with what surrounds them, counted."""
+    counts = ", ".join(f"coalesce(count(*) FILTER (role = '{role}'), 0) AS {role}" for role in ("callers", "callees", "dependents", "outbound", "inbound"))
+    return f"""WITH t AS ({candidates}), {_IMPACT},
+        k AS (SELECT * FROM (SELECT c.id, c.codebase_id, c.file_path, c.name, c.start_line, c.end_line, row_number() OVER (PARTITION BY codebase_id, file_path, name ORDER BY start_line, id) AS r FROM {_once("chunks")} c SEMI JOIN t ON c.codebase_id = t.codebase_id AND c.file_path = t.file_path AND c.name = t.name) WHERE r <= 5),
+        l AS (SELECT codebase_id, file_path, name, string_agg(start_line || '-' || end_line, ',' ORDER BY r) AS chunks FROM k GROUP BY ALL),
+        q AS (SELECT codebase_id, file_path, name, {counts} FROM i GROUP BY ALL)
+        SELECT t.*, chunks, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees, coalesce(dependents, 0) AS dependents, coalesce(outbound, 0) AS outbound, coalesce(inbound, 0) AS inbound
+        FROM t LEFT JOIN l ON t.codebase_id = l.codebase_id AND t.file_path = l.file_path AND t.name = l.name LEFT JOIN q ON t.codebase_id = q.codebase_id AND t.file_path = q.file_path AND t.name = q.name"""
 
 
 _ORPHANS = """SELECT DISTINCT source_table, row_id, reason, period FROM (

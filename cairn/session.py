@@ -26,19 +26,25 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the session's `spark.checkpoint.dir`, or, under a local master where that
+    is unset (tests), a temporary folder of this machine."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it back (reliable checkpoint, never a local one).
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests) a temporary
-    folder of this machine is taken, and only under a local master.
+    The folder is that of `shared_folder`.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

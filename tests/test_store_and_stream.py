@@ -1,7 +1,10 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import ingest, manifest, metrics
+from cairn.operators import graph, ingest, manifest, metrics
+from cairn.operators.store import Store, feed
 from cairn.sources.index import Index
 from cairn.streaming import debounce
 
@@ -25,13 +28,83 @@ def test_edges_of_removed_files(spark):
 def test_artifact_round_trip(spark, data, tmp_path):
     ix, out = Index(spark, data), str(tmp_path / "artifact")
     manifest.export_artifact(ix, 1, out, strip=True)
-    back = Index(spark, out)
-    chunks = manifest.imported(back, "chunks", 99)
-    assert chunks.count() == ix.raw("chunks").filter("codebase_id = 1").dropDuplicates(["id"]).count() > 0
-    assert chunks.filter("codebase_id <> 99 or snippet <> '' or signature <> ''").count() == 0
+    here = Store(spark, str(tmp_path / "here"))
+    assert here.register("/elsewhere", "other", 5) == 1
+    with pytest.raises(ValueError):
+        here.register("/elsewhere", "again", 6)
+    local = here.load_artifact(out)
+    assert local == 2 and here.codebase(2)["root_path"] == ix.codebases.filter("id = 1").first().root_path
+    chunks = here.read("chunks")
+    n = ix.raw("chunks").filter("codebase_id = 1").dropDuplicates(["id"]).count()
+    assert chunks.count() == n > 0
+    assert chunks.filter("codebase_id <> 2 or snippet <> '' or signature <> ''").count() == 0
+    assert here.load_artifact(out, name="renamed") == 2 and here.read("chunks").count() == n  # in the place of what was there
+    assert here.codebase(2)["name"] == "renamed" and here.read("codebases").count() == 2
+    meta = spark.createDataFrame([("schema_version", "1"), ("closed_source", "true"), ("made_by", "x")], "key string, value string")
+    meta.write.mode("overwrite").parquet(f"{out}/meta.parquet")
+    shutil.rmtree(f"{out}/codebase_meta.parquet")  # as an old artifact is
+    here.load_artifact(out)
+    assert here.read("codebase_meta").filter("key = 'closed_source' and value = 'true' and codebase_id = 2").count() == 1
+    assert {r.key for r in here.read("meta").collect()} == {"source_stripped", "made_by"} - {"source_stripped"}
     spark.createDataFrame([("schema_version", "7")], "key string, value string").write.mode("overwrite").parquet(f"{out}/meta.parquet")
     with pytest.raises(ValueError):
-        manifest.imported(back, "chunks", 99)
+        here.load_artifact(out)
+
+
+FILES = "codebase_id long, file_path string, text string"
+
+
+def test_incremental_runs(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    first = spark.createDataFrame([(1, "a.go", "package a\n" * 60), (1, "r.md", "# t\nx\n# u\ny"), (2, "b.txt", "one\n\ntwo"), (2, None, "x"), (3, "only.go", "x")], FILES)
+    got = {r.codebase_id: r for r in store.index(first, 10).collect()}
+    assert got[1].files_added == 2 and got[2].total_files == 1
+    keys = lambda: sorted(r.chunk_key for r in store.read("chunks").collect())
+    assert keys() == ["a.go:0:1-50", "a.go:1:51-61", "b.txt:0:1-3", "only.go:0:1-1", "r.md:0:1-2", "r.md:1:3-4"]
+    second = spark.createDataFrame([(1, "a.go", "package a\n"), (1, "new.py", "x = 1"), (1, "r.md", "# t\nx\n# u\ny")], FILES)
+    got = store.index(second, 20).first()
+    assert (got.files_changed, got.files_added, got.files_removed, got.files_skipped) == (1, 1, 0, 1)
+    assert keys() == ["a.go:0:1-2", "b.txt:0:1-3", "new.py:0:1-1", "only.go:0:1-1", "r.md:0:1-2", "r.md:1:3-4"]
+    assert {(r.file_path, r.indexed_at) for r in store.read("indexed_files").filter("codebase_id = 1").collect()} == {("a.go", 20), ("new.py", 20), ("r.md", 10)}
+    assert store.index(second, 30).first().files_skipped == 3
+    assert store.index(second.filter("file_path = 'r.md'"), 40).first().files_removed == 2
+    store.delete("chunks", spark.createDataFrame([(3,)], "codebase_id long"), ["codebase_id"])
+    assert keys() == ["b.txt:0:1-3", "r.md:0:1-2", "r.md:1:3-4"]
+    assert store.rebuild(second, 50).first().files_added == 3 and len(keys()) == 5
+
+
+def test_incremental_analysis(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    symbols = lambda *rows: spark.createDataFrame(rows, "codebase_id long, file_path string, name string")
+    edges = lambda *rows: spark.createDataFrame(rows, "codebase_id long, from_ref string, to_ref string")
+    files = spark.createDataFrame([(1, "a.go", "x"), (1, "b.go", "y\nz")], FILES)
+    store.analyse(files, symbols((1, "a.go", "A"), (1, "b.go", "B")), edges((1, "a.go:1", "B"), (1, "b.go", "A")), 1)
+    changed = spark.createDataFrame([(1, "a.go", "x2"), (1, "b.go", "y\nz")], FILES)
+    store.analyse(changed, symbols((1, "a.go", "A2"), (1, "b.go", "ignored")), edges((1, "a.go:9", "C"), (1, "b.go", "ignored")), 2)
+    assert {(r.file_path, r.name) for r in store.read("symbols").collect()} == {("a.go", "A2"), ("b.go", "B")}
+    assert {(r.from_ref, r.to_ref) for r in store.read("edges").collect()} == {("a.go:9", "C"), ("b.go", "A")}
+    assert {(r.file_path, r["loc"], r.symbol_count, r.language) for r in store.read("source_files").collect()} == {("a.go", 1, 1, "go"), ("b.go", 2, 1, "go")}
+
+
+def test_stream_into_the_index(spark, tmp_path):
+    store, source = Store(spark, str(tmp_path / "s")), str(tmp_path / "events")
+    tree = spark.createDataFrame([(1, "a.go", "x"), (2, "b.go", "y")], FILES)
+    spark.createDataFrame([(1, "a.go", "write"), (1, "a.go", "write"), (None, "c", "write")], "codebase_id long, path string, op string").write.parquet(source)
+    events = spark.readStream.schema("codebase_id long, path string, op string").parquet(source)
+    feed(events, lambda ids: tree.join(ids, "codebase_id", "left_semi"), store, str(tmp_path / "c")).awaitTermination()
+    assert [r.file_path for r in store.read("indexed_files").collect()] == ["a.go"]
+
+
+def test_gitignore(spark):
+    rules = {".gitignore": "*.log\n/build\ndocs/*.txt\n!keep.log\ntmp/\n# no\n**/gen/**\na?.go\n", "sub/.gitignore": "!x.log\n/only.go\n"}
+    paths = {
+        "x.log": False, "sub/x.log": True, "keep.log": True, "sub/y.log": False, "build/a.go": False, "sub/build/a.go": True, "docs/a.txt": False, "docs/b/a.txt": True, "tmp/keep.log": False, "s/tmp/a.go": False, "tmp": True,
+        "q/gen/r/s.go": False, "ab.go": False, "abc.go": True, "sub/only.go": False, "sub/sub/only.go": True,
+    }
+    rows = [(1, p, t) for p, t in rules.items()] + [(c, p, "") for p in paths for c in (1, 2)]
+    kept = {(r.c, r.file_path) for r in ingest.not_ignored_by_git(spark.createDataFrame(rows, "c long, file_path string, text string"), ["c"]).collect()}
+    assert {p: (1, p) in kept for p in paths} == paths
+    assert all((2, p) in kept for p in paths)  # another tree has no rules
 
 
 class Calls:
@@ -83,3 +156,26 @@ def test_stream_of_events_equals_batch(spark, data, tmp_path):
     assert keys(got) == keys(want)
     assert debounce.sessions(events.limit(0)).count() == 0
     assert debounce.sessions(events).agg(F.sum("events")).first()[0] == events.count()
+
+
+class Tables:
+    """An index made of given tables."""
+
+    def __init__(self, spark, **tables):
+        self.spark, self.tables = spark, tables
+
+    raw = lambda self, name: self.tables[name]
+    codebases = property(lambda self: self.tables["codebases"])
+    members = Index.members
+
+
+def test_imports_resolved_by_siblings(spark):
+    """The exact name before the qualified one, the least id, never the importer itself, the last workspace by name."""
+    codebases = spark.createDataFrame([(i, f"/srv/{w}/c{i}", f"c{i}", 0) for i, w in ((1, "red"), (2, "red"), (3, "red"), (4, "blue"))], "id long, root_path string, name string, indexed_at long")
+    names = [(10, 1, "own", "m.own"), (11, 2, "x", "pkg.x"), (12, 3, "pkg.x", "pkg.x"), (13, 3, "y", "q.y"), (14, 2, "y2", "q.y"), (15, 4, "far", "far")]
+    symbols = spark.createDataFrame(names, "id long, codebase_id long, name string, qualified_name string")
+    kept = "id long, codebase_id long, from_kind string, from_ref string, to_kind string, to_ref string, edge_kind string, line long, resolved int, target_codebase_id long"
+    asked = [(1, "pkg.x", 0), (2, "q.y", 0), (3, "own", 0), (4, "far", 0), (5, "pkg.x", 1)]
+    edges = spark.createDataFrame([(i, 1, "file", "a", "symbol", ref, "imports", 1, resolved, None) for i, ref, resolved in asked], kept)
+    got = graph.cross_repo_resolution(Tables(spark, codebases=codebases, symbols=symbols, edges=edges)).collect()
+    assert {r.edge_id: (r.target_codebase_id, r.symbol_id) for r in got} == {1: (3, 12), 2: (3, 13)}
