@@ -171,7 +171,7 @@ class Tables:
 
 def test_imports_resolved_by_siblings(spark):
     """The exact name before the qualified one, the least id, never the importer itself, the last workspace by name."""
-    codebases = spark.createDataFrame([(i, f"/srv/{w}/c{i}", f"c{i}", 0) for i, w in ((1, "red"), (2, "red"), (3, "red"), (4, "blue"))], "id long, root_path string, name string, indexed_at long")
+    codebases = spark.createDataFrame([(i, f"/srv/code/{w}/c{i}", f"c{i}", 0) for i, w in ((1, "red"), (2, "red"), (3, "red"), (4, "blue"))], "id long, root_path string, name string, indexed_at long")
     names = [(10, 1, "own", "m.own"), (11, 2, "x", "pkg.x"), (12, 3, "pkg.x", "pkg.x"), (13, 3, "y", "q.y"), (14, 2, "y2", "q.y"), (15, 4, "far", "far")]
     symbols = spark.createDataFrame(names, "id long, codebase_id long, name string, qualified_name string")
     kept = "id long, codebase_id long, from_kind string, from_ref string, to_kind string, to_ref string, edge_kind string, line long, resolved int, target_codebase_id long"
