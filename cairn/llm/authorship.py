@@ -18,6 +18,8 @@ FIELDS = T.StructType(
         T.StructField("file_path", T.StringType()),
         T.StructField("lines", T.IntegerType()),  # with code on them
         T.StructField("canonical", T.IntegerType()),  # lines of the canonical re-emission
+        T.StructField("kept", T.IntegerType()),  # of these, lines that the file has as well
+        T.StructField("indented", T.IntegerType()),  # of these, with the same indent
         T.StructField("chars", T.IntegerType()),  # of tokens, comments left out
         T.StructField("literal_chars", T.IntegerType()),
         T.StructField("units", T.IntegerType()),  # top-level units of 8 tokens or more
@@ -29,12 +31,16 @@ FIELDS = T.StructType(
 )
 #: Canonical lines per line from which a file is minified, and characters per line it must have.
 EXPANSION, WIDTH = 4.0, 100
+#: Share of canonical lines that a minified file may have kept.
+KEPT_SHARE = 0.5
 #: Share of literals from which a file is data, and characters it must have.
 DATA_SHARE, DATA_CHARS = 0.78, 200
 #: Share of equal shapes from which a layout is a machine's, and units it must have.
 UNIFORM_SHARE, UNIFORM_UNITS = 0.8, 5
 #: Share of a file's prints that must lie in files headed as a library's elsewhere.
 COPIED_SHARE, COPIED_PRINTS = 0.5, 2
+#: Parts into which a print that many files hold is divided for the join.
+SALT = 8
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,7 +63,8 @@ def judged_files(chunks: DataFrame, source_files: DataFrame, codebases: DataFram
     it. generated: its head says so, or its units are all of one shape. vendored: its head names a holder that
     isn't its codebase beside a licence, or half its units are, token by token, in such files of other
     codebases (so copies that were stripped of their head or patched count as well). Paths decide nothing.
-    Prints are made distinct before they are joined, so a library copied everywhere is no hot key.
+    A library's prints are one row each; those of other files are salted by their path and meet one of SALT copies
+    of that row, so a library copied everywhere is no hot key. Where a file has one print only, that one suffices.
     """
     found = cut_lineage(figures(chunks, source_files))
     names = codebases.select(F.col("id").alias("codebase_id"), F.lower("name").alias("own")).dropDuplicates(["codebase_id"])
@@ -65,21 +72,22 @@ def judged_files(chunks: DataFrame, source_files: DataFrame, codebases: DataFram
         "headed", F.col("holder").isNotNull() & ~F.coalesce((F.col("own") == F.col("holder")) | (F.substring_index("own", "-", 1) == F.col("holder")), F.lit(False))
     )
     library = held.filter("headed").select(F.explode("prints").alias("print"), F.col("codebase_id").alias("at")).groupBy("print").agg(F.min("at").alias("lowest"), F.max("at").alias("highest"))
+    library = library.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     copied = (
         held.filter(~F.col("headed"))
-        .select("codebase_id", "file_path", F.size("prints").alias("all_prints"), F.explode("prints").alias("print"))
-        .join(library, "print")
+        .select("codebase_id", "file_path", F.size("prints").alias("all_prints"), F.pmod(F.xxhash64("file_path"), F.lit(SALT)).cast("int").alias("salt"), F.explode("prints").alias("print"))
+        .join(library, ["print", "salt"])
         .filter("lowest <> codebase_id or highest <> codebase_id")
         .groupBy("codebase_id", "file_path")
         .agg(F.count("*").alias("shared"), F.first("all_prints").alias("all_prints"))
-        .filter((F.col("shared") >= COPIED_PRINTS) & (F.col("shared") >= COPIED_SHARE * F.col("all_prints")))
+        .filter((F.col("shared") >= F.least(F.lit(COPIED_PRINTS), "all_prints")) & (F.col("shared") >= COPIED_SHARE * F.col("all_prints")))
         .select("codebase_id", "file_path", F.lit(True).alias("copied"))
     )
     data = (F.col("literal_chars") >= DATA_SHARE * F.col("chars")) & (F.col("chars") >= DATA_CHARS)
     return held.join(copied, ["codebase_id", "file_path"], "left").select(
         "codebase_id",
         "file_path",
-        ((F.col("canonical") >= EXPANSION * F.col("lines")) & (F.col("chars") >= WIDTH * F.col("lines")) & (F.col("lines") > 0) & ~data).alias("minified"),
+        ((F.col("canonical") >= EXPANSION * F.col("lines")) & (F.col("chars") >= WIDTH * F.col("lines")) & (F.col("lines") > 0) & (F.col("kept") <= KEPT_SHARE * F.col("canonical")) & ~data).alias("minified"),
         data.alias("data"),
         (F.col("machine") | ((F.col("units") >= UNIFORM_UNITS) & (F.col("same_shape") >= UNIFORM_SHARE * F.col("units")))).alias("generated"),
         (F.col("headed") | F.coalesce("copied", F.lit(False))).alias("vendored"),

@@ -37,12 +37,30 @@ def language(ext: str) -> str:
     return "py" if ext == ".py" else "rs" if ext == ".rs" else "c"
 
 
+def compared(emitted: Counter, own: Counter) -> tuple[int, int]:
+    """How many emitted lines, given with their depth, are lines of the file, given with their indent; and how many of
+    these are indented by the file's step for each level of depth."""
+    columns: dict[str, Counter] = {}
+    for (column, line), n in own.items():
+        columns.setdefault(line, Counter())[column] += n
+    met = [(depth, Counter(columns[line]), n) for (depth, line), n in emitted.items() if line in columns]
+    steps: Counter = Counter()
+    for depth, at, n in met:
+        for column in at:
+            if depth > 0 and column and column % depth == 0:
+                steps[column // depth] += n
+    step = steps.most_common(1)[0][0] if steps else 0
+    return sum(min(n, at.total()) for _, at, n in met), sum(min(n, at[depth * step]) for depth, at, n in met)
+
+
 def measured(text: str, ext: str) -> dict:
     """Figures of one file: see FIELDS in authorship.py.
 
-    The file is lexed; canonical formatting puts each statement and each brace on a line of its own, and its
-    lines are compared with those the file has. A shape is the row of token kinds of a top-level unit, names
-    and literals reduced to their kind; a unit's print is that of its exact tokens.
+    The file is lexed and emitted again in canonical form: each statement on a line of its own, what a brace opens
+    one step further in, one blank between tokens. The emitted lines are compared with the file's own, line by line
+    as a multiset: what share of them the file has at all (`kept`), and with the same indent in steps (`indented`).
+    A shape is the row of token kinds of a top-level unit, names and literals reduced to their kind, with its line
+    breaks; a unit's print is that of its exact tokens.
     """
     lang = language(ext)
     lines, canonical, literal, total = 0, 0, 0, 0
@@ -50,17 +68,20 @@ def measured(text: str, ext: str) -> dict:
     upper: list[str] = []  # comments after the imports, before the first unit of code
     coded = begun = False
     depth = brackets = 0
-    units: list[tuple[str, str]] = []
+    units: list[tuple[str, str, int]] = []
     shape: list[str] = []
     exact: list[str] = []
     statement: list[str] = []
-    line_coded = False
+    emitted: Counter = Counter()  # canonical lines with their depth
+    own: Counter = Counter()  # the file's lines with their indent
+    line: list[str] = []
+    line_coded, indent, level = False, 0, 0
 
     def close_unit() -> None:
         nonlocal begun
         if exact:
-            begun = begun or (len(shape) >= 8 and exact[0] not in ("import", "use", "package", "from", "const", "log"))
-            units.append((" ".join(shape), " ".join(exact)))
+            begun = begun or (len(exact) >= 8 and exact[0] not in ("import", "use", "package", "from", "const", "log"))
+            units.append((" ".join(shape).strip(" /"), " ".join(exact), len(exact)))
             shape.clear()
             exact.clear()
 
@@ -68,14 +89,23 @@ def measured(text: str, ext: str) -> dict:
         nonlocal canonical
         if statement:
             canonical += 1
+            emitted[level, " ".join(statement)] += 1
             statement.clear()
 
+    def close_line() -> None:
+        if line:
+            own[indent, " ".join(line)] += 1
+            line.clear()
+
     for m in _LEX[lang].finditer(text):
         kind, token = m.lastgroup, m.group()
         if kind == "l":
             if line_coded:
                 lines += 1
                 line_coded = False
+                shape.append("/")
+            close_line()
+            indent = len(token[token.rfind("\n") + 1 :].expandtabs(4))
             if lang == "py" and not brackets:
                 close_statement()
                 if not token[token.rfind("\n") + 1 :] and not text.startswith(("else", "elif", "except", "finally", ")", "]", "}"), m.end()):
@@ -110,12 +140,13 @@ def measured(text: str, ext: str) -> dict:
             canonical += token.count("\n")
         coded = True
         symbol = token if kind == "p" or token in _KEYWORDS else "S" if kind == "s" else "N" if kind == "n" else "I"
-        if not (len(statement) > 60):
-            statement.append(symbol)
-        if len(shape) < 400:
-            shape.append(symbol)
+        if not statement:
+            level = depth - (token == "}") if lang != "py" else indent
+        statement.append(token)
+        line.append(token)
+        shape.append(symbol)
         exact.append(token)
-        begun = begun or (depth > 0 and len(shape) >= 8 and exact[0] not in ("import", "use", "package", "from"))
+        begun = begun or (depth > 0 and len(exact) >= 8 and exact[0] not in ("import", "use", "package", "from"))
         if kind == "p":
             if token in "([":
                 brackets += 1
@@ -135,20 +166,24 @@ def measured(text: str, ext: str) -> dict:
                     close_unit()
     if line_coded:
         lines += 1
+    close_line()
     close_statement()
     close_unit()
+    kept, indented = compared(emitted, own)
     head_text = _MARKS.sub("", "\n".join(head))
-    bodies = [u for u in units if len(u[0].split()) >= 8]
+    bodies = [u for u in units if u[2] >= 8]
     common = Counter(u[0] for u in bodies).most_common(1)
     holder = _HOLDER.search(head_text)
     return {
         "lines": lines,
         "canonical": canonical,
+        "kept": kept,
+        "indented": indented,
         "chars": total,
         "literal_chars": literal,
         "units": len(bodies),
         "same_shape": common[0][1] if common else 0,
         "machine": bool(_MACHINE.search(head_text) or _MACHINE.search(_MARKS.sub("", "\n".join(upper)))),
         "holder": holder.group(1).lower() if holder and _LICENCE.search(head_text) else None,
-        "prints": sorted({xxhash.xxh3_64_intdigest(e.encode()) >> 1 for _, e in bodies if len(e) >= 80}),
+        "prints": sorted({xxhash.xxh3_64_intdigest(e.encode()) >> 1 for _, e, _ in bodies if len(e) >= 80}),
     }

@@ -41,6 +41,8 @@ def test_pairs(spark):
 HAND = 'package a\n\nimport "fmt"\n\nfunc F(x int) int {\n\tif x > 3 {\n\t\treturn x\n\t}\n\treturn 2\n}\n\nfunc G(s string) {\n\tfmt.Println(s)\n\tfor {\n\t}\n}\n'
 LIBRARY = "// Copyright 2019 Bolil contributors\n// Released under the MIT licence\n\npackage bolil\n\n" + HAND[11:].replace("Println(s)", "Println(s, s, s, s, s, s, s, s, s, s, s, s, s, s, s, s, s, s)").replace("return 2", "return x * 2 + 41 - x / 3 + x * 12 + 77")
 
+ONE = "func Q(a int) int {\n" + "".join(f"\ta = a * {i} + 7\n" for i in range(9)) + "\treturn a\n}\n"
+
 
 def test_layout():
     figures = measured(HAND, ".go")
@@ -55,6 +57,24 @@ def test_layout():
     assert measured("", ".py")["lines"] == 0
 
 
+def test_emission_against_the_layout():
+    """The file's own lines are its canonical ones with their indent; packed on few lines, hardly any is left."""
+    plain = "function f(a) {\n  if (a) {\n    b ( ) ;\n    c ( ) ;\n  }\n}\n"
+    figures = measured(plain, ".js")
+    assert figures["kept"] == figures["indented"] == figures["canonical"] > 4
+    flat = measured(plain.replace("    ", "  "), ".js")
+    assert flat["kept"] == figures["kept"] and flat["indented"] < flat["kept"]
+    packed = measured(plain.replace("\n", " ") * 30, ".js")
+    assert packed["kept"] == 0 and packed["canonical"] == 30 * figures["canonical"]
+
+
+def test_long_units_that_differ_late_are_not_uniform():
+    unit = "func F{0}(x int) int {{\n" + "\tx = x + 1\n" * 300 + "\t{1}\n}}\n\n"
+    same = measured("package a\n\n" + "".join(unit.format(i, "return x") for i in range(6)), ".go")
+    other = measured("package a\n\n" + "".join(unit.format(i, "return x" + " * 2" * i) for i in range(6)), ".go")
+    assert (same["units"], same["same_shape"]) == (6, 6) and (other["units"], other["same_shape"]) == (6, 1)
+
+
 def test_judged_files(spark):
     texts = {
         (1, "src/a.go"): HAND,
@@ -62,11 +82,13 @@ def test_judged_files(spark):
         (1, "lib/c.go"): LIBRARY,
         (2, "own/d.go"): LIBRARY.split("\n\n", 1)[1],  # its head stripped
         (3, "own/e.go"): LIBRARY.replace("Bolil", "Mine").replace("F(", "K(").replace("G(", "L("),
+        (4, "one/unit.go"): "package q\n\n" + ONE,
+        (5, "lib/unit.go"): "// Copyright 2019 Bolil contributors\n// Released under the MIT licence\n\npackage q\n\n" + ONE,
         (2, "x.js"): "var a={};" + "if(o){m=o.b;y+=5}else z(1);" * 40,
     }
     chunks = spark.createDataFrame([(i, c, p, 1, t.count("\n") + 1, t) for i, ((c, p), t) in enumerate(texts.items())], "id long, codebase_id long, file_path string, start_line long, end_line long, snippet string")
     known = chunks.select("codebase_id", "file_path")
     codebases = spark.createDataFrame([(1, "one"), (2, None), (3, "mine-core")], "id long, name string")
     found = {(r.codebase_id, r.file_path) for r in authorship.not_hand_written(chunks, known, codebases).collect()}
-    assert found == {(1, "lib/c.go"), (2, "own/d.go"), (2, "x.js")}
+    assert found == {(1, "lib/c.go"), (2, "own/d.go"), (2, "x.js"), (4, "one/unit.go"), (5, "lib/unit.go")}
     assert authorship.not_hand_written(chunks.limit(0), known, codebases).count() == 0
