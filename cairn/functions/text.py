@@ -43,6 +43,12 @@ def words(col: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(col), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def finite(df):
+    """`df` with NULL where a floating-point number is none or has no bound."""
+    wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    return df.withColumns({c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)) for c in wide})
+
+
 def path_domain(path: Column) -> Column:
     """The first directory with its slash, or (root)."""
     return F.when(F.instr(path, "/") > 1, F.concat(F.substring_index(path, "/", 1), F.lit("/"))).otherwise(F.lit("(root)"))

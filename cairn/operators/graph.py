@@ -46,6 +46,11 @@ def usages(ix: Index) -> DataFrame:
     return found.groupBy("codebase_id", "target", "edge_kind").agg(F.count("*").alias("usages"), F.count_distinct("from_ref").alias("users"))
 
 
+def usage_edges(ix: Index) -> DataFrame:
+    """The references of any kind to each symbol, one row per symbol and edge."""
+    return matching_edges(edges(ix), targets(ix)).select("codebase_id", "target", "edge_kind", "from_ref", "to_ref", "line", F.col("id").alias("edge_id"))
+
+
 def callees(ix: Index) -> DataFrame:
     """What each symbol calls: edges from exactly its qualified name."""
     named = targets(ix).withColumnRenamed("target", "from_ref")

@@ -223,7 +223,7 @@ def assembled_files(ix: Index) -> DataFrame:
     rows = ix.once("chunks", "codebase_id", "file_path", "start_line", "snippet")
     parts = rows.groupBy("codebase_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("start_line", "id", "snippet"))).alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["snippet"]), "\n")
-    return parts.select("codebase_id", "file_path", F.size("p").alias("chunks"), F.length(text).alias("chars"), F.md5(text).alias("md5"))
+    return parts.select("codebase_id", "file_path", F.size("p").alias("chunks"), F.length(text).alias("chars"), F.sha2(text, 256).alias("sha256"))
 
 
 def conflicted_files(ix: Index) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.text import sqlite_like
+from cairn.functions.text import compact, sqlite_like
 from cairn.sources.index import Index
 
+# How many characters of a text an answer holds.
+COMPACTED = {"signature": 160, "doc_comment": 280, "body_snippet": 240}
 FUZZY_TOP, SYMBOL_TOP, FILES_TOP, EXPORTED_TOP = 20, 50, 10, 20
 
 
@@ -22,6 +24,29 @@ def list_codebases(ix: Index) -> DataFrame:
     return ix.codebases.select("id", "root_path", "name", "indexed_at").orderBy(F.desc("id"))
 
 
+def codebase_by_id(ix: Index, codebase_id: int = 1) -> DataFrame:
+    """The codebase with this id; no row where there is none."""
+    return ix.codebases.filter(F.col("id") == codebase_id).select("id", "root_path", "name", "indexed_at")
+
+
+def chunk_listing(ix: Index) -> DataFrame:
+    """The chunks of each codebase by path and line."""
+    rows = ix.once("chunks", "codebase_id", "file_path", "chunk_key", "kind", "start_line", "end_line")
+    return rows.orderBy("codebase_id", "file_path", "start_line", "id")
+
+
+def source_file_listing(ix: Index) -> DataFrame:
+    """The files of each codebase by path, each as its newest row has it."""
+    rows = ix.current("source_files", "language", "package_name", "loc", "symbol_count")
+    return rows.select("codebase_id", "file_path", "language", "package_name", "loc", "symbol_count").orderBy("codebase_id", "file_path")
+
+
+def compacted_symbols(ix: Index) -> DataFrame:
+    """Symbols with their texts cut to what an answer holds."""
+    rows = ix.once("symbols", *COMPACTED)
+    return rows.select("id", *(compact(F.coalesce(c, F.lit("")), most).alias(c) for c, most in COMPACTED.items()))
+
+
 def workspace_members(ix: Index) -> DataFrame:
     """Members of each workspace with their codebase's name."""
     return ix.members.join(ix.codebases.select(F.col("id").alias("codebase_id"), "name"), "codebase_id").select("workspace", "codebase_id", "name")
@@ -54,6 +79,13 @@ def file_symbols(ix: Index) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(w))
 
 
+def annotated_file_symbols(ix: Index) -> DataFrame:
+    """file_symbols, those of files that weren't indexed completely marked."""
+    from cairn.operators.search import annotated
+
+    return annotated(ix, file_symbols(ix)).select("id", "codebase_id", "file_path", "name", "position", "degraded", "reason")
+
+
 def symbols_of_kind(ix: Index, kind: str = "struct") -> DataFrame:
     return ix.raw("symbols").filter(F.col("kind") == kind).select("id", "codebase_id", "file_path", "name", "start_line").dropDuplicates(["id"])
 
@@ -178,23 +210,33 @@ def capabilities(ix: Index) -> DataFrame:
     return ix.raw("symbols").select("codebase_id", path_domain(F.col("file_path")).alias("domain"), "name", "kind").distinct()
 
 
-def compare_capabilities(ix: Index, pairs: DataFrame | None = None) -> DataFrame:
-    """The codebases of `pairs` (first, second), by default each and the one before it in its workspace, by domain.
-
-    implemented: seven tenths or more of what the first can are there; partial: some; missing: the second has
-    nothing there; extra: only the second has.
-    """
+def _capability_sides(ix: Index, pairs: DataFrame | None) -> DataFrame:
+    """What either codebase of each pair can: (first, second, domain, name, kind, in_a, in_b)."""
     w = Window.partitionBy("workspace").orderBy("codebase_id")
     compared = pairs if pairs is not None else ix.members.withColumn("first", F.lag("codebase_id").over(w)).filter("first is not null").select("first", F.col("codebase_id").alias("second"))
     able = capabilities(ix)
     keys = ["first", "second", "domain", "name", "kind"]
     a = compared.join(able.withColumnRenamed("codebase_id", "first"), "first").select(*keys, F.lit(1).alias("in_a"))
     b = compared.join(able.withColumnRenamed("codebase_id", "second"), "second").select(*keys, F.lit(1).alias("in_b"))
-    sides = a.withColumn("in_b", F.lit(0)).unionByName(b.withColumn("in_a", F.lit(0))).groupBy(*keys).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
-    by = sides.groupBy("first", "second", "domain").agg(F.sum("in_a").alias("a"), F.sum("in_b").alias("b"), F.sum(F.col("in_a") * F.col("in_b")).alias("both"))
+    return a.withColumn("in_b", F.lit(0)).unionByName(b.withColumn("in_a", F.lit(0))).groupBy(*keys).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+
+
+def compare_capabilities(ix: Index, pairs: DataFrame | None = None) -> DataFrame:
+    """The codebases of `pairs` (first, second), by default each and the one before it in its workspace, by domain.
+
+    implemented: seven tenths or more of what the first can are there; partial: some; missing: the second has
+    nothing there; extra: only the second has.
+    """
+    by = _capability_sides(ix, pairs).groupBy("first", "second", "domain").agg(F.sum("in_a").alias("a"), F.sum("in_b").alias("b"), F.sum(F.col("in_a") * F.col("in_b")).alias("both"))
     status = F.when(F.col("a") == 0, "extra").when(F.col("b") == 0, "missing").when(10 * F.col("both") >= 7 * F.col("a"), "implemented").otherwise("partial")
     return by.withColumn("status", status)
 
 
+def capability_gaps(ix: Index, pairs: DataFrame | None = None) -> DataFrame:
+    """What only one codebase of a pair can, one row each, with the side that has it."""
+    only = _capability_sides(ix, pairs).filter("in_a <> in_b")
+    return only.select("first", "second", "domain", "name", "kind", F.when(F.col("in_a") == 1, "first").otherwise("second").alias("only_in"))
+
+
 def capability_summary(ix: Index) -> DataFrame:
     return compare_capabilities(ix).groupBy("first", "second", "status").agg(F.count("*").alias("domains"))

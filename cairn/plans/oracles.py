@@ -109,6 +109,13 @@ def _document_type() -> str:
     return f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))"
 
 
+def _cut(column: str, most: int) -> str:
+    """A text trimmed and cut, with a mark where it was."""
+    t = f"regexp_replace(coalesce({column}, ''), '^\\s+|\\s+$', '', 'g')"
+    mark = f"CASE WHEN contains({t}, chr(10)) THEN chr(10) ELSE ' ' END || '... (truncated)'"
+    return f"CASE WHEN length({t}) <= {most} THEN {t} ELSE regexp_replace(left({t}, {most} - length({mark})), '\\s+$', '') || {mark} END AS {column}"
+
+
 def oracle_sql() -> dict[str, str]:
     like = lambda q: f"{_LOW.format('name')} LIKE '%{q}%' OR {_LOW.format('qualified_name')} LIKE '%{q}%'"
     found = "SELECT id, codebase_id, name, qualified_name, kind, CASE WHEN name = '{q}' THEN 0 WHEN qualified_name = '{q}' THEN 1 ELSE 2 END::INTEGER AS rank FROM " + _once("symbols")
@@ -116,6 +123,16 @@ def oracle_sql() -> dict[str, str]:
     near = "least(levenshtein(lower(name), 'parserecrd'), levenshtein(lower(qualified_name), 'parserecrd'))"
     sql = {
         "list_codebases": "SELECT id, root_path, name, indexed_at FROM codebases",
+        "codebase_by_id": "SELECT id, root_path, name, indexed_at FROM codebases WHERE id = 1",
+        "chunk_listing": f"SELECT id, codebase_id, file_path, chunk_key, kind, start_line, end_line FROM {_once('chunks')}",
+        "source_file_listing": f"SELECT codebase_id, file_path, language, package_name, loc, symbol_count FROM {_current('source_files')}",
+        "compacted_symbols": f"SELECT id, {_cut('signature', 160)}, {_cut('doc_comment', 280)}, {_cut('body_snippet', 240)} FROM {_once('symbols')}",
+        "annotated_file_symbols": f"""SELECT s.id, s.codebase_id, s.file_path, s.name, row_number() OVER (PARTITION BY s.codebase_id, s.file_path ORDER BY s.start_line, s.id)::INTEGER AS position, f.id IS NOT NULL AS degraded, f.index_status || ': ' || coalesce(f.status_reason, '') AS reason
+            FROM {_once('symbols')} s LEFT JOIN (SELECT * FROM {_current('indexed_files')} WHERE index_status <> 'complete') f ON s.codebase_id = f.codebase_id AND s.file_path = f.file_path""",
+        "usage_edges": f"SELECT codebase_id, target, edge_kind, from_ref, to_ref, line, id AS edge_id FROM {_callers('true')}",
+        "capability_gaps": f"""WITH p AS (SELECT * FROM (SELECT lag(codebase_id) OVER (PARTITION BY workspace ORDER BY codebase_id) AS first, codebase_id AS second FROM {_MEMBERS}) WHERE first IS NOT NULL),
+            a AS (SELECT p.*, domain, name, kind FROM p JOIN {_ABLE} c ON c.codebase_id = first), b AS (SELECT p.*, domain, name, kind FROM p JOIN {_ABLE} c ON c.codebase_id = second)
+            SELECT *, 'first' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
         "workspace_members": f"SELECT workspace, codebase_id, name FROM {_MEMBERS}",
         "workspaces": f"SELECT workspace, count(*) AS codebases FROM {_MEMBERS} GROUP BY workspace",
         "symbols_by_kind": f"SELECT codebase_id, kind, count(*) AS symbols FROM {_once('symbols')} GROUP BY ALL",
@@ -240,7 +257,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT DISTINCT codebase_id, file_path FROM chunks)""",
         "orientation_documents": f"""SELECT codebase_id, file_path, d.type AS doc_type, d.priority::INTEGER AS priority FROM (SELECT *, row_number() OVER (PARTITION BY codebase_id, d.type ORDER BY file_path) AS k
             FROM (SELECT codebase_id, file_path, {_document_type()} AS d FROM (SELECT DISTINCT codebase_id, file_path FROM documents WHERE file_path IS NOT NULL)) WHERE d IS NOT NULL) WHERE d.type <> 'general' OR k <= 5""",
-        "assembled_files": f"SELECT codebase_id, file_path, count(*)::INTEGER AS chunks, length(string_agg(snippet, chr(10) ORDER BY start_line, id))::INTEGER AS chars, md5(string_agg(snippet, chr(10) ORDER BY start_line, id)) AS md5 FROM {_once('chunks')} GROUP BY ALL",
+        "assembled_files": f"SELECT codebase_id, file_path, count(*)::INTEGER AS chunks, length(string_agg(snippet, chr(10) ORDER BY start_line, id))::INTEGER AS chars, sha256(string_agg(snippet, chr(10) ORDER BY start_line, id)) AS sha256 FROM {_once('chunks')} GROUP BY ALL",
         "conflicted_files": "SELECT codebase_id, file_path FROM chunks GROUP BY ALL HAVING bool_or(contains(snippet, '<<<<<<<')) AND bool_or(contains(snippet, '=======')) AND bool_or(contains(snippet, '>>>>>>>'))",
         "debounce_sessions": """WITH e AS (SELECT user_id AS path, event_type AS op, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS begins FROM events),
             s AS (SELECT *, sum(begins) OVER (PARTITION BY path ORDER BY ts, event_id) AS burst FROM e)
@@ -249,6 +266,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"SELECT DISTINCT source_table, row_id FROM ({_ORPHANS})",
         "p5_report": f"SELECT source_table, period, reason, count(*) AS orphans FROM ({_ORPHANS}) GROUP BY ALL",
     }
+    sql["package_outline_prefix"] = sql["package_outline"] + " WHERE starts_with(f.file_path, 'pkg/')"
     searches = _search_sql()
     states = f"(SELECT * FROM {_current('indexed_files')} WHERE index_status <> 'complete')"
     sql["degraded_hits"] = f"SELECT h.id, h.codebase_id, h.file_path, index_status || ': ' || coalesce(status_reason, '') AS reason FROM ({searches['search_single']}) h JOIN {states} f ON h.codebase_id = f.codebase_id AND h.file_path = f.file_path"

@@ -58,13 +58,14 @@ def queries() -> dict[str, Query]:
     found["search_annotated"] = _on(search.annotated_hits, query=oracles.SEARCHES["single"])
     found["search_memory"] = _on(search.memory_scan, query="Ctx Context.Context")
     found["locate_sentence"] = _on(search.locate_issue, query=oracles.SENTENCE)
+    found["package_outline_prefix"] = _on(lookups.package_outline, prefix="pkg/")
     found["degraded_hits"] = _on(search.degraded_hits, query=oracles.SEARCHES["single"])
     for module, names in {
         lookups: (
-            "list_codebases workspace_members workspaces symbols_by_kind top_files exported_functions file_symbols symbols_of_kind list_capabilities find_symbol find_symbol_of_kind"
+            "list_codebases codebase_by_id chunk_listing source_file_listing compacted_symbols annotated_file_symbols capability_gaps workspace_members workspaces symbols_by_kind top_files exported_functions file_symbols symbols_of_kind list_capabilities find_symbol find_symbol_of_kind"
             " find_symbol_fuzzy find_symbol_or_fuzzy find_symbol_workspace find_symbol_fuzzy_workspace file_stats language_breakdown package_list index_status package_outline project_overview compare_capabilities capability_summary"
         ),
-        graph: "callers usages callees imports dependents unresolved_imports callers_workspace usages_workspace blast_radius blast_entries cross_links cross_repo_resolution",
+        graph: "callers usages usage_edges callees imports dependents unresolved_imports callers_workspace usages_workspace blast_radius blast_entries cross_links cross_repo_resolution",
         search: "locate_issue issue_impact term_statistics",
         manifest: "manifest_delta delta_summary run_counters orphan_chunks upserted_files edges_after_removal policies redacted_symbols stripped_export_sizes",
         metrics: "tool_stats tool_stats_window slow_log recent_errors index_run_stats parse_health zero_symbol_files index_throughput graph_density server_stats",

@@ -28,6 +28,11 @@ def test_small_helpers(spark):
     assert text.glob_regex("*.md") == r"^[^/]*\.md$"
 
 
+def test_finite(spark):
+    rows = spark.createDataFrame([(1, 1.5), (2, float("nan")), (3, float("inf")), (4, None), (5, float("-inf"))], "i int, v double")
+    assert {r.i: r.v for r in text.finite(rows).collect()} == {1: 1.5, 2: None, 3: None, 4: None, 5: None}
+
+
 ROWS = [(1, "the journal keeps a pending ledger", "a.go:1-50", "a.go"), (2, "ledger ledger parser", "b.go:1-50", "b.go"), (3, "a pending journal, pending again", "c.go:1-50", "pending/c.go"), (4, "validate nothing", "d.go:1-9", "d.go")]
 
 
