@@ -285,7 +285,7 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'index', 'run_count', count(*) FROM r UNION ALL SELECT 'index', 'files_indexed', sum(files_indexed)::BIGINT FROM r UNION ALL SELECT 'index', 'chunks_indexed', sum(chunks_indexed)::BIGINT FROM r
         UNION ALL SELECT 'index', 'avg_duration_ms', coalesce(sum(duration_ms) // count(*), 0)::BIGINT FROM r UNION ALL SELECT 'graph', 'total_symbols', count(DISTINCT id) FROM symbols UNION ALL SELECT 'graph', 'total_edges', count(DISTINCT id) FROM edges
         UNION ALL SELECT 'server', 'active_codebases', count(*) FROM codebases UNION ALL SELECT 'server', 'total_requests', coalesce(sum(calls), 0)::BIGINT FROM t UNION ALL SELECT 'server', 'errors_last_minute', errors_last_minute FROM ({sql["recent_errors"]})"""
-    sql["p6_found"] = cells_sql()
+    sql["p6_found"], sql["p6_wide"] = cells_sql()
     return sql | searches
 
 
@@ -353,8 +353,18 @@ _ORPHANS = """SELECT DISTINCT source_table, row_id, reason, period FROM (
     ), LATERAL (SELECT date_trunc('month', to_timestamp(s) AT TIME ZONE 'UTC')::DATE AS period) WHERE bad"""
 
 
-def cells_sql() -> str:
-    """p6_found: the cells of the wide table that hold a value."""
+#: The attributes of the wide table by type, as the tables declare them.
+ATTRIBUTES = {
+    "boolean": "closed_source source_stripped archived",
+    "integer": "contributor_count retention_days open_issue_count",
+    "double": "test_coverage size_mb churn_ratio",
+    "date": "first_commit_on next_review_on",
+    "string": "default_branch owner_team license_name build_tool release_channel",
+}
+
+
+def cells_sql() -> tuple[str, str]:
+    """p6_found and p6_wide: the cells of the wide table that hold a value, and the table."""
     from cairn.operators.wide import FALSE, NO_VALUE, TRUE
 
     bare = "regexp_replace(value, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g')"
@@ -364,11 +374,12 @@ def cells_sql() -> str:
     tail = "([T ]\\d{1,2}:\\d{2}(:\\d{2}([.,]\\d+)?)?\\s*(Z|UTC|GMT|[+-]\\d{2}:?\\d{2})?)?"
 
     def dated(pattern: str, *forms: str, end: str = tail) -> str:
-        tests = " OR ".join(f"try_strptime(regexp_extract(v, '^({pattern})', 1), '{f}') IS NOT NULL" for f in forms)
-        return f"(regexp_full_match(v, '({pattern}){end}') AND ({tests}))"
+        read = ", ".join(f"try_strptime(regexp_extract(v, '^({pattern})', 1), '{f}')" for f in forms)
+        return f"CASE WHEN regexp_full_match(v, '({pattern}){end}') THEN coalesce({read}, NULL)::DATE END"
 
     month = "'^(\\d{1,2}[ -][A-Za-z]{3,9}[ -]\\d{4}|[A-Za-z]{3,9} \\d{1,2} \\d{4})$'"
-    dates = " OR ".join(
+    bare_date = "replace(replace(v, '.', ''), ',', '')"
+    date = ", ".join(
         [
             dated("\\d{4}-\\d{1,2}-\\d{1,2}", "%Y-%m-%d"),
             dated("\\d{4}/\\d{1,2}/\\d{1,2}", "%Y/%m/%d"),
@@ -377,16 +388,28 @@ def cells_sql() -> str:
             dated("\\d{1,2}/\\d{1,2}/\\d{4}", "%d/%m/%Y", "%m/%d/%Y"),
             dated("\\d{1,2}\\.\\d{1,2}\\.\\d{4}", "%d.%m.%Y"),
             dated("\\d{1,2}-\\d{1,2}-\\d{4}", "%d-%m-%Y"),
-            f"(regexp_matches(replace(replace(v, '.', ''), ',', ''), {month}) AND coalesce(try_strptime(replace(replace(replace(v, '.', ''), ',', ''), '-', ' '), ['%d %b %Y', '%d %B %Y', '%b %d %Y', '%B %d %Y'])) IS NOT NULL)",
-            "regexp_full_match(v, '\\d{9,10}|\\d{12,13}')",
+            f"CASE WHEN regexp_matches({bare_date}, {month}) THEN try_strptime(replace({bare_date}, '-', ' '), ['%d %b %Y', '%d %B %Y', '%b %d %Y', '%B %d %Y'])::DATE END",
+            "CASE WHEN regexp_full_match(v, '\\d{9,10}') THEN (to_timestamp(v::BIGINT) AT TIME ZONE 'UTC')::DATE WHEN regexp_full_match(v, '\\d{12,13}') THEN (to_timestamp(v::BIGINT // 1000) AT TIME ZONE 'UTC')::DATE END",
         ]
     )
+    dates = f"coalesce({date}) IS NOT NULL"
     reads = f"""CASE t WHEN 'boolean' THEN lower(v) IN ({", ".join(f"'{x}'" for x in (*TRUE, *FALSE))})
         WHEN 'integer' THEN regexp_full_match(n, '[+-]?\\d+(\\.0*)?') AND try_cast(regexp_replace(n, '\\.0*$', '') AS BIGINT) IS NOT NULL
         WHEN 'double' THEN regexp_full_match(n, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') AND isfinite(try_cast(n AS DOUBLE))
         WHEN 'date' THEN {dates} ELSE true END"""
     absent = ", ".join(f"'{x}'" for x in NO_VALUE)
     plain = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
-    return f"""SELECT DISTINCT codebase_id, attribute FROM (SELECT *, {number} AS n FROM (
+    cells = f"""(SELECT * FROM (SELECT *, {number} AS n FROM (
         SELECT m.codebase_id, a.attribute, a.value_type AS t, {bare} AS v FROM codebase_meta m JOIN meta_attributes a ON {plain.format("m.key")} = {plain.format("a.attribute")}
-        WHERE m.codebase_id IS NOT NULL AND m.value IS NOT NULL)) WHERE lower(v) NOT IN ({absent}) AND coalesce({reads}, false)"""
+        WHERE m.codebase_id IS NOT NULL AND m.value IS NOT NULL)) WHERE lower(v) NOT IN ({absent}) AND coalesce({reads}, false))"""
+    # of several readable values the least text
+    values = {
+        "boolean": f"min(CASE WHEN @ THEN lower(v) IN ({', '.join(f"'{x}'" for x in TRUE)}) END)",
+        "integer": "min(CASE WHEN @ THEN try_cast(regexp_replace(n, '\\.0*$', '') AS BIGINT)::VARCHAR END)::BIGINT",
+        "double": "min(CASE WHEN @ THEN try_cast(n AS DOUBLE)::VARCHAR END)::DOUBLE",
+        "date": f"min(CASE WHEN @ THEN coalesce({date}) END)",
+        "string": "min(CASE WHEN @ THEN v END)",
+    }
+    columns = ", ".join(values[kind].replace("@", f"attribute = '{name}'") + f" AS {name}" for kind, names in ATTRIBUTES.items() for name in names.split())
+    wide = f"SELECT e.codebase_id, c.* EXCLUDE (codebase_id) FROM (SELECT DISTINCT codebase_id FROM codebase_meta WHERE codebase_id IS NOT NULL) e LEFT JOIN (SELECT codebase_id, {columns} FROM {cells} GROUP BY codebase_id) c ON e.codebase_id = c.codebase_id"
+    return f"SELECT DISTINCT codebase_id, attribute FROM {cells}", wide

@@ -10,7 +10,7 @@ from cairn.plans import oracles, queries
 
 NAMES = sorted(oracles.oracle_sql())
 #: Queries that SQL can't express, with the tests that hold them against something else.
-OTHERWISE = {"p6_wide": "test_wide.py", "prose_chunks": "test_store_and_stream.py"}
+OTHERWISE = {"prose_chunks": "test_store_and_stream.py"}
 
 
 @pytest.fixture(scope="module")
