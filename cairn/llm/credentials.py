@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,13 +13,18 @@ from pyspark.sql import types as T
 
 from cairn.llm.secrets import DETECTORS
 from cairn.llm.trigrams import required_trigrams
+from cairn.session import cut_lineage, shared_folder
 from cairn.sources.tables import extension
 
 #: Detector -> sets of trigrams, one of which must be in a text wholly; fixed by the patterns, so small by nature.
 REQUIRED = {name: required_trigrams(pattern) for name, pattern in DETECTORS.items()}
 #: The index's vocabulary: the trigrams that some detector requires; others can't make a candidate.
 VOCABULARY = sorted({t for clauses in REQUIRED.values() for clause in clauses for t in clause})
-_WORD = 62
+_NUMBERED = [(name, clause) for name, clauses in REQUIRED.items() for clause in clauses]
+#: (trigram, clause, bit): which trigrams each clause asks for; fixed by the patterns.
+CLAUSES = [(VOCABULARY.index(t), number, bit) for number, (_, clause) in enumerate(_NUMBERED) for bit, t in enumerate(sorted(clause))]
+#: Up to so many candidates (a number and a short name each) are broadcast to the texts; more meet them by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def texts(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -63,27 +68,32 @@ def trigram_index(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(_trigrams("text")).alias("trigram"), "source_table", "row_id")
 
 
-def candidates(postings: DataFrame) -> DataFrame:
-    """(source_table, row_id, detectors): the rows in which, by their postings, each detector can match.
+def write_trigram_index(chunks: DataFrame, symbols: DataFrame, folder: str | None = None) -> DataFrame:
+    """The postings of both tables, written once, by trigram within each file, and read back.
 
-    Postings are intersected by OR-ing one bit per trigram on the map side and comparing with each clause's
-    bits; a text's postings are at most the vocabulary, so no group is large.
+    The index can be kept: what is given to `credentials` and `redacted_texts` as `index` isn't made again.
     """
-    words = range(-(-len(VOCABULARY) // _WORD))
-    bit = F.expr(f"shiftleft(1L, trigram % {_WORD})")
-    masks = postings.groupBy("source_table", "row_id").agg(*(F.bit_or(F.when(F.floor(F.col("trigram") / _WORD) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in words))
-    number = {t: i for i, t in enumerate(VOCABULARY)}
+    spark = chunks.sparkSession
+    folder = folder or f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}"
+    trigram_index(texts(chunks, symbols)).sortWithinPartitions("trigram", "source_table", "row_id").write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
 
-    def holds(clause: frozenset[str]):
-        tests = []
-        for w in words:
-            need = sum(1 << (number[t] % _WORD) for t in clause if number[t] // _WORD == w)
-            if need:
-                tests.append(F.col(f"m{w}").bitwiseAND(F.lit(need).cast("long")) == F.lit(need).cast("long"))
-        return reduce(lambda a, b: a & b, tests)
+def candidates(postings: DataFrame, detectors: tuple[str, ...] = tuple(DETECTORS)) -> DataFrame:
+    """(source_table, row_id, detectors): the rows in which, by their postings, each detector can match.
 
-    can = [F.when(reduce(lambda a, b: a | b, map(holds, clauses)), F.lit(name)) for name, clauses in REQUIRED.items()]
-    return masks.select("source_table", "row_id", F.array_compact(F.array(*can)).alias("detectors")).filter(F.size("detectors") > 0)
+    Only postings of trigrams that the detectors ask for are read. They are joined to the clauses that ask for
+    them and grouped by row and clause: a row that has all trigrams of one clause is a candidate of its detector.
+    A row has a posting per trigram of the vocabulary at most, so no group is large.
+    """
+    wanted = [c for c in CLAUSES if _NUMBERED[c[1]][0] in detectors]
+    asked = postings.sparkSession.createDataFrame(wanted, "trigram int, clause int, bit int")
+    rows = postings.filter(F.col("trigram").isin(*sorted({c[0] for c in wanted}))).join(F.broadcast(asked), "trigram")
+    met = rows.groupBy("source_table", "row_id", "clause").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    whole = F.array(*(F.lit((1 << len(clause)) - 1) for _, clause in _NUMBERED))
+    name = F.array(*(F.lit(n) for n, _ in _NUMBERED))
+    full = met.filter(F.col("bits") == F.get(whole, F.col("clause")))
+    return full.groupBy("source_table", "row_id").agg(F.collect_set(F.get(name, F.col("clause"))).alias("detectors"))
 
 
 _PLACES = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("detector", T.StringType())]))
@@ -105,20 +115,23 @@ def _redacted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series([redacted(t, e or "") for t, e in zip(contents, exts, strict=True)])
 
 
-def _candidate_texts(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    rows = texts(chunks, symbols)
-    held = rows.join(candidates(trigram_index(rows)), ["source_table", "row_id"])
+def _candidate_texts(chunks: DataFrame, symbols: DataFrame, index: DataFrame | None) -> DataFrame:
+    """The texts that are candidates, with their detectors; the others aren't shuffled as long as the candidates are
+    few enough to be broadcast."""
+    found = cut_lineage(candidates(write_trigram_index(chunks, symbols) if index is None else index))
+    few = found.count() <= BROADCAST_ROWS
+    held = texts(chunks, symbols).join(F.broadcast(found) if few else found, ["source_table", "row_id"])
     return held.dropDuplicates(["source_table", "row_id"])
 
 
-def credentials(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+def credentials(chunks: DataFrame, symbols: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(source_table, row_id, line_no, detector): one row per credential, where its secret begins.
 
     Texts NULL or empty hold none. A row delivered twice counts once. Of overlapping matches the first and
     longest counts, so a secret is reported once whatever detectors see it. A secret split over joined string
     literals begins in the first of them; a private key begins with its BEGIN line.
     """
-    held = _candidate_texts(chunks, symbols)
+    held = _candidate_texts(chunks, symbols, index)
     found = held.select("source_table", "row_id", F.explode(_verified("text", "ext", "detectors")).alias("f"))
     return found.select("source_table", "row_id", "f.line_no", "f.detector")
 
@@ -145,11 +158,11 @@ def inner_windows(chunks: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     return kept.select(F.lit("chunks").alias("source_table"), F.col("id").alias("row_id"), F.concat(F.lit(mark), F.repeat(F.lit("\n"), F.size(lines) - 1)).alias("text"))
 
 
-def redacted_texts(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+def redacted_texts(chunks: DataFrame, symbols: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(source_table, row_id, text) of the rows that hold a credential, secrets replaced, all else unchanged.
 
     Of a private key that windows cut, each part is replaced in its own window.
     """
     inner = inner_windows(chunks)
-    held = _candidate_texts(chunks, symbols).join(inner.select("source_table", "row_id"), ["source_table", "row_id"], "left_anti").withColumn("clean", _redacted("text", "ext"))
+    held = _candidate_texts(chunks, symbols, index).join(inner.select("source_table", "row_id"), ["source_table", "row_id"], "left_anti").withColumn("clean", _redacted("text", "ext"))
     return held.filter("clean <> text").select("source_table", "row_id", F.col("clean").alias("text")).unionByName(inner)

@@ -57,12 +57,18 @@ def test_required_trigrams():
         assert required_trigrams(pattern)
 
 
-def test_index_loses_nothing(spark, data):
+def test_index_loses_nothing(spark, data, monkeypatch):
     """What the index leads to is what all patterns find over all whole texts."""
     chunks, symbols = table(spark, data, "chunks"), table(spark, data, "symbols")
     got = sorted((r.source_table, r.row_id, r.line_no) for r in credentials.credentials(chunks, symbols).collect())
     rows = credentials.texts(chunks, symbols).dropDuplicates(["source_table", "row_id"]).collect()
     assert got and got == sorted((r.source_table, r.row_id, line) for r in rows for _, line, _ in find_secrets(r.text, r.ext))
+    index = credentials.write_trigram_index(chunks, symbols)
+    assert got == sorted((r.source_table, r.row_id, r.line_no) for r in credentials.credentials(chunks, symbols, index).collect())
+    some = {(r.source_table, r.row_id) for r in credentials.candidates(index, ("slack",)).collect()}
+    assert some == {(r.source_table, r.row_id) for r in rows if "xox" in r.text.lower()}
+    monkeypatch.setattr(credentials, "BROADCAST_ROWS", 0)  # more candidates than are broadcast
+    assert got == sorted((r.source_table, r.row_id, r.line_no) for r in credentials.credentials(chunks, symbols, index).collect())
     clean = {(r.source_table, r.row_id) for r in credentials.redacted_texts(chunks, symbols).collect()}
     assert {g[:2] for g in got} <= clean
 
