@@ -275,39 +275,40 @@ def locate_issue(ix: Index, query: str = "merge bucket", limit: int = 10) -> Dat
     """The likeliest places of an issue with what surrounds them: how many call each, what it calls, which files
     import its file (all of them are rows of `issue_impact`), the lines of its first five chunks, and how many links
     lead to other codebases of its workspaces and from them."""
-    top = issue_candidates(ix, query, limit)
+    top = cut_lineage(issue_candidates(ix, query, limit))
     keys = ["codebase_id", "file_path", "name"]
-    counted = issue_impact(ix, query, limit).groupBy(*keys).agg(*(F.count_if(F.col("role") == role).alias(role) for role in ("callers", "callees", "dependents", "outbound", "inbound")))
-    rows = ix.raw("chunks").select("id", *keys, F.col("start_line").alias("s"), F.col("end_line").alias("e")).join(top.select(*keys), keys, "left_semi").dropDuplicates(["id"])
+    counted = issue_impact(ix, query, limit, top).groupBy(*keys).agg(*(F.count_if(F.col("role") == role).alias(role) for role in ("callers", "callees", "dependents", "outbound", "inbound")))
+    rows = ix.raw("chunks").select("id", *keys, F.col("start_line").alias("s"), F.col("end_line").alias("e")).join(F.broadcast(top.select(*keys)), keys, "left_semi").dropDuplicates(["id"])
     first = top_per(rows, keys, [F.asc("s"), F.asc("id")], 5)
     chunks = first.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "s", "e"))), lambda c: F.concat_ws("-", c["s"], c["e"])), ",").alias("chunks"))
     out = top.join(counted, keys, "left").join(chunks, keys, "left").na.fill(0, ["callers", "callees", "dependents", "outbound", "inbound"])
     return out.select(*keys, "kind", "start_line", "end_line", "confidence", "callers", "callees", "dependents", "chunks", "outbound", "inbound")
 
 
-def issue_impact(ix: Index, query: str = "merge bucket", limit: int = 10) -> DataFrame:
+def issue_impact(ix: Index, query: str = "merge bucket", limit: int = 10, places: DataFrame | None = None) -> DataFrame:
     """One row per place and edge around it: (codebase_id, file_path, name, role, edge_id, ref), each role in the order
     of the edges' ids. Roles: callers, callees, dependents (files that import its file), outbound (the first ten
     edges into other codebases) and inbound (the first five calls from each sibling of its workspaces).
 
-    The few places are joined to the edges, so no edge is exploded or shuffled but those that meet a place.
+    The few places (issue_candidates' or those given) are broadcast to the edges, so no edge is exploded or shuffled
+    but those that meet one.
     """
-    from cairn.operators.graph import edges
-
     keys = ["codebase_id", "file_path", "name"]
-    top = F.broadcast(cut_lineage(issue_candidates(ix, query, limit).select(*keys)))  # `limit` rows at most
-    calls, every = edges(ix, "calls"), edges(ix)
+    places = cut_lineage(issue_candidates(ix, query, limit)) if places is None else places
+    top = F.broadcast(places.select(*keys))  # `limit` rows at most
+    every = ix.raw("edges").select("id", "codebase_id", "from_ref", "to_ref", "edge_kind", "target_codebase_id")
+    calls, imports = every.filter("edge_kind = 'calls'"), every.filter("edge_kind = 'imports'")
     suffix = F.lower(F.col("to_ref")).endswith(F.concat(F.lit("."), F.lower("name")))
 
     def role(name: str, rows: DataFrame, ref: str) -> DataFrame:
-        return rows.select(*keys, F.lit(name).alias("role"), F.col("id").alias("edge_id"), F.col(ref).alias("ref"))
+        return rows.select(*keys, F.lit(name).alias("role"), F.col("id").alias("edge_id"), F.col(ref).alias("ref")).distinct()
 
     callers = calls.join(top, "codebase_id").filter((F.col("to_ref") == F.col("name")) | suffix)
     callees = calls.join(top.withColumn("from_ref", F.col("name")), ["codebase_id", "from_ref"])
-    dependents = edges(ix, "imports").join(top.withColumn("to_ref", F.col("file_path")), ["codebase_id", "to_ref"])
+    dependents = imports.join(top.withColumn("to_ref", F.col("file_path")), ["codebase_id", "to_ref"])
     leaving = every.filter("target_codebase_id is not null").join(top.withColumn("from_ref", F.col("name")), ["codebase_id", "from_ref"])
     siblings = ix.members.join(ix.members.withColumnRenamed("codebase_id", "sibling"), "workspace").filter("sibling <> codebase_id").select("codebase_id", "sibling").distinct()
-    there = top.join(siblings, "codebase_id").select(*keys, "sibling", F.col("name").alias("to_ref"))
+    there = siblings.join(top, "codebase_id").select(*keys, "sibling", F.col("name").alias("to_ref"))
     arriving = calls.withColumnRenamed("codebase_id", "sibling").join(there, ["sibling", "to_ref"])
     return reduce(
         DataFrame.unionByName,
@@ -315,8 +316,8 @@ def issue_impact(ix: Index, query: str = "merge bucket", limit: int = 10) -> Dat
             role("callers", callers, "from_ref"),
             role("callees", callees, "to_ref"),
             role("dependents", dependents, "from_ref"),
-            role("outbound", top_per(leaving, keys, [F.asc("id")], 10), "to_ref"),
-            role("inbound", top_per(arriving, [*keys, "sibling"], [F.asc("id")], 5), "from_ref"),
+            role("outbound", top_per(leaving.dropDuplicates([*keys, "id"]), keys, [F.asc("id")], 10), "to_ref"),
+            role("inbound", top_per(arriving.dropDuplicates([*keys, "sibling", "id"]), [*keys, "sibling"], [F.asc("id")], 5), "from_ref"),
         ],
     )
 
