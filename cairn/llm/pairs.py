@@ -25,16 +25,23 @@ def functions(symbols: DataFrame) -> DataFrame:
 
 
 def lexed(rows: DataFrame) -> DataFrame:
-    """One row per token: (symbol_id, pos, kind, size, delta, text); text only of comments and strings."""
+    """One row per token: (symbol_id, pos, kind, size, delta, text ...); text only of comments and strings.
+
+    A doc_comment that isn't blank is the first token of its function, a comment that stands apart from those in
+    the body and takes no room in it.
+    """
 
     def cut(pattern: str) -> Column:
         return F.regexp_extract_all("body", F.lit(pattern), F.lit(0))
 
+    own = F.when(F.trim(F.regexp_replace("doc_comment", r"\s+", " ")) != "", F.col("doc_comment"))
     tokens = F.when(F.col("ext") == ".py", cut(_PYTHON)).when(F.col("ext") == ".rs", cut(_RUST)).otherwise(cut(_C))
-    exploded = rows.select("symbol_id", "ext", F.posexplode(tokens).alias("pos", "token"))
+    told = rows.select("symbol_id", "ext", own.isNotNull().alias("told"), F.when(own.isNotNull(), F.concat(F.array(own), tokens)).otherwise(tokens).alias("tokens"))
+    exploded = told.select("symbol_id", "ext", "told", F.posexplode("tokens").alias("pos", "token")).withColumn("own", F.col("told") & (F.col("pos") == 0))
     first, python = F.substring("token", 1, 1), F.col("ext") == ".py"
     kind = (
-        F.when(F.trim(F.translate("token", "\n\r\t\f", "    ")) == "", F.lit("blank"))
+        F.when(F.col("own"), F.lit("comment"))
+        .when(F.trim(F.translate("token", "\n\r\t\f", "    ")) == "", F.lit("blank"))
         .when((python & (first == "#")) | (~python & F.substring("token", 1, 2).isin("//", "/*")), F.lit("comment"))
         .when(F.col("token").isin("{", "(", "["), F.lit("open"))
         .when(F.col("token").isin("}", ")", "]"), F.lit("close"))
@@ -45,12 +52,13 @@ def lexed(rows: DataFrame) -> DataFrame:
         "symbol_id",
         "pos",
         "kind",
-        F.length("token").alias("size"),
+        "own",
+        F.when(F.col("own"), 0).otherwise(F.length("token")).alias("size"),
         F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0).alias("delta"),
         F.when(F.col("kind").isin("comment", "string") | (F.col("token") == "{"), F.col("token"))
         .when((F.col("kind") == "code") & python & F.col("token").rlike(r":\s*\n"), F.when(F.col("token").rlike(r"^(?:->[^:\n]*)?:\s*$"), F.lit("header:")).otherwise(F.lit(":")))
         .alias("text"),
-        ((F.col("kind") == "blank") & F.col("token").rlike(r"\n\s*\n")).alias("gap"),
+        ((F.col("told") & (F.col("pos") == 1)) | ((F.col("kind") == "blank") & F.col("token").rlike(r"\n\s*\n"))).alias("gap"),
     )
 
 
@@ -59,7 +67,7 @@ def delimited(tokens: DataFrame) -> DataFrame:
 
     Windows over the tokens of one body: a running sum of brackets gives the depth; comments with nothing but
     line ends between them are of one island, an empty line or code begins another; the islands before the
-    first code are attached to it; lag finds the string right after the colon that closes the header at depth
+    first code are attached to it, the function's own doc_comment before all others; lag finds the string right after the colon that closes the header at depth
     0. A body whose brackets never close again ends with its last token.
     """
     w = Window.partitionBy("symbol_id").orderBy("pos")
@@ -71,18 +79,20 @@ def delimited(tokens: DataFrame) -> DataFrame:
         "kind",
         "size",
         "text",
+        "own",
         F.sum("delta").over(upto).alias("depth"),
         F.sum("size").over(upto).alias("upto"),
         F.sum(solid.cast("int")).over(upto).alias("coded"),
-        F.sum((F.col("text") == "{").cast("int")).over(upto).alias("opened"),
+        F.sum(((F.col("text") == "{") & ~F.col("own")).cast("int")).over(upto).alias("opened"),
         F.sum((solid | F.col("gap")).cast("int")).over(upto).alias("island"),
-        F.sum(F.col("text").isin(":", "header:").cast("int")).over(upto).alias("colons"),
+        F.sum((F.col("text").isin(":", "header:") & ~F.col("own")).cast("int")).over(upto).alias("colons"),
         F.lag("text").over(w).alias("after"),
     )
     doc = (F.col("kind") == "string") & (F.col("after") == "header:") & (F.col("depth") == 0) & (F.col("colons") == 1)
     lead = (F.col("kind") == "comment") & (F.col("coded") == 0)
     body_end = (F.col("kind") == "close") & (F.col("depth") == 0) & (F.col("opened") > 0)
     return counted.groupBy("symbol_id").agg(
+        F.max("own").alias("told"),
         F.sort_array(F.collect_list(F.when(lead, F.struct("island", "pos", "text")))).alias("leading"),
         F.min_by("text", F.when(doc, F.col("pos"))).alias("doc_string"),
         F.min(F.when(solid, F.col("upto") - F.col("size"))).alias("code_start"),
@@ -117,15 +127,15 @@ def described(symbols: DataFrame) -> DataFrame:
     """
     rows = functions(symbols)
     parts = delimited(lexed(rows))
-    leading = F.array_join(F.transform("leading", lambda c: c["text"]), "\n")
-    own = F.when(F.trim(F.regexp_replace("doc_comment", r"\s+", " ")) != "", F.col("doc_comment"))
+    told = F.col("told")
+    leading = F.when(told, F.get("leading", F.lit(0))["text"]).otherwise(F.array_join(F.transform("leading", lambda c: c["text"]), "\n"))
     found = rows.join(parts, "symbol_id").select(
         "symbol_id",
         "name",
         "signature",
         F.expr("substring(body, int(coalesce(code_start, 0)) + 1, int(case when ext <> '.py' then coalesce(code_end, last) else last end - coalesce(code_start, 0)))").alias("code"),
-        F.coalesce(own, F.when(leading != "", leading), F.col("doc_string")).alias("comment"),
-        F.when(own.isNull() & (leading != ""), F.col("doc_string")).alias("second"),
+        F.coalesce(F.when(leading != "", leading), F.col("doc_string")).alias("comment"),
+        F.when(~told & (leading != ""), F.col("doc_string")).alias("second"),
     )
     told = found.filter("comment is not null").withColumn("comment", F.when(_describes("comment", "name", "signature"), F.col("comment")).otherwise(F.col("second")))
     return told.filter("comment is not null").filter(F.col("second").isNull() | _describes("comment", "name", "signature")).select("symbol_id", "signature", "code", "comment")
