@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Types that can be hashed for spreading rows.
+PLAIN_TYPES = ("boolean", "byte", "short", "integer", "long", "float", "double", "decimal", "string", "date", "timestamp", "timestamp_ntz", "binary")
+
+
 def flag_orphans(refs: DataFrame, parent: DataFrame, keys: dict[str, str], flag: str, match: str = "simple", asked: Column | None = None) -> DataFrame:
     """`refs` with a boolean column `flag`: whether the row's composite key has no partner in `parent`.
 
@@ -36,8 +40,10 @@ def flag_orphans(refs: DataFrame, parent: DataFrame, keys: dict[str, str], flag:
     if match == "partial" and len(kids) > 1:  # which masks occur: two to the number of keys at most
         masks = sorted(r[0] for r in refs.select(mask.alias("m")).distinct().collect() if r[0] != none)
     seen = F.col("__mask").isin(*masks) if masks else F.lit(False)
+    # by the row's own content, so that a task that is run again sends its rows to the same places
+    plain = [f.name for f in refs.schema.fields if f.dataType.typeName() in PLAIN_TYPES]
     rows = refs.withColumn("__mask", mask)
-    rows = rows.withColumn("__key", F.when(seen, F.col("__mask")).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("string")))
+    rows = rows.withColumn("__key", F.when(seen, F.col("__mask")).otherwise(F.pmod(F.xxhash64(*plain), F.lit(1024)).cast("string")))
     parts = []
     for one in masks:
         there = [i for i, m in enumerate(one) if m == "1"]
